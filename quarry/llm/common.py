@@ -108,3 +108,25 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     space = IS_SPACE[data]
     change = np.flatnonzero(space[1:] != space[:-1]) + 1
     return change[0::2], change[1::2]
+
+
+def text_blocks(batches, limit: int = 2 << 20, lower: bool = False):
+    """Yield (columns, data, starts, ends) for runs of rows with about `limit` bytes of text.
+
+    batches: Arrow batches whose last column is the text as binary (null: empty). columns: the other columns' slices.
+    data: all texts with one space before, between and after; starts[i]:ends[i] is text i.
+    """
+    for batch in batches:
+        *others, texts = batch.columns
+        row = 0
+        while row < len(texts):
+            at, size, parts = row, 0, []
+            while row < len(texts) and (size < limit or not parts):
+                t = texts[row].as_py() or b""
+                parts.append(t)
+                size += len(t) + 1
+                row += 1
+            blob = b" " + b" ".join(parts) + b" "
+            lens = np.fromiter(map(len, parts), np.int64, len(parts))
+            starts = np.cumsum(lens + 1) - lens
+            yield [c.slice(at, row - at) for c in others], np.frombuffer(blob.lower() if lower else blob, np.uint8), starts, starts + lens

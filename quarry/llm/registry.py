@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, packing
+from . import divergence, fingerprints, html, mixing, packing, perplexity, simhash
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
+    "op2_distribution_divergence": divergence.op2_distribution_divergence,
+    "op5_quality_classifier": perplexity.op5_quality_classifier,
+    "op6_site_templates": html.op6_site_templates,
     "op7_canonical_digest": fingerprints.op7_canonical_digest,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
+    "op10_simhash_components": simhash.op10_simhash_components,
 }
 
 SQL = {"op1_source_mixing": mixing.OP1_SQL}
