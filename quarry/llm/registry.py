@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import divergence, fingerprints, html, mixing, packing, perplexity, simhash
+from . import divergence, fingerprints, html, licenses, lines, mixing, packing, perplexity, simhash
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
     "op2_distribution_divergence": divergence.op2_distribution_divergence,
+    "op4_license_digests": licenses.op4_license_digests,
     "op5_quality_classifier": perplexity.op5_quality_classifier,
     "op6_site_templates": html.op6_site_templates,
     "op7_canonical_digest": fingerprints.op7_canonical_digest,
+    "op8_line_dedup": lines.op8_line_dedup,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_simhash_components": simhash.op10_simhash_components,
 }
 
-SQL = {"op1_source_mixing": mixing.OP1_SQL}
+SQL = {"op1_source_mixing": mixing.OP1_SQL, "op4_license_digests": licenses.OP4_SQL, "op8_line_dedup": lines.OP8_SQL}
