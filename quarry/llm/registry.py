@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import divergence, fingerprints, html, licenses, lines, mixing, packing, perplexity, simhash
+from . import divergence, fingerprints, html, licenses, lines, mixing, packing, perplexity, simhash, suffixes
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
     "op2_distribution_divergence": divergence.op2_distribution_divergence,
+    "op3_suffix_array_dedup": suffixes.op3_suffix_array_dedup,
     "op4_license_digests": licenses.op4_license_digests,
     "op5_quality_classifier": perplexity.op5_quality_classifier,
     "op6_site_templates": html.op6_site_templates,
