@@ -41,6 +41,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budge
     return x.select("source", "source_size", "weight", target.alias("target"))
 
 
+def row_key() -> Column:
+    """A hash of doc_id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def _prefix(df: DataFrame, keys: list[str], at: Column, order: list[Column], value: str, out: str) -> DataFrame:
     """Add the sum of `value` over the rows before each row, by (range number `at`, order) within keys."""
     df = df.withColumn("_at", at)
@@ -54,13 +59,13 @@ def _prefix(df: DataFrame, keys: list[str], at: Column, order: list[Column], val
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, passes: int = 2, seed: str = "mix") -> DataFrame:
-    """One row per document and pass: doc_id, source, size, source_size, target, pass, virtual_finish, position, taken.
+    """One row per document and pass: doc_id, key, source, size, source_size, target, pass, virtual_finish, position, taken.
 
     docs needs doc_id, text, source; other columns are ignored. `position` is the number of words that the mix holds
     before this row; rows with taken = 0 are not in the mix but stay in the result. Null texts have size 0, null sources
     form a source of their own, null doc_ids and equal rows are kept apart. An empty table gives an empty result.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words("text").alias("size"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words("text").alias("size"), row_key().alias("key"))
     rows = materialize(rows.withColumn("_order", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
     targets = source_targets(sizes.select("source", "source_size"), weights, budget, passes)
@@ -85,7 +90,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1
     slot = F.floor(F.col("virtual_finish") / F.greatest(F.col("_end"), F.lit(1e-9)) * (F.floor(F.col("_n") * passes / RANGE_ROWS) + 1))
     queued = _prefix(queued, [], slot, [F.col("virtual_finish"), F.col("_key"), F.col("_start"), F.col("_order"), F.col("doc_id")], "taken", "position")
     cut = F.greatest(F.lit(0), F.least(F.col("taken"), F.col("_budget") - F.col("position"))).cast("long")
-    return queued.withColumn("taken", cut).select("doc_id", "source", "size", "source_size", "target", (F.col("pass") + 1).alias("pass"), "virtual_finish", "position", "taken", F.col("_before").alias("queue_position"))
+    return queued.withColumn("taken", cut).select("doc_id", "key", "source", "size", "source_size", "target", (F.col("pass") + 1).alias("pass"), "virtual_finish", "position", "taken", F.col("_before").alias("queue_position"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """docs as the mix takes them, whole documents: a row per pass of which at least half of the words are taken.
+
+    A document without words stays once. All columns stay; equal rows come out as often as their average, rounded up.
+    """
+    some = (F.col("taken") > 0) & (2 * F.col("taken") >= F.col("size")) | ((F.col("size") == 0) & (F.col("pass") == 1))
+    times = mix(docs, **options).groupBy("key").agg(F.sum(some.cast("int")).alias("_taken"), F.sum((F.col("pass") == 1).cast("int")).alias("_rows"))
+    times = times.where("_taken > 0").select(F.col("key").alias("_key"), F.ceil(F.col("_taken") / F.col("_rows")).cast("int").alias("_times"))
+    x = docs.withColumn("_row", row_key()).join(times, F.col("_row") == F.col("_key"))
+    return x.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

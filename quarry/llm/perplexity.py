@@ -246,6 +246,13 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     return out.select("doc_id", "lang", "key", "n_words", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("accepted"))
 
 
+def keep_accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """docs without those that the classifier rejects; all columns stay."""
+    rejected = classify(docs, labels, **options).where(~F.col("accepted")).select(F.col("key").alias("_k")).distinct()
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return docs.withColumn("_key", key).join(rejected, F.col("_key") == F.col("_k"), "left_anti").drop("_key")
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return x.select("doc_id", "lang", "n_words", "perplexity", "threshold", "accepted")

@@ -44,14 +44,15 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) for each row; null texts have no words."""
+    """doc_id, key (a hash of the text), fp (the 64 bits as a signed long) for each row; null texts have no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py() or b"", shingle) for t in batch.column(1)), np.uint64, len(batch))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py() or b"", shingle) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, "doc_id long, fp long")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("key"), text.cast("binary").alias("text")).mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def _segments(max_bits: int) -> tuple[list[int], list[int]]:
@@ -182,7 +183,9 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """One row per document: doc_id, fp, component_id.
+    """One row per document: doc_id, key, fp, root, component_id.
+
+    root is one for each component, key hashes the text.
 
     component_id is the smallest doc_id reachable over links (null doc_ids are ignored; null if there is no other).
     Null and empty texts have fingerprint 0 and link like any other. Repeated rows give repeated rows; columns other
@@ -193,8 +196,20 @@ def simhash_components(docs: DataFrame, shingle: int = 4, max_bits: int = 4) ->
     roots = connected(link_edges(distinct, max_bits))
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    class_of = named.join(lows, "root").select("fp", "component_id")
-    return prints.join(class_of, "fp").select("doc_id", "fp", "component_id")
+    class_of = named.join(lows, "root").select("fp", "root", "component_id")
+    return prints.join(class_of, "fp").select("doc_id", "key", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
+    """docs with one document of each component: the smallest doc_id (null last), then the smallest hash of the text.
+
+    All columns stay. Equal rows are one document, so all of them stay or none.
+    """
+    near = simhash_components(docs, shingle, max_bits)
+    first = near.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("i"), F.col("key").alias("k"))).alias("first"))
+    first = first.select(F.col("first.i").alias("_i"), F.col("first.k").alias("_k"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.withColumn("_key", F.xxhash64(text)).join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")), "left_semi").drop("_key")
 
 
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
