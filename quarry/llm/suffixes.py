@@ -268,7 +268,7 @@ def shared_anchors(blocks: DataFrame, shards: int, length: int, gram: int) -> Da
             if len(mine):
                 yield _rows([(block, _pack(mine))], (pa.int64(), pa.binary()), ["block", "data"])
 
-    sent = blocks.mapInArrow(emit, "shard int, block long, data binary").repartition(shards, "shard").sortWithinPartitions("shard")
+    sent = blocks.mapInArrow(emit, "shard int, block long, data binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
     return sent.mapInArrow(lambda it: _per_shard(it, meet), "block long, data binary")
 
 
@@ -366,7 +366,7 @@ def held_before(blocks: DataFrame, shared: DataFrame, shards: int, length: int,
 
     lists = shared.groupBy("block").agg(F.collect_list("data").alias("lists"))
     with_lists = blocks.join(lists, "block").select("block", "data", "lists")
-    sent = with_lists.mapInArrow(emit, "shard int, block long, data binary").repartition(shards, "shard").sortWithinPartitions("shard")
+    sent = with_lists.mapInArrow(emit, "shard int, block long, data binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
     return sent.mapInArrow(lambda it: _per_shard(it, compare), "block long, data binary")
 
 
