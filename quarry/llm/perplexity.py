@@ -26,6 +26,8 @@ SHARD_BYTES = 48 << 20
 QUANTILE, SLACK = 0.98, 1.15
 #: The log of a threshold also grows by CHANCE / sqrt(words): a short text's mean strays further by chance.
 CHANCE = 6.0
+#: Trusted doc_ids that may be broadcast (8 bytes each).
+BROADCAST_IDS = 2_000_000
 _V = 1 << VOCAB_BITS
 
 
@@ -110,7 +112,7 @@ def _counts(trusted: DataFrame, shards: int) -> DataFrame:
             join()
             yield flush()
 
-    return trusted.select(F.col("text").cast("string").cast("binary")).mapInArrow(emit, "shard int, data binary").repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(merge, "shard int, data binary")
+    return trusted.select(F.col("text").cast("string").cast("binary")).mapInArrow(emit, "shard int, data binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(merge, "shard int, data binary")
 
 
 def _per_word(counts: DataFrame) -> DataFrame:
@@ -207,7 +209,7 @@ def _partial_sums(docs: DataFrame, counts: DataFrame, model: dict, shards: int)
 
     rows = docs.mapInArrow(emit, "shard int, kind int, data binary")
     both = rows.unionByName(counts.select("shard", F.lit(0).alias("kind"), "data"))
-    return both.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(score, "key long, logp double, n long")
+    return both.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind").mapInArrow(score, "key long, logp double, n long")
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, chance: float = CHANCE) -> DataFrame:
@@ -227,7 +229,9 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     base = materialize(base.join(trusted, base.doc_id == trusted["_id"], "left").withColumn("trusted", F.col("_id").isNotNull()).drop("_id"))
     size = base.agg(F.sum("_bytes")).first()[0] or 0
     shards = max(8, -(-size // SHARD_BYTES))
-    learn = docs.where(~held).join(trusted, docs.doc_id == trusted["_id"], "left_semi")
+    # only few trusted ids are broadcast; with more of them the texts are shuffled to meet them
+    few = trusted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    learn = docs.where(~held).join(F.broadcast(trusted) if few else trusted, docs.doc_id == trusted["_id"], "left_semi")
     counts = materialize(_counts(learn, shards))
     model = fit(_per_word(counts))
     parts = _partial_sums(docs.select("key", F.col("text").cast("binary")), counts, model, shards)
