@@ -17,6 +17,8 @@ from .common import drop_tables, materialize, table
 MIN_CHARS, MAX_EDITS = 30, 2
 #: Candidate line ids that are broadcast to filter the scan for their texts (8 bytes each); beyond it a join is used.
 BROADCAST_IDS = 1_000_000
+#: Common ends of up to 2**TRIM_BITS - 1 characters are cut off before verification.
+TRIM_BITS = 17
 #: A line on more than a share 1 / HOT of all places is joined by broadcast; there are fewer than HOT of them.
 HOT = 1_000
 
@@ -89,6 +91,40 @@ def banded_distance(a: Column, b: Column, k: int) -> Column:
     return F.when(far, longest + k).when(small, F.levenshtein(a, b).cast("long")).otherwise(run)
 
 
+def _common_prefix(x: Column, y: Column) -> Column:
+    """Number of leading characters that two strings share, up to 2**TRIM_BITS - 1, by binary search."""
+    longest = F.least(F.char_length(x), F.char_length(y))
+    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(TRIM_BITS))])
+    return F.aggregate(steps, F.lit(0), lambda p, step: F.when((p + step <= longest) & (F.left(x, p + step) == F.left(y, p + step)), p + step).otherwise(p))
+
+
+def trimmed(pairs: DataFrame, max_edits: int) -> DataFrame:
+    """pairs (_x, _y) without their common ends, less those that cannot be within max_edits edits.
+
+    Trimming keeps the distance. Where both rests are longer than max_edits, an edit stands at either end; the inside of
+    one, cut into max_edits - 1 parts, has at most max_edits - 2 edits, so one part is in the other as it is.
+    """
+    cols = [c for c in pairs.columns if c not in ("_x", "_y")]
+    rest = lambda t, n: F.reverse(F.substring(t, n + 1, F.char_length(t)))
+
+    def ends(p: Column) -> Column:
+        return _let(F.struct(rest(F.col("_x"), p).alias("x"), rest(F.col("_y"), p).alias("y")), lambda r: _let(_common_prefix(r["x"], r["y"]), lambda s: F.struct(rest(r["x"], s).alias("_x"), rest(r["y"], s).alias("_y"), F.greatest(p, s).alias("_cut"))))
+
+    # the generator keeps the filter below from copying these expressions
+    x = pairs.select(*cols, F.explode(F.array(_let(_common_prefix(F.col("_x"), F.col("_y")), ends))).alias("_t")).select(*cols, "_t.*")
+    m, n = F.char_length("_x"), F.char_length("_y")
+    short = F.least(m, n) <= max_edits
+    if max_edits < 2:
+        possible = F.greatest(m, n) <= 1
+    else:
+        size = F.floor((m - 2) / (max_edits - 1)).cast("int")
+        possible = F.lit(False)
+        for i in range(max_edits - 1):
+            possible = possible | F.contains(F.col("_y"), F.substring(F.col("_x"), 2 + size * i, size))
+    whole = F.col("_cut") < (1 << TRIM_BITS) - 1  # else the ends may not be cut off in full
+    return x.where((F.greatest(m, n) - F.least(m, n) <= max_edits) & (short | ~whole | possible)).select(*cols, "_x", "_y")
+
+
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """doc_id, th, pos, line: every line of min_chars or more; th hashes the document's text."""
     x = docs.select(F.col("doc_id"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
@@ -114,7 +150,7 @@ def near_line_links(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int
     texts = lines.join(F.broadcast(ids) if few else ids, "h", "left_semi").groupBy("h", "h2").agg(F.first("line").alias("line")).drop("h2")
     left = texts.select(F.col("h").alias("a"), F.col("line").alias("_x"))
     right = texts.select(F.col("h").alias("b"), F.col("line").alias("_y"))
-    tried = pairs.join(left, "a").join(right, "b")
+    tried = trimmed(pairs.join(left, "a").join(right, "b"), max_edits)
     return tried.withColumn("distance", banded_distance(F.col("_x"), F.col("_y"), max_edits)).where(F.col("distance") <= max_edits).select("a", "b", "distance")
 
 
