@@ -186,13 +186,16 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MA
     """
     gone = duplicate_lines(docs, min_chars, max_edits).where(F.size("removed") > 0)
     gone = gone.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "removed")
-    x = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    x = x.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")), "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("removed", i))
-    x = x.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    # the row travels as one struct, so no column of docs can clash with those used here
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    x = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_h"))
+    x = x.join(gone, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")), "left")
+    kept = F.filter(F.split("_row.text", "\n", -1), lambda _, i: ~F.array_contains("removed", i))
+    row = F.col("_row").withField("text", F.when(F.col("removed").isNull(), F.col("_row.text").cast("string")).otherwise(F.array_join(kept, "\n")))
+    x = x.select(row.alias("_row"))
     if "n_chars" in docs.columns:
-        x = x.withColumn("n_chars", F.char_length("text").cast("long"))
-    return x.select(*docs.columns)
+        x = x.select(F.col("_row").withField("n_chars", F.char_length("_row.text").cast("long")).alias("_row"))
+    return x.select("_row.*")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,8 +101,8 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     some = (F.col("taken") > 0) & (2 * F.col("taken") >= F.col("size")) | ((F.col("size") == 0) & (F.col("pass") == 1))
     times = mix(docs, **options).groupBy("key").agg(F.sum(some.cast("int")).alias("_taken"), F.sum((F.col("pass") == 1).cast("int")).alias("_rows"))
     times = times.where("_taken > 0").select(F.col("key").alias("_key"), F.ceil(F.col("_taken") / F.col("_rows")).cast("int").alias("_times"))
-    x = docs.withColumn("_row", row_key()).join(times, F.col("_row") == F.col("_key"))
-    return x.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    x = docs.select(F.struct(*docs.columns).alias("_row"), row_key().alias("_mine")).join(times, F.col("_mine") == F.col("_key"))
+    return x.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

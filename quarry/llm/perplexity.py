@@ -254,7 +254,7 @@ def keep_accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """docs without those that the classifier rejects; all columns stay."""
     rejected = classify(docs, labels, **options).where(~F.col("accepted")).select(F.col("key").alias("_k")).distinct()
     key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.withColumn("_key", key).join(rejected, F.col("_key") == F.col("_k"), "left_anti").drop("_key")
+    return docs.select(F.struct(*docs.columns).alias("_row"), key.alias("_key")).join(rejected, F.col("_key") == F.col("_k"), "left_anti").select("_row.*")
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,7 +163,7 @@ def link_edges(fps: DataFrame, max_bits: int = 4) -> DataFrame:
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """node, root for every node of the edges (a, b): alternating large-star and small-star until nothing changes.
+    """node, root for every node of the edges (a, b) that is not the root itself: alternating large-star and small-star until nothing changes.
 
     root is the smallest node value of the component. Each round is written to the shared folder.
     """
@@ -209,7 +209,8 @@ def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
     first = near.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("i"), F.col("key").alias("k"))).alias("first"))
     first = first.select(F.col("first.i").alias("_i"), F.col("first.k").alias("_k"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumn("_key", F.xxhash64(text)).join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")), "left_semi").drop("_key")
+    x = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_key"))
+    return x.join(first, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")), "left_semi").select("_row.*")
 
 
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
