@@ -17,6 +17,8 @@ from .common import drop_tables, materialize, table
 MIN_CHARS, MAX_EDITS = 30, 2
 #: Candidate line ids that are broadcast to filter the scan for their texts (8 bytes each); beyond it a join is used.
 BROADCAST_IDS = 1_000_000
+#: Letters whose parities a pair of lines must nearly share.
+LETTERS = "etaoinsrhldcumfp"
 #: Common ends of up to 2**TRIM_BITS - 1 characters are cut off before verification.
 TRIM_BITS = 17
 #: A line on more than a share 1 / HOT of all places is joined by broadcast; there are fewer than HOT of them.
@@ -30,8 +32,14 @@ def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
     return base * i + F.greatest(F.lit(0), F.lit(i) - short), base + (F.lit(i) >= short).cast("int")
 
 
+def letter_parities(line: Column) -> Column:
+    """A bit for each of LETTERS: whether it occurs an odd number of times. An edit changes at most two bits."""
+    odd = lambda c: (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(1))
+    return sum((odd(c) * (1 << i) for i, c in enumerate(LETTERS)), F.lit(0)).cast("int")
+
+
 def segment_keys(line: Column, length: Column, max_edits: int) -> tuple[Column, Column]:
-    """(keys a line is stored under, keys it probes): arrays of longs."""
+    """(keys a line is stored under, keys it probes with whether they are for lines of its own length)."""
     parts, stored, probes = max_edits + 1, [], []
     for i in range(parts):
         start, size = _segment(length, i, parts)
@@ -39,7 +47,7 @@ def segment_keys(line: Column, length: Column, max_edits: int) -> tuple[Column,
         for less in range(max_edits + 1):
             start, size = _segment(length - less, i, parts)
             for shift in range(max(-i, less - (max_edits - i)), min(i, less + (max_edits - i)) + 1):
-                probes.append(F.xxhash64(F.lit(i), length - less, F.substring(line, start + 1 + shift, size)))
+                probes.append(F.struct(F.xxhash64(F.lit(i), length - less, F.substring(line, start + 1 + shift, size)).alias("key"), F.lit(less == 0).alias("same")))
     return F.array(*stored), F.array(*probes)
 
 
@@ -139,11 +147,15 @@ def _place() -> Column:
 def near_line_links(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS) -> DataFrame:
     """a, b, distance: pairs of hashes (a < b) of distinct lines within max_edits edits of each other."""
     lines = _lines(docs, min_chars).select("line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), "line").alias("h2"))
-    distinct = lines.groupBy("h", "h2").agg(F.first("line").alias("line"))  # copies collapse before the shuffle
+    sketched = lines.withColumn("odd", letter_parities(F.col("line")))
+    distinct = sketched.groupBy("h", "h2").agg(F.first("line").alias("line"), F.first("odd").alias("odd"))  # copies collapse before the shuffle
     stored, probes = segment_keys(F.col("line"), F.char_length("line"), max_edits)
-    index = distinct.select(F.explode(stored).alias("key"), F.col("h").alias("a"))
-    probe = distinct.select(F.explode(probes).alias("key"), F.col("h").alias("b"))
-    met = index.join(probe, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    index = distinct.select(F.explode(stored).alias("key"), F.col("h").alias("a"), F.col("odd").alias("odd_a"))
+    probe = distinct.select(F.explode(probes).alias("p"), F.col("h").alias("b"), F.col("odd").alias("odd_b")).select("p.key", "p.same", "b", "odd_b")
+    # lines of one length probe each other once; many lines that share a segment meet here, and only those that the
+    # parities leave possible come out
+    possible = F.bit_count(F.col("odd_a").bitwiseXOR(F.col("odd_b"))) <= 2 * max_edits
+    met = index.join(probe, "key").where((F.col("a") < F.col("b")) | ((F.col("a") != F.col("b")) & ~F.col("same"))).where(possible).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = materialize(met.distinct())
     ids = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
     few = pairs.count() * 2 <= BROADCAST_IDS
