@@ -352,7 +352,7 @@ def test_pigeonring_loses_no_link(spark):
     every = np.unique(np.concatenate([fps, near]))
     df = spark.createDataFrame([(int(v),) for v in every.view(np.int64)], "fp long")
     roots = {x.node: x.root for x in simhash.connected(simhash.link_edges(df, 4)).collect()}
-    links = {(int(a), int(b)) for a in every.view(np.int64) for b in every.view(np.int64) if a < b and (int(a) ^ int(b)).bit_count() <= 4}
+    links = {(int(a), int(b)) for a in every.view(np.int64) for b in every.view(np.int64) if a < b and ((int(a) ^ int(b)) % (1 << 64)).bit_count() <= 4}
     assert links and all(roots.get(a, a) == roots.get(b, b) for a, b in links)
     assert {*roots, *roots.values()} == {x for p in links for x in p}
     x = r.integers(0, 1 << 63, 5000, dtype=np.uint64) & r.integers(0, 1 << 63, 5000, dtype=np.uint64) & r.integers(0, 1 << 63, 5000, dtype=np.uint64) & r.integers(0, 1 << 63, 5000, dtype=np.uint64)
