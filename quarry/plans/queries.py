@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import query_parser, text
+from ..functions import chunking, extract, query_parser, recursive, text
 from ..operators import bm25, catalog, hybrid, rag, vector
 from ..sources.corpus import AUDIT_SQL, CHUNKS_SQL, audit_log, chunks, read
 
@@ -462,3 +462,77 @@ def schema_diff(spark, sf):
     base = {k: v for k, v in PAYLOAD.items() if k not in ("extractor", "file_modified_at", "namespace", "page_number")}
     rows = [(f, kind) for kind, fields in diff(base, PAYLOAD).items() for f in fields]
     return spark.createDataFrame(rows, "field string, change string")
+
+
+# ---- chunkers and extraction ---------------------------------------------------------------------
+
+_END = "CASE WHEN {s} + 500 < length(text) AND strpos(reverse(substr(text, {s} + 2, 499)), ' ') > 0 THEN {s} + 500 - strpos(reverse(substr(text, {s} + 2, 499)), ' ') ELSE {s} + 500 END"
+
+
+@query(
+    "WITH RECURSIVE w AS (SELECT doc_id, text, 0 AS s, " + _END.format(s="0") + " AS e FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '' UNION ALL "
+    "SELECT doc_id, text, greatest(s + 1, e - 50) AS s, " + _END.format(s="greatest(s + 1, e - 50)") + " AS e FROM w WHERE greatest(s + 1, e - 50) < length(text)), "
+    "c AS (SELECT doc_id AS id, s, trim(substr(text, s + 1, e - s), ' ' || chr(9) || chr(10) || chr(13)) AS chunk_text FROM w) "
+    "SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY s) - 1 AS INTEGER) AS chunk_index, chunk_text FROM c WHERE length(chunk_text) >= 100"
+)
+def chunk_windows(spark, sf):
+    return chunking.chunk_rows(docs(spark, sf), kind="windows")
+
+
+def _sectioned(spark, sf, begin: str, gap: str = "\n"):
+    """Documents whose sentences begin on lines of their own, behind a mark."""
+    return docs(spark, sf).withColumn("text", F.concat(F.lit(begin), F.replace("text", F.lit(". "), F.lit(f".{gap}{begin}"))))
+
+
+@query()
+def chunk_headings(spark, sf):
+    return chunking.chunk_rows(_sectioned(spark, sf, "# "), kind="headings")
+
+
+@query()
+def chunk_code(spark, sf):
+    return chunking.chunk_rows(_sectioned(spark, sf, "def "), kind="code")
+
+
+@query()
+def chunk_paragraphs(spark, sf):
+    return chunking.chunk_rows(_sectioned(spark, sf, "", "\n\n"), kind="paragraphs")
+
+
+@query()
+def chunk_sheets(spark, sf):
+    return chunking.chunk_rows(_sectioned(spark, sf, "Sheet: "), kind="sheets")
+
+
+@query()
+def chunk_by_type(spark, sf):
+    return chunking.chunk_rows(chunks(spark, sf), "id", "chunk_text", type_col="file_type")
+
+
+@query()
+def chunk_recursive(spark, sf):
+    return recursive.chunk_rows(_sectioned(spark, sf, "# "), language="markdown")
+
+
+@query("SELECT * FROM (VALUES (28)) AS t(n)")
+def supported_languages(spark, sf):
+    return recursive.language_table(spark).agg(F.count("*").cast("int").alias("n"))
+
+
+@query()
+def html_extract(spark, sf):
+    pages = read(spark, sf, "pages").select(F.concat(F.lit("/site/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").cast("binary").alias("content"))
+    return extract.extract_files(pages).select("path", "extractor", F.char_length("text").alias("n_chars"), "text")
+
+
+@query("SELECT event_type, count(*) AS count FROM events GROUP BY 1")
+def stream_counts(spark, sf):
+    """The events table as a stream: counters by type after all of it was read."""
+    from ..streaming.watch import counts
+
+    schema = read(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    name = f"stream_counts_{abs(hash(sf))}"
+    done = counts(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    done.awaitTermination()
+    return spark.table(name)
