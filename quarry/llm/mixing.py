@@ -85,11 +85,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1
     queued = queued.withColumn("taken", served.cast("long"))
 
     # The global order: ranges of finish time. The budget of words ends the mix.
-    end = known.agg(F.max((F.col("source_size") * passes) / F.col("weight")).alias("_end"), F.floor(F.sum("target")).alias("_budget"), F.sum("_rows").alias("_n"))
-    queued = queued.crossJoin(F.broadcast(end))  # one row
-    slot = F.floor(F.col("virtual_finish") / F.greatest(F.col("_end"), F.lit(1e-9)) * (F.floor(F.col("_n") * passes / RANGE_ROWS) + 1))
+    end, total, n = known.agg(F.max((F.col("source_size") * passes) / F.col("weight")), F.floor(F.sum("target")), F.sum("_rows")).first()
+    slots = (n or 0) * passes // RANGE_ROWS + 1
+    slot = F.floor(F.col("virtual_finish") / max(end or 0.0, 1e-9) * slots)
     queued = _prefix(queued, [], slot, [F.col("virtual_finish"), F.col("_key"), F.col("_start"), F.col("_order"), F.col("doc_id")], "taken", "position")
-    cut = F.greatest(F.lit(0), F.least(F.col("taken"), F.col("_budget") - F.col("position"))).cast("long")
+    cut = F.greatest(F.lit(0), F.least(F.col("taken"), F.lit(int(total or 0)) - F.col("position"))).cast("long")
     return queued.withColumn("taken", cut).select("doc_id", "key", "source", "size", "source_size", "target", (F.col("pass") + 1).alias("pass"), "virtual_finish", "position", "taken", F.col("_before").alias("queue_position"))
 
 

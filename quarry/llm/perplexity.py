@@ -241,12 +241,13 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     drop_tables(docs.sparkSession, counts, base)
     tested = scored.where("_held and perplexity is not null")
     by_lang = tested.groupBy("lang").agg((F.percentile("perplexity", F.lit(quantile)) * slack).alias("_own")).withColumnRenamed("lang", "_lang")
-    overall = tested.agg((F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000)) * slack).alias("_all"))
+    overall = tested.agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000)) * slack).first()[0]
+    overall = float("inf") if overall is None else overall
     salts = 32  # a language may hold most rows
     by_lang = by_lang.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     mine = F.col("lang").eqNullSafe(F.col("_lang")) & (F.pmod(F.col("key"), F.lit(salts)) == F.col("_salt"))
-    out = scored.join(by_lang, mine, "left").crossJoin(F.broadcast(overall))  # one row
-    out = out.withColumn("threshold", F.coalesce("_own", "_all", F.lit(float("inf"))) * F.exp(F.lit(chance) / F.sqrt(F.greatest("n_words", F.lit(1)))))
+    out = scored.join(by_lang, mine, "left")
+    out = out.withColumn("threshold", F.coalesce("_own", F.lit(overall)) * F.exp(F.lit(chance) / F.sqrt(F.greatest("n_words", F.lit(1)))))
     return out.select("doc_id", "lang", "key", "n_words", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("accepted"))
 
 

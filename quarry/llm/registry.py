@@ -17,4 +17,4 @@ QUERIES = {
     "op10_simhash_components": simhash.op10_simhash_components,
 }
 
-SQL = {"op1_source_mixing": mixing.OP1_SQL, "op4_license_digests": licenses.OP4_SQL, "op8_line_dedup": lines.OP8_SQL}
+SQL = {"op1_source_mixing": mixing.OP1_SQL, "op3_suffix_array_dedup": suffixes.OP3_SQL, "op4_license_digests": licenses.OP4_SQL, "op8_line_dedup": lines.OP8_SQL}
