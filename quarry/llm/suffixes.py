@@ -337,7 +337,7 @@ def held_before(blocks: DataFrame, shared: DataFrame, shards: int, length: int,
         number = group[order]
         total = np.cumsum(span[order])
         ends_anchor = np.append(np.flatnonzero(anchor[order][1:] != anchor[order][:-1]) + 1, len(order))
-        steps: list = [None] * len(lead)
+        counts, places, holders = np.zeros(len(lead), np.int64), [], []
         at = 0
         while at < len(order):
             base = total[at - 1] if at else 0
@@ -347,22 +347,27 @@ def held_before(blocks: DataFrame, shared: DataFrame, shards: int, length: int,
             sizes = span[part]
             offsets = np.concatenate([[0], np.cumsum(sizes)])
             holder = smallest_holders(_gather(text, start[part], sizes), offsets, lowest[number[at:stop]], length)
-            counts = sizes - length + 1
-            begin = np.cumsum(counts) - counts
+            strings = sizes - length + 1
+            begin = np.cumsum(strings) - strings
             new = np.ones(len(holder), bool)
             new[1:] = holder[1:] != holder[:-1]
             new[begin] = True
             change = np.flatnonzero(new)
-            cut = np.searchsorted(change, np.append(begin, len(holder)))
-            for j, k in enumerate(number[at:stop]):
-                c = change[cut[j] : cut[j + 1]]
-                steps[k] = (c - begin[j], holder[c])
+            steps = np.diff(np.searchsorted(change, np.append(begin, len(holder))))
+            counts[number[at:stop]] = steps
+            places.append((change - np.repeat(begin, steps)).astype(np.uint32))
+            holders.append(holder[change])
             at = stop
+        place, holder = np.concatenate(places), np.concatenate(holders)
+        offset = np.empty(len(lead), np.int64)
+        offset[number] = np.cumsum(counts[number]) - counts[number]
         at = 0
         for block, x in rows:
-            mine = [steps[k] for k in group[at : at + len(x[0])]]
-            at += len(x[0])
-            yield _rows([(block, _pack(x[0], np.array([len(m[0]) for m in mine], np.uint32), np.concatenate([m[0] for m in mine]).astype(np.uint32), np.concatenate([m[1] for m in mine])))], (pa.int64(), pa.binary()), ["block", "data"])
+            mine = group[at : at + len(x[0])]
+            at += len(mine)
+            n = counts[mine]
+            k = np.repeat(offset[mine] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            yield _rows([(block, _pack(x[0], n.astype(np.uint32), place[k], holder[k]))], (pa.int64(), pa.binary()), ["block", "data"])
 
     lists = shared.groupBy("block").agg(F.collect_list("data").alias("lists"))
     with_lists = blocks.join(lists, "block").select("block", "data", "lists")
