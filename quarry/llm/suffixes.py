@@ -303,6 +303,8 @@ def held_before(blocks: DataFrame, shared: DataFrame, shards: int, length: int,
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, value, lists in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if not lists.is_valid:  # no anchor of this block is shared
+                    continue
                 data, starts, ends, ids, _ = _open_block(value.as_py())
                 first, size, anchor, of = _runs(data, starts, ends, length, gram)
                 known = np.sort(np.concatenate([_unpack(v)[0] for v in lists.as_py()]))
@@ -370,7 +372,8 @@ def held_before(blocks: DataFrame, shared: DataFrame, shards: int, length: int,
             yield _rows([(block, _pack(x[0], n.astype(np.uint32), place[k], holder[k]))], (pa.int64(), pa.binary()), ["block", "data"])
 
     lists = shared.groupBy("block").agg(F.collect_list("data").alias("lists"))
-    with_lists = blocks.join(lists, "block").select("block", "data", "lists")
+    # a left join, as in remove_repeats, so that both read one shuffle of the blocks
+    with_lists = blocks.join(lists, "block", "left").select("block", "data", "lists")
     sent = with_lists.mapInArrow(emit, "shard int, block long, data binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
     return sent.mapInArrow(lambda it: _per_shard(it, compare), "block long, data binary")
 
