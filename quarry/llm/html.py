@@ -1,8 +1,8 @@
 """Operator 6: HTML main text with removal of site templates.
 
 Every page is parsed into elements; each element's subtree gets a hash of its tags, classes and text. Spark counts, per
-host, the pages on which each subtree occurs; subtrees outside the article that recur on many pages of the host are
-deleted. What remains outside the rules of tags, roles and class names below is the main text.
+host, the pages on which each subtree occurs; subtrees that recur on many pages of the host are deleted, inside an
+article as well as around it. What remains outside the rules of tags, roles and class names below is the main text.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import html as _html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,10 @@ from .common import drop_tables, materialize, table
 
 #: A subtree is a template if it is on this many pages of its host and on this share of them.
 MIN_PAGES, MIN_SHARE = 3, 0.1
+#: Where the share of a host is more pages than this, this many are enough: a section of a large host has its own templates.
+ENOUGH_PAGES = 20
+#: Templates that are broadcast (8 bytes each); beyond it they are joined to the pages by shuffles.
+BROADCAST_TEMPLATES = 1_000_000
 
 # Elements by role in the HTML standard, and words of class, id and role attributes that mark page furniture.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -29,6 +34,8 @@ CLOSES_P = BLOCKS - {"body", "caption", "html", "legend", "optgroup", "option",
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 FURNITURE = set("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription share sharing social sidebar sidebars rail widget widgets related recommended recommendations breadcrumb breadcrumbs menu menus nav navbar navigation masthead topbar footer comment comments commentlist disqus reply replies respond discussion login signin signup register search pagination pager toolbar copyright disclaimer hidden offscreen".split())
+#: Elements of an article that are deleted with what holds them only: alone, equal ones are headings, items and cells.
+PARTS = set("caption dd dt figcaption h1 h2 h3 h4 h5 h6 hgroup legend li summary tbody td tfoot th thead tr".split())
 HEAD_WORDS = {"header", "heading"}
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 
@@ -144,25 +151,40 @@ def _roots(page: Node) -> tuple[list[Node], bool]:
     return [page], False
 
 
-def candidates(page: str) -> set[int]:
-    """Hashes of the subtrees that template removal may delete: blocks outside article and main, and not around them."""
-    root = parse(page)
-    _finish(root)
-    out, todo = set(), [root]
+def _removable(x: Node, inside: bool) -> bool:
+    """Whether template removal may delete an element; inside: it stands in an article or main."""
+    return x.tag in BLOCKS and not x.core and x.tag not in ("html", "body", "article", "main") and not (inside and x.tag in PARTS)
+
+
+def candidates(root: Node) -> dict[int, int]:
+    """Hashes of the subtrees that template removal may delete, with a number for where on the page they are.
+
+    It is 0 outside article and main, else it tells which of them hold the subtree (the innermost ones). One article on
+    several pages gives one number, so that its own text does not count as recurring.
+    """
+    holders: dict[int, set[int]] = {}
+    todo = [(root, 0)]
     while todo:
-        x = todo.pop()
-        if x.tag in ("article", "main", "head") or x.tag in RAW:
+        x, core = todo.pop()
+        if x.tag == "head" or x.tag in RAW:
             continue
-        if x.tag in BLOCKS and x.tag not in ("html", "body") and not x.core:
-            out.add(x.hash)
-        todo += [c for c in x.items if isinstance(c, Node)]
-    return out
+        if x.tag in ("article", "main"):
+            core = x.hash
+        elif _removable(x, core != 0):
+            holders.setdefault(x.hash, set()).add(core)
+        todo += [(c, core) for c in x.items if isinstance(c, Node)]
+    return {h: 0 if 0 in at else hash(tuple(sorted(at))) for h, at in holders.items()}
 
 
-def main_text(page: str, templates: frozenset[int] | set[int] = frozenset()) -> str:
-    """Blocks of the main text joined by newlines; white space inside a block is one space."""
+def tree(page: str) -> Node:
     root = parse(page)
     _finish(root)
+    return root
+
+
+def main_text(page: str | Node, templates: frozenset[int] | set[int] = frozenset()) -> str:
+    """Blocks of the main text joined by newlines; white space inside a block is one space."""
+    root = tree(page) if isinstance(page, str) else page
     roots, inside = _roots(root)
     blocks: list[list[str]] = [[]]
     todo: list = list(reversed(roots))
@@ -171,7 +193,7 @@ def main_text(page: str, templates: frozenset[int] | set[int] = frozenset()) ->
         if isinstance(x, str):
             blocks[-1].append(x)
         elif isinstance(x, Node):
-            if _is_furniture(x, inside) or (not inside and not x.core and x.hash in templates and x.tag in BLOCKS):
+            if _is_furniture(x, inside) or (x.hash in templates and _removable(x, inside)):
                 continue
             if x.tag == "br":
                 blocks[-1].append(" ")
@@ -187,42 +209,69 @@ def main_text(page: str, templates: frozenset[int] | set[int] = frozenset()) ->
     return "\n".join(x for x in lines if x)
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, enough_pages: int = ENOUGH_PAGES, broadcast: int = BROADCAST_TEMPLATES) -> DataFrame:
     """page_id, url, text for every row of pages (page_id, url, html).
 
     Null html is empty and gives an empty text. Pages with a null url share one host. Repeated rows give repeated rows
     (and count once for templates); other columns are ignored; an empty table gives an empty result.
     """
+    spark = pages.sparkSession
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]*)", 1)), F.lit(""))
     pages = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    pages = pages.withColumn("_key", F.xxhash64(F.col("page_id").cast("string"), "url", "html"))
+    pages = pages.withColumn("_key", F.xxhash64(F.col("page_id").cast("string"), "url", "html")).withColumn("_host", F.xxhash64(host))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, hosts, hashes = [], [], []
+            keys, hosts, hashes, places = [], [], [], []
             for key, name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                got = candidates(page.as_py())
+                got = candidates(tree(page.as_py()))
                 keys += [key] * len(got)
                 hosts += [name] * len(got)
                 hashes += got
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["_key", "host", "hash"])
+                places += [place or key for place in got.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, hosts, hashes, places)], names=["_key", "_host", "hash", "place"])
+
+    seen = pages.select("_key", "_host", "html").mapInArrow(scan, "_key long, _host long, hash long, place long")
+    sizes = pages.select("_host", "_key").groupBy("_host").agg(F.count_distinct("_key").alias("pages"))
+    counts = seen.groupBy("_host", "hash").agg(F.count_distinct("place").alias("n")).where(F.col("n") >= min_pages)
+    enough = F.least(F.col("pages") * min_share, F.lit(float(enough_pages)))
+    recurring = materialize(counts.join(sizes, "_host").where(F.col("n") >= enough).select("_host", "hash"))
+    kind = dict(pages.dtypes)["page_id"]
+    schema = f"page_id {kind}, url string, text string"
+
+    def texts(batch: pa.RecordBatch, out: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
+
+    if recurring.count() <= broadcast:
+        ids = recurring.select(F.col("hash").bitwiseXOR(F.col("_host")).alias("id")).toPandas()["id"].to_numpy(np.int64)
+        shared = spark.sparkContext.broadcast(np.sort(ids))
+
+        def run_known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = shared.value
+            for batch in batches:
+                out = []
+                for name, page in zip(batch.column(3).to_pylist(), batch.column(2), strict=True):
+                    root = tree(page.as_py())
+                    hashes = np.fromiter(candidates(root), np.int64)
+                    wanted = hashes ^ np.int64(name)
+                    at = np.searchsorted(known, wanted)
+                    hit = at < len(known)
+                    hit[hit] = known[at[hit]] == wanted[hit]
+                    out.append(main_text(root, set(hashes[hit].tolist())))
+                yield texts(batch, out)
+
+        return pages.select("page_id", "url", "html", "_host").mapInArrow(run_known, schema)
 
-    seen = materialize(pages.select("_key", host.alias("host"), "html").mapInArrow(scan, "_key long, host string, hash long"))
-    sizes = pages.select("_key", host.alias("host")).groupBy("host").agg(F.count("*").alias("pages"))
-    counts = seen.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     salts = 16  # a subtree may be on most pages
-    recurring = counts.join(sizes, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "hash", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    on_page = seen.withColumn("_salt", F.pmod("_key", F.lit(salts))).join(recurring, ["host", "hash", "_salt"], "left_semi")
+    salted = recurring.select("_host", "hash", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    on_page = seen.drop("place").withColumn("_salt", F.pmod("_key", F.lit(salts))).join(salted, ["_host", "hash", "_salt"], "left_semi")
     templates = on_page.groupBy("_key").agg(F.collect_set("hash").alias("templates"))
-    texts = pages.join(templates, "_key", "left").select("page_id", "url", "html", "templates")
-    kind = dict(pages.dtypes)["page_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [main_text(page.as_py(), set(t.as_py() or ())) for page, t in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
+            yield texts(batch, [main_text(page.as_py(), set(t.as_py() or ())) for page, t in zip(batch.column(2), batch.column(3), strict=True)])
 
-    return texts.mapInArrow(run, f"page_id {kind}, url string, text string")
+    return pages.join(templates, "_key", "left").select("page_id", "url", "html", "templates").mapInArrow(run, schema)
 
 
 def op6_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,6 +199,20 @@ def test_html(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_templates_inside_articles(spark):
+    """Recurring blocks of neutral classes go from articles too; a section's template on a large host goes as well."""
+    page = lambda i, extra="": f"<article><h2>Summary</h2><p>Own text {i}</p><table><tr><td>No {i}</td><td>Yes</td></tr></table><div class='x1'><p>Read our terms</p></div>{extra}</article>"
+    pages = [(i, f"http://h.example/{i}", page(i, "<div>Section text</div>" if i < 25 else "")) for i in range(300)]
+    pages += [(400 + k, f"http://h.example/copy{k}", "<main><article><p>One article at many places</p></article></main>") for k in range(40)]
+    pages += [(500, "http://h.example/same", "<article><p>One row many times</p></article>")] * 40
+    pages += [(600 + k, "http://small.example/", page(k)) for k in range(2)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = {i: f"Summary\nOwn text {i}\nNo {i}\nYes" for i in range(300)} | {400 + k: "One article at many places" for k in range(40)} | {500: "One row many times"}
+    want |= {600 + k: f"Summary\nOwn text {k}\nNo {k}\nYes\nRead our terms" for k in range(2)}
+    for broadcast in (1000, 0):  # both ways to bring the templates to the pages
+        assert {r.page_id: r.text for r in html.extract(df, broadcast=broadcast).collect()} == want
+
+
 def test_fingerprints(messy, empty, spark):
     out = rows(fingerprints.with_fingerprint(messy.select("doc_id", "text")))
     by = defaultdict(set)
