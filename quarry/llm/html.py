@@ -36,6 +36,8 @@ SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"
 FURNITURE = set("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription share sharing social sidebar sidebars rail widget widgets related recommended recommendations breadcrumb breadcrumbs menu menus nav navbar navigation masthead topbar footer comment comments commentlist disqus reply replies respond discussion login signin signup register search pagination pager toolbar copyright disclaimer hidden offscreen".split())
 #: Elements of an article that are deleted with what holds them only: alone, equal ones are headings, items and cells.
 PARTS = set("caption dd dt figcaption h1 h2 h3 h4 h5 h6 hgroup legend li summary tbody td tfoot th thead tr".split())
+#: Elements whose ids name their subject.
+ANCHORED = set("a dd dt h1 h2 h3 h4 h5 h6 li p section".split())
 HEAD_WORDS = {"header", "heading"}
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 
@@ -110,21 +112,25 @@ def _finish(node: Node) -> None:
     """Hash every subtree and note which hold an article or main element. Children come first, without recursion."""
     import xxhash
 
-    todo = [(node, False)]
+    todo = [(node, False, False)]
     while todo:
-        x, seen = todo.pop()
+        x, seen, within = todo.pop()
+        within = within or x.tag in ("article", "main")
         if not seen:
-            todo.append((x, True))
-            todo += [(c, False) for c in x.items if isinstance(c, Node)]
+            todo.append((x, True, within))
+            todo += [(c, False, within) for c in x.items if isinstance(c, Node)]
             continue
-        x.core = any(isinstance(c, Node) and (c.core or c.tag in ("article", "main")) and not _is_furniture(c, True) for c in x.items)
+        x.core = any(isinstance(c, Node) and (c.core or c.tag in ("article", "main")) and not _is_furniture(c, True, within) for c in x.items)
         parts = [x.tag, x.attrs.get("class", ""), x.attrs.get("id", "")]
         parts += [str(c.hash) if isinstance(c, Node) else " ".join(c.split()) for c in x.items]
         x.hash = xxhash.xxh64_intdigest("\x00".join(parts).encode("utf-8", "replace")) - (1 << 63)
 
 
-def _is_furniture(x: Node, inside: bool) -> bool:
-    """Whether an element is page furniture by its tag, role, class or id; inside: it stands in an article or main."""
+def _is_furniture(x: Node, inside: bool, whole: bool = True) -> bool:
+    """Whether an element is page furniture by its tag, role, class or id; inside: it stands in an article or main.
+
+    Inside, names count as a whole (unless whole is false); elsewhere any word of a name counts.
+    """
     if x.tag in DROPPED or (x.tag == "header" and not inside and not x.core):
         return True
     if not x.attrs or x.tag in ("html", "body", "main") or x.core:
@@ -132,20 +138,41 @@ def _is_furniture(x: Node, inside: bool) -> bool:
     a = x.attrs
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in ROLES or "display:none" in a.get("style", "").replace(" ", "").lower():
         return True
+    if inside and whole:  # ids of headings and sections are anchors that repeat their titles
+        names = set(a.get("class", "").lower().split())
+        if x.tag not in ANCHORED:
+            names.add(a.get("id", "").strip().lower())
+        return bool(names & FURNITURE)
     words = {w.lower() for w in _WORDS.findall(f"{a.get('class', '')} {a.get('id', '')}")}
     return bool(words & FURNITURE) or (not inside and bool(words & HEAD_WORDS))
 
 
+def _has_text(x: Node) -> bool:
+    """Whether an element has text that is neither furniture nor in an article."""
+    todo = [x]
+    while todo:
+        for c in todo.pop().items:
+            if isinstance(c, str):
+                if c.strip():
+                    return True
+            elif c.tag != "article" and not _is_furniture(c, True):
+                todo.append(c)
+    return False
+
+
 def _roots(page: Node) -> tuple[list[Node], bool]:
-    """The elements that hold the main text, and whether they are articles or main elements."""
+    """The elements that hold the main text, and whether they are articles or main elements.
+
+    A main element with text beside its articles is taken whole.
+    """
     for wanted in ("article", "main"):
-        found, todo = [], [page]
+        found, todo = [], [(page, False)]
         while todo:
-            x = todo.pop()
-            if x.tag == wanted and not _is_furniture(x, True):
+            x, within = todo.pop()
+            if (x.tag == wanted or x.tag == "main" and x.core and _has_text(x)) and not _is_furniture(x, True, within):
                 found.append(x)
-            elif not _is_furniture(x, False):
-                todo += [c for c in reversed(x.items) if isinstance(c, Node)]
+            elif not _is_furniture(x, within):
+                todo += [(c, within or x.tag == "main") for c in reversed(x.items) if isinstance(c, Node)]
         if found:
             return found, True
     return [page], False

@@ -213,6 +213,16 @@ def test_html_templates_inside_articles(spark):
         assert {r.page_id: r.text for r in html.extract(df, broadcast=broadcast).collect()} == want
 
 
+def test_html_keeps_what_articles_say():
+    """Words of slugs and ids of sections are no furniture in an article; main keeps its text beside articles."""
+    page = "<article><h2 id='related-work'>Related</h2><section id='discussion'><p>We discuss</p></section><h2 id='search'>Search</h2><div class='social-impact'>Impact</div><div class='box share'>Share</div><div id='comments'>Bad</div></article>"
+    assert html.main_text(page) == "Related\nWe discuss\nSearch\nImpact"
+    assert html.main_text(f"<body><p>out</p><main><h1>Title</h1><p>Lead</p>{page}<nav>x</nav></main></body>") == "Title\nLead\nRelated\nWe discuss\nSearch\nImpact"
+    assert html.main_text("<main><nav>x</nav><div class='sidebar'>y</div><article>One</article></main>") == "One"
+    assert html.main_text("<article>One</article><article class='related-post'>Teaser</article>") == "One"
+    assert html.main_text("<main><section id='discussion'><article>One</article></section></main>") == "One"
+
+
 def test_fingerprints(messy, empty, spark):
     out = rows(fingerprints.with_fingerprint(messy.select("doc_id", "text")))
     by = defaultdict(set)
