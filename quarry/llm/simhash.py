@@ -201,16 +201,23 @@ def simhash_components(docs: DataFrame, shingle: int = 4, max_bits: int = 4) ->
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """docs with one document of each component: the smallest doc_id (null last), then the smallest hash of the text.
+    """docs with one row of each component: the smallest doc_id (null last), then the smallest hash of the text.
 
-    All columns stay. Equal rows are one document, so all of them stay or none.
+    All columns stay. Of rows equal in doc_id and text one stays, chosen by a hash of the other columns.
     """
-    near = simhash_components(docs, shingle, max_bits)
-    first = near.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("i"), F.col("key").alias("k"))).alias("first"))
-    first = first.select(F.col("first.i").alias("_i"), F.col("first.k").alias("_k"))
+    near = simhash_components(docs, shingle, max_bits).groupBy("root", "doc_id", "key").agg(F.count("*").alias("n"))
+    first = near.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("i"), F.col("key").alias("k"), "n")).alias("first"))
+    first = materialize(first.select(F.col("first.i").alias("_i"), F.col("first.k").alias("_k"), F.col("first.n").alias("_n")))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     x = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_key"))
-    return x.join(first, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")), "left_semi").select("_row.*")
+    same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k"))
+    again = first.where("_n > 1")
+    if again.isEmpty():
+        return x.join(first, same, "left_semi").select("_row.*")
+    # only the rows that have copies are shuffled to leave one of them
+    order = F.xxhash64(*[F.col("_row").getField(c) for c, kind in docs.dtypes if "map<" not in kind])
+    one = x.join(again, same, "left_semi").groupBy("_id", "_key").agg(F.min_by("_row", order).alias("_row"))
+    return x.join(first.where("_n = 1"), same, "left_semi").select("_row").union(one.select("_row")).select("_row.*")
 
 
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -365,6 +365,16 @@ def test_simhash(messy, empty, spark):
     assert simhash.simhash_components(empty).count() == 0
 
 
+def test_keep_one_of_equal_rows(messy, spark):
+    """A table loaded several times gives what it gives once: one row of each component."""
+    components = len({r["root"] for r in rows(simhash.simhash_components(messy))})
+    once = simhash.keep_one(messy)
+    assert once.count() == components
+    thrice = messy.union(messy).union(messy)
+    assert sorted(map(str, simhash.keep_one(thrice).collect())) == sorted(map(str, once.collect()))
+    assert sorted(map(str, simhash.keep_one(lines.dedup_lines(thrice)).collect())) == sorted(map(str, simhash.keep_one(lines.dedup_lines(messy)).collect()))
+
+
 def test_pigeonring_loses_no_link(spark):
     """Random fingerprints with planted chains of neighbours at 0 to 4 bits."""
     r = np.random.default_rng(1)
