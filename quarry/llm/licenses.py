@@ -87,8 +87,9 @@ def known() -> list[tuple[str, str, str]]:
     return sorted(rows | {(d, name, "text") for name, d in DIGESTS.items()})
 
 
-#: Every known text holds one of these words, so only texts and lines that do need a digest.
-HINT = r"(?i)licen[cs]e|permission (is|to)|redistribution|without any express"
+#: Every known text holds one of these words (single ones, as canonical() folds what parts words), so only texts and lines
+#: that do need a digest. Texts that a caller adds may hold none of them.
+HINT = r"(?i)licen[cs]e|permission|redistribution|express"
 
 
 def scan(docs: DataFrame, extra: DataFrame | None = None) -> DataFrame:
@@ -105,8 +106,9 @@ def scan(docs: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     texts = table_.where("kind = 'text'").select("digest", "license")
     notices = table_.where("kind = 'notice'").select(F.col("digest").alias("_nd"), F.col("license").alias("_nl"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    hinted = text.rlike(HINT)
-    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(hinted, F.sha2(canonical(text), 256)).alias("digest"), F.when(hinted, F.filter(F.split(text, "\n", -1), lambda l: l.rlike(HINT))).alias("_lines"))
+    hint = lambda t: t.rlike(HINT) if extra is None else F.lit(True)
+    hinted = hint(text)
+    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(hinted, F.sha2(canonical(text), 256)).alias("digest"), F.when(hinted, F.filter(F.split(text, "\n", -1), hint)).alias("_lines"))
     lines = F.transform("_lines", lambda l: F.sha2(canonical(l), 256))
     if extra is None:
         # few known notices: a map from digest to license, looked up in place

@@ -145,6 +145,19 @@ def test_licenses(spark, messy, empty):
     assert licenses.scan(docs.limit(1).selectExpr("9 as doc_id", "'MY OWN LICENCE: text' as text"), more).first().license == "Own"
 
 
+def test_license_hints(spark):
+    """Known texts match whatever parts their words; added texts and notices match without any of the hint words."""
+    assert all(re.search(licenses.HINT, t) for known in (licenses.TEXTS, licenses.NOTICES) for ts in known.values() for t in ts)
+    isc = licenses.TEXTS["ISC"][0]
+    isc = isc[isc.index("Permission") :]
+    folded = [(i, isc.replace("Permission to", f"Permission{gap}to", 1)) for i, gap in enumerate([" ", "\n", "  ", " - "])]
+    got = licenses.scan(spark.createDataFrame(folded, "doc_id long, text string")).select("license").distinct().collect()
+    assert len(got) == 1 and got[0].license is not None
+    more = spark.createDataFrame([(licenses.canonical_digest("Tous droits cédés."), "FR", "text"), (licenses.canonical_digest("Domaine public."), "PD", "notice")], "digest string, license string, kind string")
+    docs = spark.createDataFrame([(1, "Tous  droits\ncédés"), (2, "x\nDomaine public\ny")], "doc_id long, text string")
+    assert {r.doc_id: (r.license, r.notices) for r in licenses.scan(docs, more).collect()} == {1: ("FR", ""), 2: (None, "PD")}
+
+
 def test_perplexity(messy, labels, empty):
     out = rows(perplexity.classify(messy, labels))
     assert len(out) == messy.count()
