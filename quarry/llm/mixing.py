@@ -1,9 +1,10 @@
 """Operator 1 [native]: mixing sources to target weights by weighted fair queueing.
 
 Every source queues its documents in a shuffled order that the seed fixes, once per pass. A queued document gets a
-virtual start and finish time, the source's words before and after it divided by the source's weight. Sorting all
-queues by finish time and cutting at the total budget gives the mix: a source that runs dry leaves its share to the
-others, exactly as its queue would in a fair-queueing server. A document still being served at the cut is taken in part.
+virtual start and finish time, the source's words before and after it divided by the source's weight. What a
+fair-queueing server would give each source in the end, where a source that runs dry leaves its share to the others, is
+found in closed form, and every source is cut there on its own; a document at its source's cut is taken in part. The
+finish times only order the mix: they decide nothing that is taken.
 
 All prefix sums are taken in two levels (totals of small ranges, then rows inside one range), so no task holds a source.
 """
