@@ -1,10 +1,17 @@
 """Operator 8 [native]: line dedup by a segment-partition edit join.
 
-Lines of min_chars or more are made distinct. A distinct line is cut into max_edits + 1 segments, of which an equal one
-survives in any line within max_edits edits, moved by no more than the edits before and after it allow. So every line is
-stored under (length, segment number, segment), and probes, for each length from its own down to max_edits less, only
-the substrings at the positions that this rule leaves. Pairs that meet are verified with a banded bit-parallel edit
-distance: 2 * max_edits + 1 diagonals in one word. A line is removed if an equal or near line comes earlier.
+Exact repeats: a line that has a word goes where an equal line comes earlier, whatever its length.
+
+Near lines: lengths fall into classes that keep the top bits of a length, and a class has an edit limit k, which grows
+with the length (LIMITS). In a class, k + 1 disjoint segments of one size lie at fixed places, the first ones counted
+from the line's start, the last ones from its end. Of two lines within k edits, one has a segment i that the other holds
+unharmed, with no more than i edits before it and no more than k - i after it; so a line is indexed under (class,
+segment number, segment), and probes the substrings moved by up to min(i, k - i) places. A line within reach of the class
+below its own takes part there as well. Keys under which one line alone stands, which is nearly all of them, go after one
+shuffle. What meets under a key is pruned by letter counts, then verified by a banded bit-parallel edit distance:
+2 * k + 1 diagonals in one word.
+
+A line is removed if an equal or near line comes earlier.
 """
 
 from __future__ import annotations
@@ -12,43 +19,72 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_tables, materialize, table
+from .common import materialize, table
 
-MIN_CHARS, MAX_EDITS = 30, 2
+#: Edit limits by the length of the shorter line: (length from which it holds, edits). Lines shorter than the first length
+#: are near no other line. Lengths start a class: at most four leading bits, then zeros; edits fit the narrowest class.
+LIMITS = ((32, 2), (128, 3), (256, 4))
 #: Candidate line ids that are broadcast to filter the scan for their texts (8 bytes each); beyond it a join is used.
 BROADCAST_IDS = 1_000_000
-#: Letters whose parities a pair of lines must nearly share.
-LETTERS = "etaoinsrhldcumfp"
 #: Common ends of up to 2**TRIM_BITS - 1 characters are cut off before verification.
 TRIM_BITS = 17
 #: A line on more than a share 1 / HOT of all places is joined by broadcast; there are fewer than HOT of them.
 HOT = 1_000
+#: Lines under one key that one task compares with all lines of the key.
+BLOCK = 4_096
+#: Characters whose counts (modulo 8) a pair of lines must nearly share, two words of 16 each.
+COUNTED = ("etaoinsrhldcumfp", "gwybvkxjqz ,.éáó")
+#: Characters that do not make a line a line with a word.
+BLANK = " \t\x0b\x0c\r"
 
 
-def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """0-based start and length of segment i of a line of that length; longer segments come last."""
-    base = F.floor(length / parts).cast("int")
-    short = F.lit(parts) - F.pmod(length, F.lit(parts))
-    return base * i + F.greatest(F.lit(0), F.lit(i) - short), base + (F.lit(i) >= short).cast("int")
+def _call(name: str, *cols) -> Column:
+    return F.call_function(name, *cols)
 
 
-def letter_parities(line: Column) -> Column:
-    """A bit for each of LETTERS: whether it occurs an odd number of times. An edit changes at most two bits."""
-    odd = lambda c: (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(1))
-    return sum((odd(c) * (1 << i) for i, c in enumerate(LETTERS)), F.lit(0)).cast("int")
+def _floor(n: Column) -> Column:
+    """The smallest length of a length's class: its four leading bits, then zeros."""
+    low = F.greatest(F.char_length(F.bin(n)) - 4, F.lit(0))
+    return _call("shiftleft", _call("shiftright", n, low), low)
 
 
-def segment_keys(line: Column, length: Column, max_edits: int) -> tuple[Column, Column]:
-    """(keys a line is stored under, keys it probes with whether they are for lines of its own length)."""
-    parts, stored, probes = max_edits + 1, [], []
-    for i in range(parts):
-        start, size = _segment(length, i, parts)
-        stored.append(F.xxhash64(F.lit(i), length, F.substring(line, start + 1, size)))
-        for less in range(max_edits + 1):
-            start, size = _segment(length - less, i, parts)
-            for shift in range(max(-i, less - (max_edits - i)), min(i, less + (max_edits - i)) + 1):
-                probes.append(F.struct(F.xxhash64(F.lit(i), length - less, F.substring(line, start + 1 + shift, size)).alias("key"), F.lit(less == 0).alias("same")))
-    return F.array(*stored), F.array(*probes)
+def edit_limit(n: Column, limits: tuple = LIMITS) -> Column:
+    """Edits allowed for pairs whose shorter line has n characters; -1 below the shortest length."""
+    out = F.lit(-1)
+    for start, edits in limits:
+        out = F.when(n >= start, F.lit(edits)).otherwise(out)
+    return out
+
+
+def check_limits(limits: tuple) -> None:
+    for start, edits in limits:
+        width = 1 << max(0, start.bit_length() - 4)
+        if start % width or not 0 <= edits <= width or edits + 1 > start:
+            raise ValueError(f"{(start, edits)}: the length must start a class, and the edits must not exceed the class's width {width}")
+
+
+def _moves(k: int, low: bool) -> list[Column]:
+    """(low, segment number, move) of every substring that a line of a class with limit k looks up."""
+    return [F.struct(F.lit(low).alias("low"), F.lit(i).alias("i"), F.lit(s).alias("move")) for i in range(k + 1) for s in range(-min(i, k - i), min(i, k - i) + 1)]
+
+
+def segment_keys(lines: DataFrame, limits: tuple = LIMITS) -> DataFrame:
+    """key, id, stored: for each line (columns id, line) its segments' keys (stored) and those it only probes."""
+    x = lines.select("id", F.encode("line", "UTF-32").alias("wide"), F.char_length("line").alias("n"))
+    x = x.where(F.col("n") >= limits[0][0]).withColumn("f1", _floor(F.col("n"))).withColumn("f0", _floor(F.col("f1") - 1))
+    x = x.withColumn("k1", edit_limit(F.col("f1"), limits)).withColumn("k0", edit_limit(F.col("f0"), limits))
+    every = sorted({k for _, k in limits})
+    own = below = F.lit(None)
+    for k in every:
+        own = F.when(F.col("k1") == k, F.array(*_moves(k, False))).otherwise(own)
+        below = F.when(F.col("k0") == k, F.array(*_moves(k, True))).otherwise(below)
+    reach = F.col("n") - F.col("f1") + 1 <= F.col("k0")  # the longest line of the class below is that near in length
+    moves = F.when(reach, F.concat(own, below)).otherwise(own)
+    x = x.select("id", "wide", "n", "f1", "f0", "k1", "k0", F.explode(moves).alias("m"))
+    x = x.select("id", "wide", "n", F.when(F.col("m.low"), F.col("f0")).otherwise(F.col("f1")).alias("c"), F.when(F.col("m.low"), F.col("k0")).otherwise(F.col("k1")).alias("k"), F.col("m.i").alias("i"), F.col("m.move").alias("move"))
+    size = F.floor(F.col("c") / (F.col("k") + 1)).cast("int")
+    start = F.when(2 * F.col("i") <= F.col("k"), F.col("i") * size).otherwise(F.col("n") - (F.col("k") + 1 - F.col("i")) * size) + F.col("move")
+    return x.select(F.xxhash64("c", "i", F.substring(F.col("wide"), 4 * start + 1, 4 * size)).alias("key"), "id", (F.col("move") == 0).alias("stored"))
 
 
 def _let(value: Column, body) -> Column:
@@ -132,11 +168,27 @@ def trimmed(pairs: DataFrame, max_edits: int) -> DataFrame:
     whole = F.col("_cut") < (1 << TRIM_BITS) - 1  # else the ends may not be cut off in full
     return x.where((F.greatest(m, n) - F.least(m, n) <= max_edits) & (short | ~whole | possible)).select(*cols, "_x", "_y")
 
+def letter_counts(line: Column) -> Column:
+    """Two longs: for each of COUNTED how often it occurs in the lower-cased line, modulo 8, as a circular unary code.
+
+    The codes of two counts differ in as many bits as the counts differ around the circle, so an edit changes two bits at
+    most. Lines of other scripts have like codes, and are left to the verification.
+    """
+    code = F.array(*[F.lit(x) for x in (0, 1, 3, 7, 15, 14, 12, 8)])
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, th, pos, line: every line of min_chars or more; th hashes the document's text."""
+    def word(chars: str) -> Column:
+        letters = F.array(*[F.lit(c) for c in chars])
+        times = lambda c: _call("div", F.octet_length(F.lower(line)) - F.octet_length(F.replace(F.lower(line), c, F.lit(""))), F.octet_length(c))
+        bits = F.transform(letters, lambda c, i: _call("shiftleft", F.element_at(code, (times(c) % 8 + 1).cast("int")).cast("long"), 4 * i))
+        return F.aggregate(bits, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+
+    return F.struct(*[word(chars).alias(f"s{i}") for i, chars in enumerate(COUNTED)])
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, th, pos, line, h, h2: every line that has a word; th hashes the document's text, h and h2 the line."""
     x = docs.select(F.col("doc_id"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return x.where(F.char_length("line") >= min_chars)
+    return x.where(F.btrim("line", F.lit(BLANK)) != "").select("*", F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), "line").alias("h2"))
 
 
 def _place() -> Column:
@@ -144,59 +196,82 @@ def _place() -> Column:
     return F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.col("th").alias("t"), F.col("pos").alias("p"))
 
 
-def near_line_links(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS) -> DataFrame:
-    """a, b, distance: pairs of hashes (a < b) of distinct lines within max_edits edits of each other."""
-    lines = _lines(docs, min_chars).select("line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), "line").alias("h2"))
-    sketched = lines.withColumn("odd", letter_parities(F.col("line")))
-    distinct = sketched.groupBy("h", "h2").agg(F.first("line").alias("line"), F.first("odd").alias("odd"))  # copies collapse before the shuffle
-    stored, probes = segment_keys(F.col("line"), F.char_length("line"), max_edits)
-    index = distinct.select(F.explode(stored).alias("key"), F.col("h").alias("a"), F.col("odd").alias("odd_a"))
-    probe = distinct.select(F.explode(probes).alias("p"), F.col("h").alias("b"), F.col("odd").alias("odd_b")).select("p.key", "p.same", "b", "odd_b")
-    # lines of one length probe each other once; many lines that share a segment meet here, and only those that the
-    # parities leave possible come out
-    possible = F.bit_count(F.col("odd_a").bitwiseXOR(F.col("odd_b"))) <= 2 * max_edits
-    met = index.join(probe, "key").where((F.col("a") < F.col("b")) | ((F.col("a") != F.col("b")) & ~F.col("same"))).where(possible).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = materialize(met.distinct())
-    ids = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
-    few = pairs.count() * 2 <= BROADCAST_IDS
-    texts = lines.join(F.broadcast(ids) if few else ids, "h", "left_semi").groupBy("h", "h2").agg(F.first("line").alias("line")).drop("h2")
-    left = texts.select(F.col("h").alias("a"), F.col("line").alias("_x"))
-    right = texts.select(F.col("h").alias("b"), F.col("line").alias("_y"))
-    tried = trimmed(pairs.join(left, "a").join(right, "b"), max_edits)
-    return tried.withColumn("distance", banded_distance(F.col("_x"), F.col("_y"), max_edits)).where(F.col("distance") <= max_edits).select("a", "b", "distance")
-
-
-def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS) -> DataFrame:
+def near_line_links(docs: DataFrame, limits: tuple = LIMITS, often: DataFrame | None = None) -> DataFrame:
+    """a, a2, b, b2, distance: pairs of distinct lines, named by their two hashes, within the edit limit of the shorter.
+
+    docs: doc_id, text. often: (h, h2) of lines on so many places that their copies must not meet under one key; they
+    are few and broadcast.
+    """
+    check_limits(limits)
+    most = max(k for _, k in limits)
+    lines = _lines(docs).where(F.char_length("line") >= limits[0][0]).select("line", "h", "h2")
+    once = lines
+    if often is not None and not often.isEmpty():
+        one = lines.join(F.broadcast(often), ["h", "h2"], "left_semi").groupBy("h", "h2").agg(F.first("line").alias("line"))  # copies collapse before the shuffle
+        once = lines.join(F.broadcast(often), ["h", "h2"], "left_anti").unionByName(one.select("line", "h", "h2"))
+    # one shuffle by key serves both the search for shared keys and the selection of their rows
+    rows = segment_keys(once.select(F.col("h").alias("id"), "line"), limits).repartition("key")
+    shared = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("stored").alias("any")).where("low <> high and any").select("key")
+    members = materialize(rows.join(shared.hint("shuffle_hash"), "key").groupBy("key", "id").agg(F.max("stored").alias("stored")))
+    ids = members.select(F.col("id").alias("h")).distinct()
+    few = members.count() <= BROADCAST_IDS
+    texts = lines.join(F.broadcast(ids) if few else ids, "h", "left_semi").groupBy("h", "h2").agg(F.first("line").alias("line"))
+    texts = materialize(texts.select("h", "h2", "line", F.char_length("line").alias("n"), letter_counts(F.col("line")).alias("s")))
+
+    # lines of one key meet block by block, so that a key's work is spread; only pairs that the counts leave possible come out
+    blocks = members.groupBy("key").agg((F.floor(F.count("*") / BLOCK) + 1).cast("int").alias("blocks"))
+    known = members.join(blocks, "key").join(texts.select(F.col("h").alias("id"), "h2", "n", "s"), "id")
+    left = known.select("key", F.pmod("id", F.col("blocks")).cast("int").alias("block"), F.struct("id", "h2").alias("a"), F.col("n").alias("n_a"), F.col("s").alias("s_a"), F.col("stored").alias("of_a"))
+    right = known.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.struct("id", "h2").alias("b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"), F.col("stored").alias("of_b"))
+    k = edit_limit(F.least("n_a", "n_b"), limits)
+    apart = sum((F.bit_count(F.col(f"s_a.s{i}").bitwiseXOR(F.col(f"s_b.s{i}"))) for i in range(len(COUNTED))), F.lit(0))
+    possible = (F.col("a") < F.col("b")) & (F.col("of_a") | F.col("of_b")) & (F.abs(F.col("n_a") - F.col("n_b")) <= k) & (apart <= 2 * k)
+    met = left.join(right, (left["key"] == right["key"]) & (left["block"] == right["block"]) & possible)
+    pairs = materialize(met.select(F.col("a.id").alias("a"), F.col("a.h2").alias("a2"), F.col("b.id").alias("b"), F.col("b.h2").alias("b2"), k.alias("k")).distinct())
+    x = texts.select(F.col("h").alias("a"), F.col("h2").alias("a2"), F.col("line").alias("_x"))
+    y = texts.select(F.col("h").alias("b"), F.col("h2").alias("b2"), F.col("line").alias("_y"))
+    tried = trimmed(pairs.join(x, ["a", "a2"]).join(y, ["b", "b2"]), most)
+    return tried.withColumn("distance", banded_distance(F.col("_x"), F.col("_y"), most)).where(F.col("distance") <= F.col("k")).select("a", "a2", "b", "b2", "distance")
+
+
+def duplicate_lines(docs: DataFrame, limits: tuple = LIMITS) -> DataFrame:
     """doc_id, th, removed, n_links: for each document with such lines, the 0-based numbers of lines to remove.
 
-    A line is removed if an equal line or one within max_edits edits stands earlier. n_links counts the near lines of
-    the document's distinct lines. Equal rows are one document here.
+    A line with a word is removed if an equal line, or one within the edit limit, stands earlier. n_links sums, over the
+    document's lines, the number of distinct lines near each. Rows equal in doc_id and text are one document.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    places = _lines(docs, min_chars).select("doc_id", "th", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), "line").alias("h2"))
-    places = materialize(places)
-    firsts = places.groupBy("h", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("n"))
-    links = materialize(near_line_links(docs, min_chars, max_edits))
-    both = links.select(F.col("a").alias("h"), F.col("b").alias("other")).union(links.select(F.col("b").alias("h"), F.col("a").alias("other")))
-    near = both.join(firsts.select(F.col("h").alias("other"), "first"), "other").groupBy("h").agg(F.min("first").alias("near_first"), F.count("*").alias("links"))
-    marks = firsts.join(near, "h", "left").where("n > 1 or links is not null")
-    marks = materialize(marks.select("h", "h2", F.least("first", "near_first").alias("limit"), F.coalesce("links", F.lit(0)).alias("links"), "n"))
-    hot = marks.where(F.col("n") * HOT > places.count()).drop("n")  # fewer than HOT rows
-    cold_places = places.join(F.broadcast(hot.select("h", "h2")), ["h", "h2"], "left_anti")
-    seen = places.join(F.broadcast(hot), ["h", "h2"]).unionByName(cold_places.join(marks.drop("n"), ["h", "h2"]))
-    late = F.col("limit") < _place()
-    return seen.groupBy("doc_id", "th").agg(F.collect_list(F.when(late, F.col("pos"))).alias("removed"), F.sum("links").alias("n_links"))
-
-
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS) -> DataFrame:
+    places = materialize(_lines(docs).drop("line"))
+    repeated = materialize(places.groupBy("h", "h2").agg(F.count("*").alias("n")).where("n > 1"))
+    often = materialize(repeated.where(F.col("n") * HOT > places.count()).select("h", "h2"))  # fewer than HOT rows
+    links = materialize(near_line_links(docs, limits, often))
+    both = links.select(F.col("a").alias("h"), F.col("a2").alias("h2"), F.col("b").alias("o"), F.col("b2").alias("o2")).union(links.select("b", "b2", "a", "a2"))
+    marked = repeated.select("h", "h2").join(both.groupBy("h", "h2").agg(F.count("*").alias("links")), ["h", "h2"], "full").select("h", "h2", F.coalesce("links", F.lit(0)).alias("links"))
+
+    def beside(rows: DataFrame, marks: DataFrame) -> DataFrame:
+        """Rows of places with the marks of their lines; lines on very many places meet their marks by broadcast."""
+        hot = marks.join(F.broadcast(often), ["h", "h2"], "left_semi")
+        return rows.join(F.broadcast(hot), ["h", "h2"]).unionByName(rows.join(F.broadcast(often), ["h", "h2"], "left_anti").join(marks, ["h", "h2"]))
+
+    seen = materialize(beside(places, marked))
+    first = seen.groupBy("h", "h2").agg(F.min(_place()).alias("first"))
+    near = both.join(first.select(F.col("h").alias("o"), F.col("h2").alias("o2"), "first"), ["o", "o2"]).groupBy("h", "h2").agg(F.min("first").alias("near_first"))
+    earliest = materialize(first.join(near, ["h", "h2"], "left").select("h", "h2", F.least("first", "near_first").alias("earliest")))
+    judged = beside(seen, earliest).select("doc_id", "th", F.struct("pos", "links", (F.col("earliest") < _place()).alias("late")).alias("x")).where("x.late or x.links > 0")
+    found = judged.groupBy("doc_id", "th").agg(F.collect_set("x").alias("x"))  # a set: equal rows count once
+    removed = F.transform(F.filter("x", lambda x: x["late"]), lambda x: x["pos"])
+    return found.select("doc_id", "th", removed.alias("removed"), F.aggregate("x", F.lit(0).cast("long"), lambda s, x: s + x["links"]).alias("n_links"))
+
+
+def dedup_lines(docs: DataFrame, limits: tuple = LIMITS) -> DataFrame:
     """docs with the later of equal or near lines taken out of text; all columns stay, n_chars is counted anew if present.
 
-    Lines are what newlines part, compared as they are; lines shorter than min_chars are never removed. Null texts stay
-    null and texts without such lines stay as they are; a document whose lines all go keeps an empty text. Documents are
-    ordered by doc_id, null first; equal rows are one document, so neither loses lines to the other. An empty table
-    gives an empty result.
+    Lines are what newlines part, compared as they are. Lines without a word stay; lines below the first length of limits
+    go only where they repeat exactly. Null texts stay null and texts without such lines stay as they are; a document
+    whose lines all go keeps an empty text. Documents are ordered by doc_id, null first; rows equal in doc_id and text
+    are one document, so neither loses lines to the other. An empty table gives an empty result.
     """
-    gone = duplicate_lines(docs, min_chars, max_edits).where(F.size("removed") > 0)
+    gone = duplicate_lines(docs, limits).where(F.size("removed") > 0)
     gone = gone.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "removed")
     # the row travels as one struct, so no column of docs can clash with those used here
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -211,7 +286,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MA
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_lines, n_removed, n_links, removed_lines (1-based, ascending, joined by commas) for every document."""
+    """doc_id, n_lines, n_removed, n_links, removed_lines (1-based, ascending, joined by commas) for every row of documents.
+
+    Null texts are one empty line. Rows equal in doc_id and text are one document and give equal rows; null doc_ids come
+    first in the order of documents. An empty table gives an empty result; other columns are ignored.
+    """
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.size(F.split(text, "\n", -1)).cast("long").alias("n_lines"))
@@ -222,16 +301,24 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), listed.alias("removed_lines"))
 
 
-OP8_SQL = r"""
-WITH l AS (SELECT doc_id, u.pos - 1 AS pos, u.line AS line FROM (SELECT doc_id, unnest(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: {'line': x, 'pos': i})) AS u FROM documents) WHERE length(u.line) >= 30),
-f AS (SELECT line, length(line) AS n, min({'d': doc_id, 'p': pos}) AS first FROM l GROUP BY line),
-p AS (SELECT a.line AS x, b.line AS y FROM f a JOIN f b ON a.n BETWEEN b.n - 2 AND b.n + 2 AND a.line < b.line
-  AND (left(a.line, a.n // 3) = left(b.line, a.n // 3) OR right(a.line, a.n // 3) = right(b.line, a.n // 3) OR contains(b.line, substr(a.line, a.n // 3 + 1, a.n // 3)))),
-k AS (SELECT x, y FROM p WHERE levenshtein(x, y) <= 2),
+# Letters beyond ASCII of the tables' languages. DuckDB's levenshtein counts bytes, so each becomes one byte.
+ACCENTED = "äçèéêíñóößüÄÇÈÉÊÍÑÓÖÜ"
+_ONE_BYTE = " || ".join(f"chr({c})" for c in [*range(1, 9), *range(14, 27)])
+_LIMIT = "CASE WHEN {0} >= 256 THEN 4 WHEN {0} >= 128 THEN 3 ELSE 2 END"
+
+OP8_SQL = rf"""
+WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT doc_id, text, u.pos - 1 AS pos, u.line AS line, {{'d': coalesce(doc_id, -9223372036854775808), 'p': u.pos}} AS place
+  FROM (SELECT doc_id, text, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {{'line': x, 'pos': i}})) AS u FROM d) WHERE regexp_matches(u.line, '[^\x20\x09-\x0D]')),
+f AS (SELECT line, length(line) AS n, min(place) AS first FROM l GROUP BY line),
+o AS (SELECT line, n, translate(line, '{ACCENTED}', {_ONE_BYTE}) AS plain, {_LIMIT.format("n")} AS k FROM f WHERE n >= 32),
+p AS (SELECT a.line AS x, b.line AS y, a.plain AS u, b.plain AS v, a.k AS k FROM o a JOIN o b ON b.n BETWEEN a.n AND a.n + 4 AND b.n - a.n <= a.k AND (a.n < b.n OR a.line < b.line)
+  WHERE list_bool_or(list_transform(range(a.k + 1), lambda i: contains(b.plain, substr(a.plain, 1 + i * (a.n // (a.k + 1)), a.n // (a.k + 1)))))),
+k AS (SELECT x, y FROM p WHERE levenshtein(u, v) <= k),
 b AS (SELECT x AS line, y AS other FROM k UNION ALL SELECT y, x FROM k),
 m AS (SELECT b.line, min(f.first) AS near, count(*) AS links FROM b JOIN f ON b.other = f.line GROUP BY b.line),
-j AS (SELECT l.doc_id, l.pos, coalesce(m.links, 0) AS links, least(f.first, coalesce(m.near, f.first)) < {'d': l.doc_id, 'p': l.pos} AS gone FROM l JOIN f USING (line) LEFT JOIN m USING (line)),
-g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, sum(links) AS n_links, string_agg(CAST(pos + 1 AS VARCHAR), ',' ORDER BY pos) FILTER (gone) AS removed_lines FROM j GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(string_split(coalesce(d.text, ''), chr(10))) AS BIGINT) AS n_lines, CAST(coalesce(g.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(g.n_links, 0) AS BIGINT) AS n_links, coalesce(g.removed_lines, '') AS removed_lines
-FROM documents d LEFT JOIN g USING (doc_id)
+j AS (SELECT l.doc_id, l.text, l.pos, coalesce(m.links, 0) AS links, least(f.first, coalesce(m.near, f.first)) < l.place AS gone FROM l JOIN f USING (line) LEFT JOIN m USING (line)),
+g AS (SELECT doc_id, text, count(*) FILTER (gone) AS n_removed, sum(links) AS n_links, string_agg(CAST(pos + 1 AS VARCHAR), ',' ORDER BY pos) FILTER (gone) AS removed_lines FROM j GROUP BY doc_id, text)
+SELECT e.doc_id, CAST(len(string_split(coalesce(e.text, ''), chr(10))) AS BIGINT) AS n_lines, CAST(coalesce(g.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(g.n_links, 0) AS BIGINT) AS n_links, coalesce(g.removed_lines, '') AS removed_lines
+FROM documents e LEFT JOIN g ON g.doc_id IS NOT DISTINCT FROM e.doc_id AND g.text = coalesce(e.text, '')
 """

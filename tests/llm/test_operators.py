@@ -282,14 +282,75 @@ def test_banded_distance(spark):
             assert (x.d == true and close[x.i] == true) if true <= k else (x.d > k and close.get(x.i, 99) > k)
 
 
+def limit_of(n):
+    return 4 if n >= 256 else 3 if n >= 128 else 2 if n >= 32 else -1
+
+
+def brute_lines(docs):
+    """(doc_id, text) -> (numbers of removed lines, links), rows equal in both being one document."""
+    docs = sorted({(i, t or "") for i, t in docs}, key=lambda d: (d[0] is not None, d[0] or 0, d[1]))
+    places = [(k, p, x) for k, (_, t) in enumerate(docs) for p, x in enumerate(t.split("\n")) if x.strip(" \t\x0b\x0c\r")]
+    first = {}
+    for k, p, x in places:
+        first.setdefault(x, (k, p))
+    distinct = sorted(first)
+    near = defaultdict(list)
+    for i, x in enumerate(distinct):
+        for y in distinct[:i]:
+            k = limit_of(min(len(x), len(y)))
+            if abs(len(x) - len(y)) <= k and edit(x, y) <= k:
+                near[x].append(y)
+                near[y].append(x)
+    out = {d: ([], 0) for d in docs}
+    for k, p, x in places:
+        gone, links = out[docs[k]]
+        if min([first[x], *(first[y] for y in near[x])]) < (k, p):
+            gone.append(p)
+        out[docs[k]] = (gone, links + len(near[x]))
+    return out
+
+
 def test_lines(messy, empty, spark):
     base = "A line that is long enough to count for this."
-    docs = [(1, f"{base}\nother short"), (2, base), (3, base.replace("long", "lng")), (4, f"own\n{base[:-1]}!\n{base}"), (5, base.replace("line", "row")), (6, None), (7, "")]
+    docs = [(1, f"{base}\nother short"), (2, base), (3, base.replace("long", "lng")), (4, f"own\n{base[:-1]}!\n{base}"), (5, base.replace("line", "row")), (6, None), (7, ""), (8, "own\n\n \t\nown"), (9, "\n \t"), (2, base)]
     out = lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"))
-    assert {r.doc_id: r.text for r in out.collect()} == {1: docs[0][1], 2: "", 3: "", 4: "own", 5: docs[4][1], 6: None, 7: ""}
+    assert {r.doc_id: r.text for r in out.collect()} == {1: docs[0][1], 2: "", 3: "", 4: "own", 5: docs[4][1], 6: None, 7: "", 8: "\n \t", 9: docs[8][1]} and out.count() == len(docs)
     got = lines.dedup_lines(messy)
     assert got.columns == messy.columns and got.count() == messy.count()
     assert lines.dedup_lines(empty).count() == 0
+    with pytest.raises(ValueError):
+        lines.check_limits(((33, 2),))
+
+
+@pytest.mark.parametrize("block", [lines.BLOCK, 2])
+def test_line_links_against_brute_force(spark, monkeypatch, block):
+    """Lines around the classes' borders with zero to five planted edits, periodic lines, hot lines and repeated rows."""
+    import random
+
+    monkeypatch.setattr(lines, "BLOCK", block)
+    r, docs = random.Random(7), []
+    for n in (30, 32, 33, 36, 63, 64, 127, 128, 130, 143, 145, 254, 255, 256, 258, 290):
+        base = [r.choice("abcdé 日") for _ in range(n - 1)] + ["."]
+        for _ in range(6):
+            x = base[:]
+            for _ in range(r.randint(0, 5)):
+                at = r.randint(0, len(x))
+                x[at : at + r.randint(0, 1)] = [r.choice("abx")] * r.randint(0, 1)
+            docs.append("".join(x))
+    docs += ["ab" * 20, "ab" * 21, "ba" * 20 + "b", "a" * 33, "a" * 34, "a" * 36, "short", "short", "", " \t"]
+    r.shuffle(docs)
+    rows_ = [(i // 3 if i % 7 else None, "\n".join(docs[i : i + 3])) for i in range(0, len(docs), 3)] + [(100 + i, docs[0] + "\nown line") for i in range(30)]
+    rows_ += rows_[:4]
+    df = spark.createDataFrame([(*x, "s") for x in rows_], "doc_id long, text string, source string").repartition(4)
+    want = brute_lines(rows_)
+    # documents of one id are ordered by a hash of the text here, which plain Python does not know: take ids of one text
+    alone = {i for i, n in Counter(i for i, _ in want).items() if n == 1}
+    got = {(x.doc_id, x.th): (sorted(x.removed), x.n_links) for x in lines.duplicate_lines(df).collect()}
+    names = {(x.doc_id, x.text): x.th for x in df.select("doc_id", "text", F.xxhash64("text").alias("th")).collect()}
+    for (i, t), (gone, links) in want.items():
+        mine = got.get((i, names[i, t]), ([], 0))
+        assert mine[1] == links, t[:60]
+        assert i not in alone or mine[0] == gone, t[:60]
 
 
 def test_packing(messy, empty):
