@@ -373,6 +373,39 @@ def test_packing(messy, empty):
     assert packing.best_fit_packing(empty).count() == 0
 
 
+def pack_one_by_one(lengths, capacity):
+    """Sequences that best-fit decreasing opens."""
+    import bisect
+
+    left: list[int] = []
+    for n in sorted(lengths, reverse=True):
+        i = bisect.bisect_left(left, n)
+        rest = (left.pop(i) if i < len(left) else capacity) - n
+        bisect.insort(left, rest)
+    return len(left)
+
+
+def test_op9_query(spark, sf):
+    """The whole query: texts tokenized one by one, gapless sequences, and as many as packing piece by piece opens."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    out = rows(packing.op9_best_fit_packing(spark, sf))
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = []
+    for i, text in texts(spark.read.parquet(f"{sf}/documents.parquet")):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        want += [(i, k, a, n, zlib.crc32(ids[a : a + n].tobytes())) for k, (a, n) in enumerate(packing.cut(len(ids), 2048))]
+    assert sorted(want) == sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out)
+    per = defaultdict(list)
+    for r in out:
+        per[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in per.values():
+        places.sort()
+        assert [a for a, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))] and sum(n for _, n in places) <= 2048
+    assert len(per) == pack_one_by_one([r["length"] for r in out], 2048)
+
+
 def test_best_fit_plan():
     """The histogram's plan opens as many bins as packing piece by piece."""
     import random
@@ -400,14 +433,19 @@ def test_best_fit_plan():
             assert all(x + n == y for (x, n), (y, _) in zip(places, places[1:], strict=False)) and places[-1][0] + places[-1][1] <= 40
 
 
-def test_encoder_equals_the_tokenizer():
+@pytest.mark.parametrize("marks_as_text", [False, True])
+def test_encoder_equals_the_tokenizer(marks_as_text):
+    import random
+
     import public_tokenizers
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    encode = packing.make_encoder()
-    for text in ["", " ", "a", " a b  c\n\nd ", "it's we'll\tx", "é b 　c", "<|endoftext|> x", "\r\n a b", "1234 56.7, (x)", "a\x1cb c", "😀 ok " * 5]:
+    t.encode_special_tokens = marks_as_text
+    encode = packing.make_encoder(marks_as_text=marks_as_text)
+    r = random.Random(3)
+    some = ["".join(r.choices(["a", "Zé", " ", "  ", "\n", "<|endoftext|>", "'s", "12", "😀", "，", "\u00a0", "the"], k=12)) for _ in range(300)]
+    for text in ["a<|endoftext|>", "<|endoftext|>  <|endoftext|>b", "<|endoftext", "", " ", "a", " a b  c\n\nd ", "it's we'll\tx", "é b 　c", "<|endoftext|> x", "\r\n a b", "1234 56.7, (x)", "a\x1cb c", "😀 ok " * 5, *some]:
         assert np.frombuffer(encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
 
