@@ -1,12 +1,12 @@
 """Operator 1 [native]: mixing sources to target weights by weighted fair queueing.
 
-Every source queues its documents in a shuffled order that the seed fixes, once per pass. A queued document gets a
-virtual start and finish time, the source's words before and after it divided by the source's weight. What a
-fair-queueing server would give each source in the end, where a source that runs dry leaves its share to the others, is
-found in closed form, and every source is cut there on its own; a document at its source's cut is taken in part. The
-finish times only order the mix: they decide nothing that is taken.
+Every source queues its documents in a shuffled order that the seed fixes, once per pass. A queued document's virtual
+finish time is the number of its source's words up to its end, divided by the source's weight. All queued documents are
+sorted by finish time over ranges of it, and the mix is what comes before the budget of words is spent; the document at
+the cut is taken in part. A source whose passes are over has no more documents to finish, so the others share what it
+leaves, and each source ends within a document of its target.
 
-All prefix sums are taken in two levels (totals of small ranges, then rows inside one range), so no task holds a source.
+All prefix sums are taken in two levels (totals of ranges, then rows inside one range), so no task holds a source.
 """
 
 from __future__ import annotations
@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize, n_words, table
 
-#: Rows of one range of a prefix sum, on average.
+#: Rows of one range of a source's queue, on average.
 RANGE_ROWS = 4_000
+#: Repeats of one row that are made at a time.
+CHUNK = 10_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, passes: int = 2) -> DataFrame:
@@ -42,83 +44,94 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budge
     return x.select("source", "source_size", "weight", target.alias("target"))
 
 
-def row_key() -> Column:
-    """A hash of doc_id and text."""
-    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+def shuffle_key(seed: str = "mix") -> Column:
+    """The place of a document in its source's shuffled order: MD5 of seed, doc_id and text. Equal documents share it."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit("|"), text))
 
 
-def _prefix(df: DataFrame, keys: list[str], at: Column, order: list[Column], value: str, out: str) -> DataFrame:
-    """Add the sum of `value` over the rows before each row, by (range number `at`, order) within keys."""
-    df = df.withColumn("_at", at)
-    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    # keys that are all equal (the global order) still sum only one row per range
-    totals = df.groupBy(*keys, "_at").agg(F.sum(value).alias("_sum")).withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    inside = Window.partitionBy(*keys, "_at").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("_own", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    joined = df.join(totals, [*keys, "_at"])
-    return joined.withColumn(out, F.col("_base") + F.col("_own")).drop("_base", "_own", "_at")
+def _source_key() -> Column:
+    return F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
+
+
+def _before(df: DataFrame, keys: list[str], at: str, order: list[Column], value: Column, out: str) -> DataFrame:
+    """Add the sum of `value` over the rows before each row in (range number `at`, order) within keys; drops `at`."""
+    df = df.withColumn("_value", value)
+    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy(*keys, at).agg(F.sum("_value").alias("_sum")).withColumn("_base", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
+    inside = Window.partitionBy(*keys, at).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("_own", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
+    return df.join(totals, [*keys, at]).withColumn(out, F.col("_base") + F.col("_own")).drop("_base", "_own", "_value", at)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, passes: int = 2, seed: str = "mix") -> DataFrame:
-    """One row per document and pass: doc_id, key, source, size, source_size, target, pass, virtual_finish, position, taken.
+    """One row per document and pass: doc_id, key, copy, source, size, source_size, target, pass, virtual_finish, position, taken.
 
-    docs needs doc_id, text, source; other columns are ignored. `position` is the number of words that the mix holds
-    before this row; rows with taken = 0 are not in the mix but stay in the result. Null texts have size 0, null sources
-    form a source of their own, null doc_ids and equal rows are kept apart. An empty table gives an empty result.
+    docs needs doc_id, text, source; other columns are ignored. `position` is the number of words before the row in the
+    order of finish times (ties by source, place in its queue); taken is what the budget leaves of its size. Rows with
+    taken = 0 are not in the mix but stay in the result. Null texts have size 0, null sources form a source of their
+    own, null doc_ids are kept apart by their texts, and rows equal in doc_id, text and source by their number `copy`. An
+    empty table gives an empty result.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words("text").alias("size"), row_key().alias("key"))
-    rows = materialize(rows.withColumn("_order", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))))
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words("text").alias("size"), shuffle_key(seed).alias("key"))
+    rows = materialize(rows.groupBy("doc_id", "source", "size", "key").agg(F.count("*").alias("copies")))  # equal rows stand together in the queue
+    sizes = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.count("*").alias("_rows"))
     targets = source_targets(sizes.select("source", "source_size"), weights, budget, passes)
-    known = materialize(targets.join(sizes.select(F.col("source").alias("_s"), "_rows"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))))
-    rows = rows.withColumn("_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).join(known.drop("source"), "_key")
+    known = targets.join(sizes.select(F.col("source").alias("_s"), "_rows"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("_key", _source_key())
+    known = materialize(known)
+    rows = rows.withColumn("_key", _source_key()).join(known.drop("source"), "_key")
 
     # Place in the source's queue: ranges of the shuffled order, so many that each holds about RANGE_ROWS rows.
-    part = F.conv(F.substring("_order", 1, 7), 16, 10).cast("long")  # 28 bits, evenly spread
-    at = F.floor(part * (F.floor(F.col("_rows") / RANGE_ROWS) + 1) / F.lit(1 << 28))
-    order = [F.col("_order"), F.col("doc_id"), F.col("size")]
-    queued = _prefix(rows, ["_key"], at, order, "size", "_before")
-
-    queued = queued.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
-    start = F.col("_before") + F.col("pass") * F.col("source_size")
-    queued = queued.withColumn("_start", start).withColumn("virtual_finish", (start + F.col("size")) / F.col("weight"))
-    served = F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - F.col("_start")))
-    queued = queued.withColumn("taken", served.cast("long"))
-
-    # The global order: ranges of finish time. The budget of words ends the mix.
-    end, total, n = known.agg(F.max((F.col("source_size") * passes) / F.col("weight")), F.floor(F.sum("target")), F.sum("_rows")).first()
-    slots = (n or 0) * passes // RANGE_ROWS + 1
-    slot = F.floor(F.col("virtual_finish") / max(end or 0.0, 1e-9) * slots)
-    queued = _prefix(queued, [], slot, [F.col("virtual_finish"), F.col("_key"), F.col("_start"), F.col("_order"), F.col("doc_id")], "taken", "position")
-    cut = F.greatest(F.lit(0), F.least(F.col("taken"), F.lit(int(total or 0)) - F.col("position"))).cast("long")
-    return queued.withColumn("taken", cut).select("doc_id", "key", "source", "size", "source_size", "target", (F.col("pass") + 1).alias("pass"), "virtual_finish", "position", "taken", F.col("_before").alias("queue_position"))
-
-
-def mixed(docs: DataFrame, **options) -> DataFrame:
+    part = F.conv(F.substring("key", 1, 7), 16, 10).cast("long")  # 28 bits, evenly spread
+    rows = rows.withColumn("_at", F.floor(part * (F.floor(F.col("_rows") / RANGE_ROWS) + 1) / F.lit(1 << 28)))
+    queued = _before(rows, ["_key"], "_at", [F.col("key"), F.col("doc_id"), F.col("size")], F.col("size") * F.col("copies"), "_start")
+    queued = queued.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
+    start = F.col("_start") + F.col("copy") * F.col("size") + F.col("pass") * F.col("source_size")
+    queued = queued.withColumn("_start", start).withColumn("virtual_finish", (F.col("_start") + F.col("size")) / F.col("weight"))
+
+    # The global order: a range sort by finish time, written with the number of each range.
+    order = [F.col("virtual_finish"), F.col("_key"), F.col("_start"), F.col("key"), F.col("doc_id")]
+    sorted_ = materialize(queued.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).drop("_rows", "copies"))
+    placed = _before(sorted_, [], "_range", order, F.col("size"), "position")
+    words = known.agg(F.sum("source_size")).first()[0] or 0
+    taken = F.greatest(F.lit(0), F.least(F.col("size"), F.lit(int(budget * words)) - F.col("position"))).cast("long")
+    return placed.select("doc_id", "key", "copy", "source", "size", "source_size", "target", (F.col("pass") + 1).alias("pass"), "virtual_finish", "position", taken.alias("taken"))
+
+
+def mixed(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
     """docs as the mix takes them, whole documents: a row per pass of which at least half of the words are taken.
 
-    A document without words stays once. All columns stay; equal rows come out as often as their average, rounded up.
+    A document without words stays once. All columns stay. Rows equal in doc_id, text and source share what the mix takes
+    of them: those equal in all columns are one row that is repeated; among others the smaller hash comes first.
     """
     some = (F.col("taken") > 0) & (2 * F.col("taken") >= F.col("size")) | ((F.col("size") == 0) & (F.col("pass") == 1))
-    times = mix(docs, **options).groupBy("key").agg(F.sum(some.cast("int")).alias("_taken"), F.sum((F.col("pass") == 1).cast("int")).alias("_rows"))
-    times = times.where("_taken > 0").select(F.col("key").alias("_key"), F.ceil(F.col("_taken") / F.col("_rows")).cast("int").alias("_times"))
-    x = docs.select(F.struct(*docs.columns).alias("_row"), row_key().alias("_mine")).join(times, F.col("_mine") == F.col("_key"))
-    return x.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
+    times = mix(docs, seed=seed, **options).groupBy("key", "source").agg(F.sum(some.cast("long")).alias("_times"), F.max("copy").alias("_last"))
+    times = materialize(times.where("_times > 0").select(F.col("key").alias("_k"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_s"), "_times", "_last"))
+    mine = docs.select(F.struct(*docs.columns).alias("_row"), shuffle_key(seed).alias("_key"), _source_key().alias("_source"))
+    same = (F.col("_key") == F.col("_k")) & (F.col("_source") == F.col("_s"))
+    single = mine.join(times.where("_last = 0"), same).select("_row", "_times")
+    several = times.where("_last > 0")
+    if not several.isEmpty():
+        row_hash = F.xxhash64(*[F.col("_row").getField(c) for c, kind in docs.dtypes if "map<" not in kind])
+        alike = mine.join(several, same).groupBy("_k", "_s", "_times", "_last", row_hash.alias("_hash")).agg(F.first("_row").alias("_row"), F.count("*").alias("_n"))
+        ahead = F.coalesce(F.sum("_n").over(Window.partitionBy("_k", "_s").orderBy("_hash").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        each, rest = F.floor(F.col("_times") / (F.col("_last") + 1)), F.col("_times") % (F.col("_last") + 1)
+        alike = alike.withColumn("_ahead", ahead).select("_row", (each * F.col("_n") + F.greatest(F.lit(0), F.least(F.col("_n"), rest - F.col("_ahead")))).alias("_times"))
+        single = single.unionByName(alike.where("_times > 0"))
+    chunks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_times") - 1) / CHUNK)))
+    out = single.select("_row", "_times", chunks.alias("_chunk"))
+    return out.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(CHUNK), F.col("_times") - F.col("_chunk") * CHUNK)))).select("_row.*")
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document with the words that the mix takes of it over all passes."""
+    """One row per row of documents with the words that the mix takes of it over all passes; nulls as in mix()."""
     rows = mix(table(spark, sf_dir, "documents"))
-    keys = ["doc_id", "source", "size", "source_size", "target", "queue_position"]
-    # a document's place in its source's queue tells it from others of the same doc_id; rows of size 0 may share one
-    n = F.greatest(F.lit(1), F.floor(F.count("*") / 2)).cast("int")
-    out = rows.groupBy(*keys).agg(F.sum("taken").alias("taken"), n.alias("_n"))
-    out = out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    out = rows.groupBy("doc_id", "key", "copy", "source", "size", "source_size", "target").agg(F.sum("taken").alias("taken"))
     return out.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 OP1_SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')) AS o FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')) AS o FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM s),
 r AS (SELECT *, 1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE)
@@ -126,8 +139,10 @@ r AS (SELECT *, 1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE)
    CAST(sum(weight) OVER (ORDER BY 2 * source_size / weight, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS weights FROM w),
 l AS (SELECT *, (total - spent) / weights AS own FROM r),
 v AS (SELECT arg_min(own, 2 * source_size / weight) AS level FROM l WHERE own * weight <= 2 * source_size),
-t AS (SELECT source, source_size, CASE WHEN level IS NULL OR level * weight > 2 * source_size THEN CAST(2 * source_size AS DOUBLE) ELSE level * weight END AS target FROM l LEFT JOIN v ON true),
-q AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.o, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
-   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, source, size, source_size, target, CAST(greatest(0, least(size, floor(target) - b)) + greatest(0, least(size, floor(target) - b - source_size)) AS BIGINT) AS taken FROM q
+t AS (SELECT source, source_size, weight, total, CASE WHEN level IS NULL OR level * weight > 2 * source_size THEN CAST(2 * source_size AS DOUBLE) ELSE level * weight END AS target FROM l LEFT JOIN v ON true),
+q AS (SELECT d.r, d.doc_id, d.source, d.size, d.o, t.source_size, t.target, t.weight, t.total, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.o, d.doc_id, d.size, d.r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
+   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT *, b + pass * source_size AS start, CAST(b + pass * source_size + size AS DOUBLE) / weight AS finish FROM q, (VALUES (0), (1)) passes(pass)),
+c AS (SELECT *, coalesce(sum(size) OVER (ORDER BY finish, coalesce('s' || source, 'n'), start, o, doc_id, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS position FROM p)
+SELECT doc_id, source, size, source_size, target, CAST(sum(greatest(0, least(size, floor(total) - position))) AS BIGINT) AS taken FROM c GROUP BY r, doc_id, source, size, source_size, target
 """

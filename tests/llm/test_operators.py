@@ -22,23 +22,72 @@ def texts(df):
     return [(r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()]
 
 
-def test_mixing(messy, empty):
+def brute_mix(docs, weights=(3, 1, 2), budget=1.5, passes=2):
+    """{(doc_id, text, source): words taken} by serving queues in order of finish times until the budget is spent."""
+    n = lambda t: len(WORD.findall(t or ""))
+    names = [*sorted({s for _, _, s in docs if s is not None}), *[None] * any(s is None for _, _, s in docs)]
+    queue = []
+    for k, name in enumerate(names):
+        mine = sorted((hashlib.md5(f"mix|{'' if i is None else i}|{t or ''}".encode()).hexdigest(), n(t), (i, t, s)) for i, t, s in docs if s == name)
+        at = 0
+        for _ in range(passes):
+            for key, size, doc in mine:
+                queue.append(((at + size) / weights[k % len(weights)], "n" if name is None else "s" + name, at, key, size, doc))
+                at += size
+    left, out = int(budget * sum(n(t) for _, t, _ in docs)), Counter({d: 0 for d in docs})
+    for *_, size, doc in sorted(queue, key=lambda q: q[:4]):
+        out[doc] += min(size, left)
+        left -= min(size, left)
+    return out
+
+
+def test_mixing(messy, empty, spark):
     out = rows(mixing.mix(messy))
     assert len(out) == 2 * messy.count()
-    taken, size, target = Counter(), {}, {}
+    taken, size, target, longest = Counter(), {}, {}, 0
     for r in out:
         taken[r["source"]] += r["taken"]
         size[r["source"]], target[r["source"]] = r["source_size"], r["target"]
+        longest = max(longest, r["size"])
         assert 0 <= r["taken"] <= r["size"]
-    assert abs(sum(target.values()) - 1.5 * sum(size.values())) < 1e-6
-    for s in size:
-        assert target[s] <= 2 * size[s] and abs(taken[s] - target[s]) <= 1
-    order = sorted((r["position"], r["virtual_finish"]) for r in out if r["taken"])
+    assert abs(sum(target.values()) - 1.5 * sum(size.values())) < 1e-6 and sum(taken.values()) == int(1.5 * sum(size.values()))
+    assert all(target[s] <= 2 * size[s] and abs(taken[s] - target[s]) <= longest for s in size)
+    order = sorted((r["position"], r["virtual_finish"]) for r in out)
     assert [f for _, f in order] == sorted(f for _, f in order)
     assert sorted(map(str, rows(mixing.mix(messy)))) == sorted(map(str, out))
     kept = mixing.mixed(messy)
     assert kept.columns == messy.columns and kept.count() > 0
-    assert mixing.mix(empty).count() == 0
+    assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
+
+
+@pytest.mark.parametrize("range_rows", [mixing.RANGE_ROWS, 3])
+def test_mixing_is_a_fair_queue(spark, sf, monkeypatch, range_rows):
+    """The cut through the global order of finish times decides what is taken, by brute force; repeated rows included."""
+    monkeypatch.setattr(mixing, "RANGE_ROWS", range_rows)
+    some = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()]
+    docs = [*some, *some[:5], *[some[7]] * 9, (None, "no id", None), (None, "two words more", None), (900, None, None), (901, "", "x"), (902, "a b c", "x")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(4)
+    want = brute_mix(docs)
+    got = Counter()
+    names = {hashlib.md5(f"mix|{'' if i is None else i}|{t or ''}".encode()).hexdigest(): (i, t) for i, t, _ in docs}
+    for r in mixing.mix(df).collect():
+        got[(*names[r.key], r.source)] += r.taken
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+    # the budget cuts within the queues: rows with and without words of theirs in the mix
+    sizes = {d: len(WORD.findall(d[1] or "")) * n for d, n in Counter(docs).items()}
+    assert any(want[d] == 2 * sizes[d] for d in sizes) and any(want[d] < sizes[d] for d in sizes)
+
+
+def test_mixed_of_equal_rows(spark):
+    """A thousand equal rows, and rows that differ in another column only, meet their source's target to a document."""
+    docs = [(1, "one two three four", "a", "x")] * 1000 + [(2, "five six seven", "a", f"y{i % 3}") for i in range(50)] + [(10 + i, f"w{i} v", "b", "z") for i in range(1500)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").repartition(3)
+    got, size = Counter(), {"a": 4150, "b": 3000}
+    for r in mixing.mixed(df).collect():
+        got[r.source] += len(r.text.split())
+    want = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(list(size.items()), "source string, source_size long")).collect()}
+    assert all(abs(got[s] - want[s]) <= 4 for s in size), (got, want)
+    assert mixing.mixed(df).select("lang").distinct().count() == 5
 
 
 def test_targets_reshare(spark):
