@@ -7,6 +7,8 @@ article as well as around it. What remains outside the rules of tags, roles and
 
 from __future__ import annotations
 
+import bisect
+import functools
 import html as _html
 import re
 from collections.abc import Iterator
@@ -38,76 +40,107 @@ FURNITURE = set("ad ads adv advert adverts advertisement advertising adsense spo
 PARTS = set("caption dd dt figcaption h1 h2 h3 h4 h5 h6 hgroup legend li summary tbody td tfoot th thead tr".split())
 #: Elements whose ids name their subject.
 ANCHORED = set("a dd dt h1 h2 h3 h4 h5 h6 li p section".split())
+P, P_SCOPE = {"p"}, {"td", "th", "table", "button", "li", "blockquote", "div", "section", "article"}
+#: Start tags that close the nearest of their siblings; the others close all up to their scope.
+NEAREST = {"li", "td", "th", "dt", "dd", "option"}
 HEAD_WORDS = {"header", "heading"}
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>|[^<]+|<", re.S)
+# No part can match a text in two ways, so the time is linear. Quotes hold a > only after an equals sign; a tag that the
+# page's end cuts off is dropped.
+_TOKEN = re.compile(r"<!--(?:.*?-->|.*+)|<[!?][^>]*+>?|</([a-zA-Z][^\s/>]*+)[^>]*+>?|<([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"?+|'[^']*+'?+)?+)*+)(>|\Z)|[^<]++|<", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.S)
 _WORDS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("attrs", "core", "hash", "items", "tag")
+    __slots__ = ("attrs", "core", "hash", "items", "own", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str]) -> None:
-        self.tag, self.attrs, self.items, self.core, self.hash = tag, attrs, [], False, 0
+        self.tag, self.attrs, self.items, self.core, self.hash, self.own = tag, attrs, [], False, 0, False
 
 
 def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): _html.unescape(m[2].strip("\"'") if m[2] else "") for m in _ATTR.finditer(source)} if source.strip() else {}
 
 
+class _Open:
+    """The open elements, with the places of each tag and of the blocks, so that no search walks the stack."""
+
+    def __init__(self, root: Node) -> None:
+        self.stack, self.places, self.blocks = [root], {root.tag: [0]}, [0]
+
+    def push(self, node: Node) -> None:
+        if node.tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, at: int) -> None:
+        """Close the element at this place and all in it."""
+        for x in reversed(self.stack[at:]):
+            self.places[x.tag].pop()
+            if x.tag in BLOCKS:
+                self.blocks.pop()
+        del self.stack[at:]
+
+    def last(self, tags: set[str] | frozenset[str]) -> int:
+        """The innermost place of any of these tags, the root aside; 0 if there is none."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def first_after(self, tags: set[str], at: int) -> int:
+        """The outermost place of any of these tags beyond a place; 0 if there is none."""
+        found = [p[i] for t in tags if (p := self.places.get(t)) and (i := bisect.bisect_right(p, at)) < len(p)]
+        return min(found, default=0)
+
+
 def parse(page: str) -> Node:
-    """A tree of a page; unclosed and stray tags are mended as browsers do in the common cases."""
+    """A tree of a page; unclosed and stray tags are mended as browsers do in the common cases. Linear in the page."""
     root = Node("html", {})
-    stack, at, n = [root], 0, len(page)
-    token = _TOKEN.match
+    opened, at, n = _Open(root), 0, len(page)
+    stack, token = opened.stack, _TOKEN.match
     while at < n:
         m = token(page, at)
         at = m.end()
         text = m[0]
         if text[0] != "<" or len(text) == 1:
             stack[-1].items.append(_html.unescape(text))
-        elif m[2]:
+        elif m[2] and m[4]:
             tag = m[2].lower()
-            if tag in ("html", "body") and any(x.tag == tag for x in stack[1:] or stack):
+            if tag == "html" or tag == "body" and opened.places.get("body"):
                 continue
-            if tag in CLOSES_P:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in ("td", "th", "table", "button", "li", "blockquote", "div", "section", "article"):
-                        break
-                    if stack[i].tag == "p":
-                        del stack[i:]
-                        break
+            if tag in CLOSES_P and (p := opened.last(P)) > opened.last(P_SCOPE):
+                opened.cut(p)
             if tag in SIBLINGS:
-                stop = SCOPE[tag]
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in stop:
-                        break
-                    if stack[i].tag in SIBLINGS[tag]:
-                        del stack[i:]
-                        if tag in ("li", "td", "th", "dt", "dd", "option"):
-                            break
+                stop = opened.last(SCOPE[tag])
+                if tag in NEAREST:
+                    closed = opened.last(SIBLINGS[tag])
+                else:
+                    closed = opened.first_after(SIBLINGS[tag], stop)
+                if closed > stop:
+                    opened.cut(closed)
             node = Node(tag, _attributes(m[3]))
             stack[-1].items.append(node)
             if tag in RAW:
-                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+                end = _raw_end(tag).search(page, at)
                 at = end.end() if end else n
-            elif tag not in VOID and not (m[4] and tag in ("svg", "path", "g")):
-                stack.append(node)
+            elif tag not in VOID and not (m[3].endswith("/") and tag in ("svg", "path", "g")):
+                opened.push(node)
         elif m[1]:
             tag = m[1].lower()
-            if tag == "p" and not any(x.tag == "p" for x in stack):
+            place = opened.last({tag})
+            if tag == "p" and not place:
                 stack[-1].items.append(Node("p", {}))
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag not in BLOCKS and stack[i].tag in BLOCKS:  # a stray inline end tag closes no block
-                    break
+            if place and (tag in BLOCKS or opened.blocks[-1] < place):  # a stray inline end tag closes no block
+                opened.cut(place)
     return root
 
 
+@functools.cache
+def _raw_end(tag: str) -> re.Pattern[str]:
+    return re.compile(rf"</{tag}(?=[\s/>])[^>]*+>?", re.I)
+
+
 def _finish(node: Node) -> None:
     """Hash every subtree and note which hold an article or main element. Children come first, without recursion."""
     import xxhash
@@ -124,6 +157,7 @@ def _finish(node: Node) -> None:
         parts = [x.tag, x.attrs.get("class", ""), x.attrs.get("id", "")]
         parts += [str(c.hash) if isinstance(c, Node) else " ".join(c.split()) for c in x.items]
         x.hash = xxhash.xxh64_intdigest("\x00".join(parts).encode("utf-8", "replace")) - (1 << 63)
+        x.own = x.tag == "main" and x.core and _has_text(x)
 
 
 def _is_furniture(x: Node, inside: bool, whole: bool = True) -> bool:
@@ -148,13 +182,16 @@ def _is_furniture(x: Node, inside: bool, whole: bool = True) -> bool:
 
 
 def _has_text(x: Node) -> bool:
-    """Whether an element has text that is neither furniture nor in an article."""
+    """Whether an element has text that is neither furniture nor in an article. Inner main elements know it of themselves."""
     todo = [x]
     while todo:
         for c in todo.pop().items:
             if isinstance(c, str):
                 if c.strip():
                     return True
+            elif c.tag == "main" and c.core:
+                if c.own and not _is_furniture(c, True):
+                    return True
             elif c.tag != "article" and not _is_furniture(c, True):
                 todo.append(c)
     return False
@@ -169,7 +206,7 @@ def _roots(page: Node) -> tuple[list[Node], bool]:
         found, todo = [], [(page, False)]
         while todo:
             x, within = todo.pop()
-            if (x.tag == wanted or x.tag == "main" and x.core and _has_text(x)) and not _is_furniture(x, True, within):
+            if (x.tag == wanted or x.own) and not _is_furniture(x, True, within):
                 found.append(x)
             elif not _is_furniture(x, within):
                 todo += [(c, within or x.tag == "main") for c in reversed(x.items) if isinstance(c, Node)]
@@ -302,5 +339,6 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
 
 
 def op6_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars for every row of pages; nulls, repeated rows and an empty table as in extract()."""
     x = extract(table(spark, sf_dir, "pages"))
     return x.withColumn("n_chars", F.char_length("text").cast("long"))

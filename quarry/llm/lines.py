@@ -8,8 +8,10 @@ from the line's start, the last ones from its end. Of two lines within k edits,
 unharmed, with no more than i edits before it and no more than k - i after it; so a line is indexed under (class,
 segment number, segment), and probes the substrings moved by up to min(i, k - i) places. A line within reach of the class
 below its own takes part there as well. Keys under which one line alone stands, which is nearly all of them, go after one
-shuffle. What meets under a key is pruned by letter counts, then verified by a banded bit-parallel edit distance:
-2 * k + 1 diagonals in one word.
+shuffle. What meets under a key is pruned by letter counts: an edit changes the counts of whole lines by two at most, and
+edits before a place and after it add up. Under crowded keys, where many near copies meet, the counts before and after
+several places of the line must agree as well, and a pair is let out only at the first segment that it shares. What is
+left is verified by a banded bit-parallel edit distance: 2 * k + 1 diagonals in one word.
 
 A line is removed if an equal or near line comes earlier.
 """
@@ -23,17 +25,20 @@ from .common import materialize, table
 
 #: Edit limits by the length of the shorter line: (length from which it holds, edits). Lines shorter than the first length
 #: are near no other line. Lengths start a class: at most four leading bits, then zeros; edits fit the narrowest class.
-LIMITS = ((32, 2), (128, 3), (256, 4))
+LIMITS = ((32, 2), (512, 3))
 #: Candidate line ids that are broadcast to filter the scan for their texts (8 bytes each); beyond it a join is used.
 BROADCAST_IDS = 1_000_000
 #: Common ends of up to 2**TRIM_BITS - 1 characters are cut off before verification.
 TRIM_BITS = 17
 #: A line on more than a share 1 / HOT of all places is joined by broadcast; there are fewer than HOT of them.
 HOT = 1_000
-#: Lines under one key that one task compares with all lines of the key.
+#: Under keys of more lines than CROWD, pairs are pruned by counts at PLACES places of the line before they come out.
+CROWD, PLACES = 32, 15
+#: Lines of a crowded key that one task compares with all lines of the key.
 BLOCK = 4_096
 #: Characters whose counts (modulo 8) a pair of lines must nearly share, two words of 16 each.
 COUNTED = ("etaoinsrhldcumfp", "gwybvkxjqz ,.éáó")
+LOW, STORED = 32, 64
 #: Characters that do not make a line a line with a word.
 BLANK = " \t\x0b\x0c\r"
 
@@ -50,10 +55,14 @@ def _floor(n: Column) -> Column:
 
 def edit_limit(n: Column, limits: tuple = LIMITS) -> Column:
     """Edits allowed for pairs whose shorter line has n characters; -1 below the shortest length."""
-    out = F.lit(-1)
-    for start, edits in limits:
-        out = F.when(n >= start, F.lit(edits)).otherwise(out)
-    return out
+    out = F
+    for start, edits in reversed(limits):
+        out = out.when(n >= start, F.lit(edits))
+    return out.otherwise(F.lit(-1))
+
+
+def _limit_sql(n: str, limits: tuple) -> str:
+    return "CASE " + " ".join(f"WHEN {n} >= {start} THEN {edits}" for start, edits in reversed(limits)) + " ELSE -1 END"
 
 
 def check_limits(limits: tuple) -> None:
@@ -63,28 +72,35 @@ def check_limits(limits: tuple) -> None:
             raise ValueError(f"{(start, edits)}: the length must start a class, and the edits must not exceed the class's width {width}")
 
 
-def _moves(k: int, low: bool) -> list[Column]:
-    """(low, segment number, move) of every substring that a line of a class with limit k looks up."""
-    return [F.struct(F.lit(low).alias("low"), F.lit(i).alias("i"), F.lit(s).alias("move")) for i in range(k + 1) for s in range(-min(i, k - i), min(i, k - i) + 1)]
+def _moves(k: int, low: bool) -> str:
+    """SQL for (low, segment number, move) of every substring that a line of a class with limit k looks up."""
+    return f"array({', '.join(f'struct({low} AS low, {i} AS i, {s} AS move)' for i in range(k + 1) for s in range(-min(i, k - i), min(i, k - i) + 1))})"
+
+
+def _segment_key(wide: Column, n: Column, c: Column, k: Column, i: Column, move: Column) -> Column:
+    """The key of a line's substring at the place of segment i of class c (limit k), moved; wide has four bytes a character."""
+    size = F.floor(c / (k + 1)).cast("int")
+    start = F.when(2 * i <= k, i * size).otherwise(n - (k + 1 - i) * size) + move
+    return F.xxhash64(c, i, F.substring(wide, 4 * start + 1, 4 * size))
 
 
 def segment_keys(lines: DataFrame, limits: tuple = LIMITS) -> DataFrame:
-    """key, id, stored: for each line (columns id, line) its segments' keys (stored) and those it only probes."""
-    x = lines.select("id", F.encode("line", "UTF-32").alias("wide"), F.char_length("line").alias("n"))
-    x = x.where(F.col("n") >= limits[0][0]).withColumn("f1", _floor(F.col("n"))).withColumn("f0", _floor(F.col("f1") - 1))
-    x = x.withColumn("k1", edit_limit(F.col("f1"), limits)).withColumn("k0", edit_limit(F.col("f0"), limits))
+    """key, id, at: for each line (columns id, line) the keys of its segments and of the substrings that it only probes.
+
+    at: STORED if the key is that of a segment, plus LOW if it is one of the class below the line's, plus the segment's
+    number.
+    """
+    x = lines.select("id", F.encode("line", "UTF-32").alias("wide"), F.char_length("line").alias("n")).where(F.col("n") >= limits[0][0])
+    x = x.withColumn("f1", _floor(F.col("n"))).withColumn("f0", _floor(F.col("f1") - 1)).withColumn("k1", edit_limit(F.col("f1"), limits)).withColumn("k0", edit_limit(F.col("f0"), limits))
     every = sorted({k for _, k in limits})
-    own = below = F.lit(None)
-    for k in every:
-        own = F.when(F.col("k1") == k, F.array(*_moves(k, False))).otherwise(own)
-        below = F.when(F.col("k0") == k, F.array(*_moves(k, True))).otherwise(below)
+    own, below = (F.expr("CASE " + " ".join(f"WHEN {name} = {k} THEN {_moves(k, low)}" for k in every) + " END") for name, low in (("k1", False), ("k0", True)))
     reach = F.col("n") - F.col("f1") + 1 <= F.col("k0")  # the longest line of the class below is that near in length
     moves = F.when(reach, F.concat(own, below)).otherwise(own)
     x = x.select("id", "wide", "n", "f1", "f0", "k1", "k0", F.explode(moves).alias("m"))
-    x = x.select("id", "wide", "n", F.when(F.col("m.low"), F.col("f0")).otherwise(F.col("f1")).alias("c"), F.when(F.col("m.low"), F.col("k0")).otherwise(F.col("k1")).alias("k"), F.col("m.i").alias("i"), F.col("m.move").alias("move"))
-    size = F.floor(F.col("c") / (F.col("k") + 1)).cast("int")
-    start = F.when(2 * F.col("i") <= F.col("k"), F.col("i") * size).otherwise(F.col("n") - (F.col("k") + 1 - F.col("i")) * size) + F.col("move")
-    return x.select(F.xxhash64("c", "i", F.substring(F.col("wide"), 4 * start + 1, 4 * size)).alias("key"), "id", (F.col("move") == 0).alias("stored"))
+    low = F.col("m.low")
+    x = x.select("id", "wide", "n", F.when(low, F.col("f0")).otherwise(F.col("f1")).alias("c"), F.when(low, F.col("k0")).otherwise(F.col("k1")).alias("k"), F.col("m.i").alias("i"), F.col("m.move").alias("move"), low.alias("low"))
+    at = F.col("i") + F.when(F.col("low"), F.lit(LOW)).otherwise(0) + F.when(F.col("move") == 0, F.lit(STORED)).otherwise(0)
+    return x.select(_segment_key(F.col("wide"), F.col("n"), F.col("c"), F.col("k"), F.col("i"), F.col("move")).alias("key"), "id", at.alias("at"))
 
 
 def _let(value: Column, body) -> Column:
@@ -142,10 +158,10 @@ def _common_prefix(x: Column, y: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda p, step: F.when((p + step <= longest) & (F.left(x, p + step) == F.left(y, p + step)), p + step).otherwise(p))
 
 
-def trimmed(pairs: DataFrame, max_edits: int) -> DataFrame:
-    """pairs (_x, _y) without their common ends, less those that cannot be within max_edits edits.
+def trimmed(pairs: DataFrame, max_edits: int, limit: Column | None = None) -> DataFrame:
+    """pairs (_x, _y) without their common ends, less those that cannot be within max_edits edits, or a row's own limit.
 
-    Trimming keeps the distance. Where both rests are longer than max_edits, an edit stands at either end; the inside of
+    Trimming keeps the distance. Edits in the front half and in the back half add up, so their letter counts tell. Where both rests are longer than max_edits, an edit stands at either end; the inside of
     one, cut into max_edits - 1 parts, has at most max_edits - 2 edits, so one part is in the other as it is.
     """
     cols = [c for c in pairs.columns if c not in ("_x", "_y")]
@@ -164,9 +180,17 @@ def trimmed(pairs: DataFrame, max_edits: int) -> DataFrame:
         size = F.floor((m - 2) / (max_edits - 1)).cast("int")
         possible = F.lit(False)
         for i in range(max_edits - 1):
-            possible = possible | F.contains(F.col("_y"), F.substring(F.col("_x"), 2 + size * i, size))
+            # an edit stands before the part and another after it, so it moves by max_edits - 1 places at most
+            start = F.lit(2) + size * i
+            window = F.greatest(start - (max_edits - 1), F.lit(1))
+            possible = possible | F.contains(F.substring(F.col("_y"), window, start - window + size + max_edits - 1), F.substring(F.col("_x"), start, size))
     whole = F.col("_cut") < (1 << TRIM_BITS) - 1  # else the ends may not be cut off in full
-    return x.where((F.greatest(m, n) - F.least(m, n) <= max_edits) & (short | ~whole | possible)).select(*cols, "_x", "_y")
+    limit = F.lit(max_edits) if limit is None else limit
+    half = F.floor(F.least(m, n) / 2).cast("int")
+    x = x.where((F.greatest(m, n) - F.least(m, n) <= limit) & (short | ~whole | possible))
+    ends = F.struct(*[letter_counts(part(line, half)).alias(name + line) for name, part in (("l", F.left), ("r", F.right)) for line in ("_x", "_y")])
+    x = x.withColumn("_ends", F.explode(F.array(ends)))
+    return x.where(short | ~whole | (F.expr(_apart("_ends.l_x", "_ends.l_y") + " + " + _apart("_ends.r_x", "_ends.r_y")) <= 2 * limit)).select(*cols, "_x", "_y")
 
 def letter_counts(line: Column) -> Column:
     """Two longs: for each of COUNTED how often it occurs in the lower-cased line, modulo 8, as a circular unary code.
@@ -174,15 +198,32 @@ def letter_counts(line: Column) -> Column:
     The codes of two counts differ in as many bits as the counts differ around the circle, so an edit changes two bits at
     most. Lines of other scripts have like codes, and are left to the verification.
     """
-    code = F.array(*[F.lit(x) for x in (0, 1, 3, 7, 15, 14, 12, 8)])
+    words = [", ".join(f"struct('{c}' AS c, {len(c.encode())} AS n, {4 * i} AS at)" for i, c in enumerate(chars)) for chars in COUNTED]
+    sets = F.expr("array(" + ", ".join(f"array({w})" for w in words) + ")")
+    code = F.expr("array(0L, 1L, 3L, 7L, 15L, 14L, 12L, 8L)")
+
+    def word(letters: Column, low: Column) -> Column:
+        times = lambda x: F.floor((F.octet_length(low) - F.octet_length(F.replace(low, x["c"], F.lit("")))) / x["n"])
+        return F.aggregate(letters, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(_call("shiftleft", F.element_at(code, (times(x) % 8 + 1).cast("int")), x["at"])))
 
-    def word(chars: str) -> Column:
-        letters = F.array(*[F.lit(c) for c in chars])
-        times = lambda c: _call("div", F.octet_length(F.lower(line)) - F.octet_length(F.replace(F.lower(line), c, F.lit(""))), F.octet_length(c))
-        bits = F.transform(letters, lambda c, i: _call("shiftleft", F.element_at(code, (times(c) % 8 + 1).cast("int")).cast("long"), 4 * i))
-        return F.aggregate(bits, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+    return _let(F.lower(line), lambda low: F.transform(sets, lambda letters: word(letters, low)))
 
-    return F.struct(*[word(chars).alias(f"s{i}") for i, chars in enumerate(COUNTED)])
+
+def _apart(a: str, b: str, at: int = 0) -> str:
+    """SQL for the bits that differ between two letter counts, which begin at an item of their arrays."""
+    return "(" + " + ".join(f"bit_count({a}[{at + i}] ^ {b}[{at + i}])" for i in range(len(COUNTED))) + ")"
+
+
+def _profile(line: Column, c: Column) -> Column:
+    """Letter counts before each of PLACES places of a line of class c, and as far from the end as the place leaves of c.
+
+    The two parts are disjoint in every line of the class, so their edits add up.
+    """
+    def parts(t: Column) -> Column:
+        place = F.floor(c * t / (PLACES + 1)).cast("int")
+        return F.concat(letter_counts(F.left(line, place)), letter_counts(F.right(line, c - place)))
+
+    return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(PLACES)), parts))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -199,7 +240,7 @@ def _place() -> Column:
 def near_line_links(docs: DataFrame, limits: tuple = LIMITS, often: DataFrame | None = None) -> DataFrame:
     """a, a2, b, b2, distance: pairs of distinct lines, named by their two hashes, within the edit limit of the shorter.
 
-    docs: doc_id, text. often: (h, h2) of lines on so many places that their copies must not meet under one key; they
+    A table without near lines gives no pair. docs: doc_id, text. often: (h, h2) of lines on so many places that their copies must not meet under one key; they
     are few and broadcast.
     """
     check_limits(limits)
@@ -211,29 +252,72 @@ def near_line_links(docs: DataFrame, limits: tuple = LIMITS, often: DataFrame |
         once = lines.join(F.broadcast(often), ["h", "h2"], "left_anti").unionByName(one.select("line", "h", "h2"))
     # one shuffle by key serves both the search for shared keys and the selection of their rows
     rows = segment_keys(once.select(F.col("h").alias("id"), "line"), limits).repartition("key")
-    shared = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("stored").alias("any")).where("low <> high and any").select("key")
-    members = materialize(rows.join(shared.hint("shuffle_hash"), "key").groupBy("key", "id").agg(F.max("stored").alias("stored")))
+    shared = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("at").alias("at")).where(f"low <> high and at >= {STORED}").select("key")
+    members = materialize(rows.join(shared.hint("shuffle_hash"), "key").groupBy("key", "id").agg(F.max("at").alias("at")))
     ids = members.select(F.col("id").alias("h")).distinct()
     few = members.count() <= BROADCAST_IDS
     texts = lines.join(F.broadcast(ids) if few else ids, "h", "left_semi").groupBy("h", "h2").agg(F.first("line").alias("line"))
-    texts = materialize(texts.select("h", "h2", "line", F.char_length("line").alias("n"), letter_counts(F.col("line")).alias("s")))
-
-    # lines of one key meet block by block, so that a key's work is spread; only pairs that the counts leave possible come out
-    blocks = members.groupBy("key").agg((F.floor(F.count("*") / BLOCK) + 1).cast("int").alias("blocks"))
-    known = members.join(blocks, "key").join(texts.select(F.col("h").alias("id"), "h2", "n", "s"), "id")
-    left = known.select("key", F.pmod("id", F.col("blocks")).cast("int").alias("block"), F.struct("id", "h2").alias("a"), F.col("n").alias("n_a"), F.col("s").alias("s_a"), F.col("stored").alias("of_a"))
-    right = known.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.struct("id", "h2").alias("b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"), F.col("stored").alias("of_b"))
-    k = edit_limit(F.least("n_a", "n_b"), limits)
-    apart = sum((F.bit_count(F.col(f"s_a.s{i}").bitwiseXOR(F.col(f"s_b.s{i}"))) for i in range(len(COUNTED))), F.lit(0))
-    possible = (F.col("a") < F.col("b")) & (F.col("of_a") | F.col("of_b")) & (F.abs(F.col("n_a") - F.col("n_b")) <= k) & (apart <= 2 * k)
-    met = left.join(right, (left["key"] == right["key"]) & (left["block"] == right["block"]) & possible)
-    pairs = materialize(met.select(F.col("a.id").alias("a"), F.col("a.h2").alias("a2"), F.col("b.id").alias("b"), F.col("b.h2").alias("b2"), k.alias("k")).distinct())
-    x = texts.select(F.col("h").alias("a"), F.col("h2").alias("a2"), F.col("line").alias("_x"))
-    y = texts.select(F.col("h").alias("b"), F.col("h2").alias("b2"), F.col("line").alias("_y"))
-    tried = trimmed(pairs.join(x, ["a", "a2"]).join(y, ["b", "b2"]), most)
+    texts = materialize(texts.select(F.col("h").alias("id"), "h2", "line", F.char_length("line").alias("n"), letter_counts(F.col("line")).alias("s")))
+
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    known = materialize(members.join(sizes, "key").join(texts.drop("line"), "id"))
+    pairs = materialize(_few_met(known.where(F.col("size") <= CROWD), limits).union(_crowds_met(known.where(F.col("size") > CROWD), texts, limits)).distinct())
+    x = texts.select(F.col("id").alias("a"), F.col("h2").alias("a2"), F.col("line").alias("_x"))
+    y = texts.select(F.col("id").alias("b"), F.col("h2").alias("b2"), F.col("line").alias("_y"))
+    tried = trimmed(pairs.join(x, ["a", "a2"]).join(y, ["b", "b2"]), most, F.col("k"))
     return tried.withColumn("distance", banded_distance(F.col("_x"), F.col("_y"), most)).where(F.col("distance") <= F.col("k")).select("a", "a2", "b", "b2", "distance")
 
 
+def _sides(known: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    """The rows as x and as y: key, then all else as one struct."""
+    row = F.struct("id", "h2", "n", "s", "at", *[c for c in more if c != "block"])
+    keys = ["key", *[c for c in more if c == "block"]]
+    return known.select(*keys, row.alias("x")), known.select(*keys, row.alias("y"))
+
+
+def _possible(limits: tuple) -> tuple[Column, Column]:
+    """(edit limit of a pair of rows x and y, whether the pair must be looked at), by lengths and letter counts."""
+    x, y = F.col("x"), F.col("y")
+    k = edit_limit(F.least(x["n"], y["n"]), limits)
+    ordered = (x["id"] < y["id"]) | ((x["id"] == y["id"]) & (x["h2"] < y["h2"]))
+    return k, ordered & ((x["at"] >= STORED) | (y["at"] >= STORED)) & (F.abs(x["n"] - y["n"]) <= k) & (F.expr(_apart("x.s", "y.s")) <= 2 * k)
+
+
+def _pairs(met: DataFrame, k: Column) -> DataFrame:
+    return met.select(F.col("x.id").alias("a"), F.col("x.h2").alias("a2"), F.col("y.id").alias("b"), F.col("y.h2").alias("b2"), k.alias("k"))
+
+
+def _few_met(known: DataFrame, limits: tuple) -> DataFrame:
+    """a, a2, b, b2, k: pairs that meet under keys of CROWD lines at most."""
+    left, right = _sides(known)
+    k, possible = _possible(limits)
+    return _pairs(left.join(right, (left["key"] == right["key"]) & possible), k)
+
+
+def _crowds_met(known: DataFrame, texts: DataFrame, limits: tuple) -> DataFrame:
+    """a, a2, b, b2, k: pairs that meet under crowded keys, block by block, so that a key's work is spread."""
+    f1 = _floor(F.col("n"))
+    low = (F.col("at") % STORED) >= LOW
+    known = known.withColumn("c", F.when(low, _floor(f1 - 1)).otherwise(f1))
+    marked = known.select("id", "h2", "c").distinct().join(texts.select("id", "h2", "line", "n"), ["id", "h2"])
+    k, wide = edit_limit(F.col("c"), limits), F.encode("line", "UTF-32")
+    segments = _let(wide, lambda w: F.transform(F.sequence(F.lit(0), k), lambda i: _segment_key(w, F.col("n"), F.col("c"), k, i, F.lit(0))))
+    marked = materialize(marked.select("id", "h2", "c", segments.alias("segments"), _profile(F.col("line"), F.col("c")).alias("profile")))
+    known = known.join(marked, ["id", "h2", "c"])
+    blocks = F.floor(F.col("size") / BLOCK).cast("int")
+    left, _ = _sides(known.withColumn("block", F.pmod("id", blocks + 1).cast("int")), "block", "segments", "profile")
+    _, right = _sides(known.withColumn("block", F.explode(F.sequence(F.lit(0), blocks))), "block", "segments", "profile")
+    k, possible = _possible(limits)
+    # a pair that shares segments comes out at the first of them alone, not where one line only probes the other; the
+    # higher-order functions keep the generated code of the cheap tests small
+    x, y, width = F.col("x"), F.col("y"), len(COUNTED)
+    upto = F.when((x["at"] >= STORED) & (y["at"] >= STORED), x["at"] % LOW).otherwise(F.size(x["segments"]))
+    first = F.forall(F.zip_with(F.slice(x["segments"], F.lit(1), upto), F.slice(y["segments"], F.lit(1), upto), lambda a, b: a != b), lambda differ: differ)
+    at = [f"bit_count(x.profile[{2 * width} * t + {i}] ^ y.profile[{2 * width} * t + {i}])" for i in range(2 * width)]
+    near = F.expr(f"forall(sequence(0, {PLACES - 1}), t -> {' + '.join(at)} <= 2 * {{k}})".replace("{k}", _limit_sql("least(x.n, y.n)", limits)))
+    return _pairs(left.join(right, (left["key"] == right["key"]) & (left["block"] == right["block"]) & possible & first & near), k)
+
+
 def duplicate_lines(docs: DataFrame, limits: tuple = LIMITS) -> DataFrame:
     """doc_id, th, removed, n_links: for each document with such lines, the 0-based numbers of lines to remove.
 
@@ -304,7 +388,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Letters beyond ASCII of the tables' languages. DuckDB's levenshtein counts bytes, so each becomes one byte.
 ACCENTED = "äçèéêíñóößüÄÇÈÉÊÍÑÓÖÜ"
 _ONE_BYTE = " || ".join(f"chr({c})" for c in [*range(1, 9), *range(14, 27)])
-_LIMIT = "CASE WHEN {0} >= 256 THEN 4 WHEN {0} >= 128 THEN 3 ELSE 2 END"
+_LIMIT = "CASE WHEN {0} >= 512 THEN 3 ELSE 2 END"
 
 OP8_SQL = rf"""
 WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
@@ -312,7 +396,7 @@ l AS (SELECT doc_id, text, u.pos - 1 AS pos, u.line AS line, {{'d': coalesce(doc
   FROM (SELECT doc_id, text, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {{'line': x, 'pos': i}})) AS u FROM d) WHERE regexp_matches(u.line, '[^\x20\x09-\x0D]')),
 f AS (SELECT line, length(line) AS n, min(place) AS first FROM l GROUP BY line),
 o AS (SELECT line, n, translate(line, '{ACCENTED}', {_ONE_BYTE}) AS plain, {_LIMIT.format("n")} AS k FROM f WHERE n >= 32),
-p AS (SELECT a.line AS x, b.line AS y, a.plain AS u, b.plain AS v, a.k AS k FROM o a JOIN o b ON b.n BETWEEN a.n AND a.n + 4 AND b.n - a.n <= a.k AND (a.n < b.n OR a.line < b.line)
+p AS (SELECT a.line AS x, b.line AS y, a.plain AS u, b.plain AS v, a.k AS k FROM o a JOIN o b ON b.n BETWEEN a.n AND a.n + 3 AND b.n - a.n <= a.k AND (a.n < b.n OR a.line < b.line)
   WHERE list_bool_or(list_transform(range(a.k + 1), lambda i: contains(b.plain, substr(a.plain, 1 + i * (a.n // (a.k + 1)), a.n // (a.k + 1)))))),
 k AS (SELECT x, y FROM p WHERE levenshtein(u, v) <= k),
 b AS (SELECT x AS line, y AS other FROM k UNION ALL SELECT y, x FROM k),

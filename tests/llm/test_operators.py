@@ -332,7 +332,7 @@ def test_banded_distance(spark):
 
 
 def limit_of(n):
-    return 4 if n >= 256 else 3 if n >= 128 else 2 if n >= 32 else -1
+    return 3 if n >= 512 else 2 if n >= 32 else -1
 
 
 def brute_lines(docs):
@@ -378,7 +378,7 @@ def test_line_links_against_brute_force(spark, monkeypatch, block):
 
     monkeypatch.setattr(lines, "BLOCK", block)
     r, docs = random.Random(7), []
-    for n in (30, 32, 33, 36, 63, 64, 127, 128, 130, 143, 145, 254, 255, 256, 258, 290):
+    for n in (30, 32, 33, 36, 63, 64, 127, 128, 130, 143, 145, 510, 511, 512, 514):
         base = [r.choice("abcdé 日") for _ in range(n - 1)] + ["."]
         for _ in range(6):
             x = base[:]
