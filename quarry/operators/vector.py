@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import terms
 from . import bm25
 
 
@@ -94,13 +95,12 @@ def term_dimension(term: Column, dims: int) -> Column:
 
 def hash_embed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dims: int = 64) -> DataFrame:
     """id, embedding: counts of a text's terms by hashed dimension, of unit length unless zero. Texts without terms are zero."""
-    posts = bm25.postings(docs, id_col, text_col).withColumn("_d", term_dimension(F.col("term"), dims))
-    sums = posts.groupBy("id", "_d").agg(F.sum("tf").alias("tf")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("_d", "tf"))).alias("_m"))
-    all_ids = docs.select(F.col(id_col).alias("id"))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.coalesce(F.try_element_at("_m", d).cast("double"), F.lit(0.0)))
-    x = all_ids.join(sums, "id", "left").withColumn("_v", F.when(F.col("_m").isNull(), F.array_repeat(F.lit(0.0), dims)).otherwise(raw))
-    size = norm(F.col("_v"))
-    return x.select("id", F.transform("_v", lambda v: F.when(size > 0, v / size).otherwise(v)).cast("array<float>").alias("embedding"))
+    words = docs.select(F.col(id_col).alias("id"), F.explode(terms(F.col(text_col))).alias("_t"))
+    counts = words.groupBy("id", term_dimension(F.col("_t"), dims).alias("_d")).agg(F.count("*").alias("_n"))  # dims rows a text at most
+    sums = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("_d", "_n"))).alias("_m"), F.sqrt(F.sum(F.col("_n") * F.col("_n"))).alias("_size"))
+    unit = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.coalesce(F.try_element_at("_m", d) / F.col("_size"), F.lit(0.0)).cast("float"))
+    x = docs.select(F.col(id_col).alias("id")).join(sums, "id", "left")
+    return x.select("id", F.when(F.col("_m").isNull(), F.array_repeat(F.lit(0.0).cast("float"), dims)).otherwise(unit).alias("embedding"))
 
 
 def hash_embed_text(text: str, dims: int = 64) -> list[float]:
