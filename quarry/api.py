@@ -81,9 +81,25 @@ class Engine:
         self._note(query, mode)
         if not query.strip():
             return hybrid.with_payload(self.spark.createDataFrame([], "rank int, id string, score double"), chunks, "point_id")
-        index = bm25.build(chunks, "point_id", "chunk_text")
+        # what a key may see differs from search to search, so only whole namespaces have a kept index
+        index = self.keyword_index(namespace) if self.grants is None else bm25.build(chunks, "point_id", "chunk_text")
         return hybrid.search(chunks, index, query, mode, top_k, self.embed, hybrid.filters(**filters), "point_id", compat)
 
+    def keyword_index(self, namespace: str | None = None) -> bm25.Index:
+        """The namespace's BM25 index as kept for the store's version; made from the last one kept where it is missing."""
+        ns, now = namespace or self.namespace, self.store.version()
+        root = f"bm25/{ns}"
+        done = [v for v in self.store.list_numbers(root) if self.store.has(f"{root}/{v}/corpus/_SUCCESS")]
+        if now not in done:
+            chunks = self.store.read(ns)
+            with self._lock:
+                old = bm25.Index.load(self.spark, f"{self.root}/{root}/{max(done)}") if done else None
+                made = bm25.refresh(old, chunks, "point_id", "chunk_text") if old else bm25.build(chunks, "point_id", "chunk_text")
+                made.save(f"{self.root}/{root}/{now}")
+                for v in sorted(done)[:-1]:  # the one before stays for searches that still read it
+                    self.store.remove(f"{root}/{v}")
+        return bm25.Index.load(self.spark, f"{self.root}/{root}/{now}")
+
     def refine_search(self, query: str, add: Sequence[str] = (), subtract: Sequence[str] = (), top_k: int = 10, namespace: str | None = None, **filters: str | None) -> DataFrame:
         """Semantic hits of the query's vector, moved towards what is added and away from what is subtracted."""
         parsed = query_parser.parse(query)

@@ -48,6 +48,11 @@ def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("id"), F.size(terms(F.col(text_col))).cast("long").alias("dl"))
 
 
+def stamped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs as id, text, stamp: a hash of the text, by which a kept index knows what it holds."""
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("stamp"))
+
+
 def document_frequencies(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count("*").alias("df"))
 
@@ -67,12 +72,29 @@ def idf(dfs: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
-    posts, sizes = postings(docs, id_col, text_col), lengths(docs, id_col, text_col)
-    dfs = document_frequencies(posts)
+    docs = stamped(docs, id_col, text_col)
+    posts = postings(docs, "id", "text")
+    sizes = docs.select("id", F.size(terms(F.col("text"))).cast("long").alias("dl"), "stamp")
+    return _of(posts, sizes, document_frequencies(posts))
+
+
+def _of(posts: DataFrame, sizes: DataFrame, dfs: DataFrame) -> Index:
     corpus = corpus_stats(sizes, dfs)
     return Index(posts, sizes, idf(dfs, corpus), corpus)
 
 
+def refresh(old: Index, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
+    """The index of docs from an older one: only texts that are new or changed are tokenized, frequencies change by what did."""
+    docs = stamped(docs, id_col, text_col)
+    now = docs.select("id", "stamp")
+    fresh = docs.join(old.lengths.select("id", "stamp"), ["id", "stamp"], "left_anti")
+    gone = old.lengths.join(now, ["id", "stamp"], "left_anti").select("id")
+    new_posts = postings(fresh, "id", "text")
+    posts = old.postings.join(gone, "id", "left_anti").unionByName(new_posts)
+    sizes = old.lengths.join(now, ["id", "stamp"], "left_semi").select("id", "dl", "stamp").unionByName(fresh.select("id", F.size(terms(F.col("text"))).cast("long").alias("dl"), "stamp"))
+    return _of(posts, sizes, update_frequencies(old.terms.select("term", "df"), old.postings.join(gone, "id", "left_semi"), new_posts))
+
+
 def query_terms(query: str | Query) -> Counter:
     import re
 

@@ -59,6 +59,19 @@ class Store:
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
+    def has(self, name: str) -> bool:
+        return self._fs.exists(self._path(name))
+
+    def remove(self, name: str) -> None:
+        self._fs.delete(self._path(name), True)
+
+    def list_numbers(self, name: str) -> list[int]:
+        """The folders below a name that are called by numbers."""
+        if not self.has(name):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(name))]
+        return [int(x) for x in names if x.isdigit()]
+
     def version(self) -> int:
         if not self._fs.exists(self._path("CURRENT")):
             return 0
@@ -86,12 +99,13 @@ class Store:
         options = self.spark.sparkContext._gateway.new_array(rename, 1)
         options[0] = rename.OVERWRITE
         context.rename(self._path("CURRENT.next"), self._path("CURRENT"), options)
+        self.drop_old()
         return v
 
     def drop_old(self, keep: int = 2) -> None:
         now = self.version()
         for v in range(1, now - keep + 1):
-            self._fs.delete(self._path(f"chunks/v{v}"), True)
+            self.remove(f"chunks/v{v}")
 
     def compact(self) -> int:
         """Rewrite the table in fewer, ordered files."""
