@@ -27,7 +27,7 @@ from .common import _powers, materialize, mix, span_hashes, table
 from .perplexity import _pack, _shard, _unpack
 
 #: Bytes of text in a block, bytes of text whose anchors one shard serves, and bytes of runs in one suffix array.
-BLOCK_BYTES, SHARD_BYTES, ARRAY_BYTES = 2 << 20, 48 << 20, 2 << 20
+BLOCK_BYTES, SHARD_BYTES, ARRAY_BYTES = 2 << 20, 24 << 20, 2 << 20
 _NONE = -(1 << 63)
 
 
@@ -440,6 +440,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 25) -> DataFra
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of documents; nulls and repeats as in remove_repeats()."""
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
