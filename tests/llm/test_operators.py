@@ -285,6 +285,73 @@ def test_html_keeps_what_articles_say():
     assert html.main_text("<main><section id='discussion'><article>One</article></section></main>") == "One"
 
 
+def test_html_hostile_pages():
+    """Pages that a parser with backtracking or stack walks would take minutes for."""
+    import time
+
+    n = 50_000
+    pages = [
+        "<a " + '"' * 10**6 + ">x", "<a b=" + '"' * (10**6 + 1) + ">x", "<a " * n, "<div>" * 2 * n + "t", "<b>" * n + "</p>" * n, "<p><button>" + "<b>" * n + "<ul>" * n,
+        "<main>" * 20_000 + "<article>x</article>", "<table>" + "<tr><td>" * n, "<ul><li>" * n, "<!--" * n, "<a " + "x='" * n, "<script>" * n, "</b" * n, "<p>a very long text " * n,
+    ]
+    for page in pages:
+        began = time.time()
+        html.main_text(page)
+        assert time.time() - began < 20, page[:40]
+    assert html.main_text(pages[0]) == "x" and html.main_text(pages[3]) == "t"
+    assert html.main_text("<p>one</p><a title='x>y' b=\"<p>z</p>\">two</a><p>cut <b") == "one\ntwo\ncut"
+
+
+def test_html_repeats_nulls_and_clashes(spark):
+    """Repeated rows keep their text, templates count pages by brute force, other columns do not matter."""
+    block = lambda i: f"<div class='k{i}'><p>Common block {i}</p></div>"
+    pages = [(i, f"http://h.example/{i}", f"<html><body>{block(0)}<p>Own {i}</p>{block(1) if i % 2 else ''}{block(2) if i < 2 else ''}</body></html>") for i in range(8)]
+    pages += [(50, "http://one.example/", "<h1>Title</h1><p>Only on this page.</p>")] * 3 + [(None, None, "<p>a</p>"), (60, "", ""), (61, None, None), (62, "http://h.example/long", "<p>" + "word " * 200_000 + "</p>")]
+    df = spark.createDataFrame([(*p, "x", 1, 2, 3) for p in pages], "page_id long, url string, html string, text string, hash long, _key int, _host int").repartition(3)
+    got = [(r.page_id, r.text) for r in html.extract(df).collect()]
+    on = defaultdict(set)
+    for i, url, page in pages:
+        for h in html.candidates(html.tree(page or "")):
+            on[(url or "").split("/")[2] if url else "", h].add((i, url, page))
+    total = {host: len({p for h, x in on for p in on[h, x] if h == host}) for host, _ in on}
+    assert any(len(p) >= 3 for p in on.values()) and total["h.example"] == 9
+    want = [(i, f"Own {i}" + (f"\nCommon block 2" if i < 2 else "")) for i in range(8)]
+    want += [(50, "Title\nOnly on this page.")] * 3 + [(None, "a"), (60, ""), (61, ""), (62, ("word " * 200_000).strip())]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_op7_query(spark, sf, tmp_path):
+    """Every column of the query against plain Python, on the table and on one with nulls, repeats and ties."""
+    import unicodedata
+
+    def canon(t):
+        t = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold())
+        return re.sub(r"[\s\x1c-\x1f\x85]+", " ", t).strip(" ")
+
+    own = [(1, "Café  X"), (2, "CAFÉ x"), (3, None), (4, ""), (5, "ﬁn straße " * 30), (6, "ab\u00a0c"), (7, "Ab c"), (8, "😀" * 9), (None, "no id")]
+    spark.createDataFrame([(i, t, i) for i, t in own], "doc_id long, text string, fingerprint long").write.parquet(f"{tmp_path}/documents.parquet")
+    for folder in (sf, str(tmp_path)):
+        docs = sorted(texts(spark.read.parquet(f"{folder}/documents.parquet")), key=lambda d: (d[0] is not None, d[0] or 0, d[1]))
+        out = {r["doc_id"]: r for r in rows(fingerprints.op7_canonical_digest(spark, folder))}
+        assert len(out) == len(docs)
+        prints = defaultdict(set)
+        for k, (i, t) in enumerate(docs):
+            after = docs[(k + 1) % len(docs)][1]
+            move = len(t) // 4
+            edited = t[: len(t) - move] + after[:move]
+            r = out[i]
+            assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+            assert (r["near_edited"], r["near_next"]) == (float(canon(t) == canon(edited)), float(canon(t) == canon(after))), i
+            prints[r["fingerprint"]].add(canon(t))
+            prints[r["edited_fingerprint"]].add(canon(edited))
+        assert all(len(x) == 1 for x in prints.values()) and len(prints) == len(set.union(*prints.values()))
+
+
+def test_op10_query(spark, sf):
+    out = sorted(((r["doc_id"], int(r["fingerprint"], 16), r["component_id"]) for r in rows(simhash.op10_simhash_components(spark, sf))), key=str)
+    assert out == brute_components(texts(spark.read.parquet(f"{sf}/documents.parquet")))
+
+
 def test_fingerprints(messy, empty, spark):
     out = rows(fingerprints.with_fingerprint(messy.select("doc_id", "text")))
     by = defaultdict(set)
