@@ -1,8 +1,9 @@
 """Operator 4: license scans by canonical digest lookup.
 
-A text is lower-cased, copyright lines go, equivalent spellings become one, and all but letters and digits becomes single
-spaces; its SHA-256 is joined with the digests of known license texts. Entire texts are matched: the whole document
-against license texts, and each line as a text of its own against the notices by which licenses are invoked.
+A text is lower-cased, copyright lines go, all but letters and digits becomes single spaces, and equivalent spellings
+become one; its SHA-256 is joined with the digests of known license texts. Entire texts are matched: the whole document
+against license texts, and each line as a text of its own against the notices by which licenses are invoked. How a text
+is wrapped, indented, decorated or capitalised makes no difference.
 """
 
 from __future__ import annotations
@@ -15,9 +16,11 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-# Spellings that count as equal, in the order of replacement (both sides lower case).
-SPELLINGS = [("licence", "license"), ("sub-license", "sublicense"), ("sub license", "sublicense"), ("non-commercial", "noncommercial"), ("acknowledgement", "acknowledgment"), ("authorisation", "authorization"), ("organisation", "organization"), ("favour", "favor"), ("behaviour", "behavior"), ("judgement", "judgment"), ("whilst", "while"), ("wilful", "willful"), ("fulfil ", "fulfill "), ("per cent", "percent"), ("centre", "center"), ("programme", "program"), ("copyright owner", "copyright holder"), ("http:", "https:")]
-COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+# Spellings that count as equal, in the order of replacement (both sides lower case, in words parted by spaces).
+SPELLINGS = [("licence", "license"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("acknowledgement", "acknowledgment"), ("authorisation", "authorization"), ("organisation", "organization"), ("favour", "favor"), ("behaviour", "behavior"), ("judgement", "judgment"), ("whilst", "while"), ("wilful", "willful"), ("fulfil ", "fulfill "), ("per cent", "percent"), ("centre", "center"), ("programme", "program"), ("copyright owner", "copyright holder"), (" http ", " https ")]
+#: Lines that name a copyright; a line of running text that happens to begin with the word stays.
+COPYRIGHT_LINE = r"^[^a-z0-9\n]*(?:copyright[^a-z0-9\n]*(?:\(c\)|©|[0-9<\[{]|by )|\(c\)[^a-z0-9\n]*(?:copyright|[0-9<\[{])|©|all rights reserved)[^\n]*"
+_PARTING = r"[^\p{L}\p{M}\p{N}\n]+"
 
 # Texts of short licenses.
 _AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
@@ -48,48 +51,63 @@ NOTICES = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the MIT License."],
     "MPL-2.0": ["Licensed under the Mozilla Public License, version 2.0."],
 }
-# Digests by canonical_digest() of the long licenses' published texts.
+# Lengths and digests of the canonical forms of the long licenses' published texts.
 DIGESTS = {
-    "Apache-2.0": "69a51938c7bc3c6ce9082ac0a28a35902fc58dbb5eb1b5cc986220794fda9118",
-    "Artistic-1.0-Perl": "ddb49d591ecc4f65a223b9f53f330918100c323532a653c090d21b38e35a3a42",
-    "CC0-1.0": "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
-    "GFDL-1.2": "835e93c269f96ffb287b3c8c1c5d41482a48fe84971237b192ae3d0f85299142",
-    "GFDL-1.3": "2d23a1792689607291f114da9fdb3b413c6ef2346dfb9e4fafe0c5cf9b969da3",
-    "GPL-1.0": "ecffd792bbe30a8f068c26179a7995c53247219322c9fdd6010c935476aec4fd",
-    "GPL-2.0": "ceb13cdc7143ca5f58fb64136b9b542b00470d4db4dbcee1328c6250bf845b08",
-    "GPL-3.0": "c533bbdba9f85c1594f3e5dce97ce23acc39c96fd1cf30473b35d0d9aa7b562e",
-    "LGPL-2.0": "bb476e23f93731f9ea53e5e7b83c7b6a59108767834823d05ca20e6446de79bf",
-    "LGPL-2.1": "a85084b195866fe5aa81ee399a54444581dffa68e7bb2559e143718f6e2693bb",
-    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
-    "MPL-1.1": "1cfb6cca26abe2169c9c61164807107b2d4a0b64955a2cf2de46fad3483acda1",
-    "MPL-2.0": "8f0473f9c917c507827dca355168119bb065ca1a9dab0e366988bcdba5fa039b",
+    "Apache-2.0": (9889, "45c5565dedc03ff2a570c67c5af611f8a3d0a0227c6e81d9fb11fbf0c004b959"),
+    "Artistic-1.0-Perl": (5833, "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    "CC0-1.0": (6692, "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    "GFDL-1.2": (19579, "1c057ea35084eb195331cec1a49fca335c176422a7726a9a23636906fd4e241f"),
+    "GFDL-1.3": (22015, "7e8edd3abe6258bb82bb853d91a0c24fcd9976894fd0592747354cffe1cb18e7"),
+    "GPL-1.0": (11763, "98db0b473e0a45a62b04a39b6b864b4e079a58d513e2196f94fe7252fa8574a6"),
+    "GPL-2.0": (17115, "e95eb1718f9f373d56cc586a5f7d1bfa11668867f6e85e982d2b6108b97d90a1"),
+    "GPL-3.0": (33407, "df71f3c423c11bc52456a9775329f1d9a3168a6f071654750b9eb155fb3ec0eb"),
+    "LGPL-2.0": (24128, "e4deecd0730802431ad09f00ae3793f3703c8e4dba639586545d9f958405614d"),
+    "LGPL-2.1": (25215, "d3826e4e563a04a354453ff139a32b19d6c3fe283f518eb566107c54e18cd01f"),
+    "LGPL-3.0": (7104, "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    "MPL-1.1": (22448, "26ba73e836ecb04fe87d5eca80ca27cff1afa2d7683455be1517bd23b8d27986"),
+    "MPL-2.0": (14343, "4019e4c8fe9ede57c538b37b3332dc097a88c163e273bb6905d38316e63c2eb6"),
 }
 
 
-def canonical_digest(text: str) -> str:
-    """The digest that canonical() gives in Spark."""
-    text = re.sub(COPYRIGHT_LINE, "", text.lower())
+def canonical_text(text: str) -> str:
+    """What canonical() makes of a text in Spark."""
+    import regex
+
+    text = re.sub("(?m)" + COPYRIGHT_LINE, "", text.lower())
+    text = f" {' '.join(regex.sub(_PARTING, ' ', text).replace(chr(10), ' ').split(' '))} "
+    text = re.sub(" +", " ", text)
     for a, b in SPELLINGS:
         text = text.replace(a, b)
-    return hashlib.sha256(re.sub(r"[^0-9a-zª-￿]+", " ", text).strip(" ").encode()).hexdigest()
+    return text.strip(" ")
 
 
-def canonical(text: Column) -> Column:
-    text = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
+def canonical_digest(text: str) -> str:
+    """The digest by which a text is looked up."""
+    return hashlib.sha256(canonical_text(text).encode()).hexdigest()
+
+
+def _folded(text: Column) -> Column:
+    """Lower case, no copyright lines, words parted by spaces and newlines."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), "(?dm)" + COPYRIGHT_LINE, ""), _PARTING, " ")
+
+
+def _spelled(folded: Column) -> Column:
+    """One spelling for each word; texts without other spellings, which are most, are only searched once."""
+    text = F.concat(F.lit(" "), folded, F.lit(" "))
+    one = text
     for a, b in SPELLINGS:
-        text = F.replace(text, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(text, r"[^0-9a-z\x{aa}-\x{ffff}]+", " "))
+        one = F.replace(one, F.lit(a), F.lit(b))
+    return F.trim(F.when(text.rlike("|".join(a for a, _ in SPELLINGS)), one).otherwise(text))
 
 
-def known() -> list[tuple[str, str, str]]:
-    """(digest, license, kind) for every known text; kind is text or notice."""
-    rows = {(canonical_digest(t), name, kind) for kind, texts in (("text", TEXTS), ("notice", NOTICES)) for name, ts in texts.items() for t in ts}
-    return sorted(rows | {(d, name, "text") for name, d in DIGESTS.items()})
+def canonical(text: Column) -> Column:
+    return _spelled(F.regexp_replace(_folded(text), "[ \\n]+", " "))
 
 
-#: Every known text holds one of these words (single ones, as canonical() folds what parts words), so only texts and lines
-#: that do need a digest. Texts that a caller adds may hold none of them.
-HINT = r"(?i)licen[cs]e|permission|redistribution|express"
+def known() -> list[tuple[str, str, str, int]]:
+    """(digest, license, kind, length of the canonical form) for every known text; kind is text or notice."""
+    rows = {(canonical_digest(t), name, kind, len(canonical_text(t))) for kind, texts in (("text", TEXTS), ("notice", NOTICES)) for name, ts in texts.items() for t in ts}
+    return sorted(rows | {(d, name, "text", n) for name, (n, d) in DIGESTS.items()})
 
 
 def scan(docs: DataFrame, extra: DataFrame | None = None) -> DataFrame:
@@ -99,51 +117,61 @@ def scan(docs: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     notices: their distinct licenses in order, joined by commas. Null texts are empty. Repeated rows give repeated rows;
     null doc_ids stay; other columns are ignored; an empty table gives an empty result. extra: more known texts
     (digest, license, kind), joined by shuffle unless Spark sees that they are small.
+
+    Without extra the lengths of all known canonical forms are known, and only forms of such a length are digested.
     """
     spark = docs.sparkSession
-    table_ = spark.createDataFrame(known(), "digest string, license string, kind string")
+    rows = known()
+    table_ = spark.createDataFrame([r[:3] for r in rows], "digest string, license string, kind string")
     table_ = F.broadcast(table_) if extra is None else table_.unionByName(extra.select("digest", "license", "kind")).dropDuplicates(["digest", "kind"])
     texts = table_.where("kind = 'text'").select("digest", "license")
     notices = table_.where("kind = 'notice'").select(F.col("digest").alias("_nd"), F.col("license").alias("_nl"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    hint = lambda t: t.rlike(HINT) if extra is None else F.lit(True)
-    hinted = hint(text)
-    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(hinted, F.sha2(canonical(text), 256)).alias("digest"), F.when(hinted, F.filter(F.split(text, "\n", -1), hint)).alias("_lines"))
-    lines = F.transform("_lines", lambda l: F.sha2(canonical(l), 256))
+
+    def digest(canon: Column, kind: str) -> Column:
+        if extra is not None:
+            return F.sha2(canon, 256)
+        return F.when(F.char_length(canon).isin(sorted({n for _, _, k, n in rows if k == kind})), F.sha2(canon, 256))
+
+    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array(_folded(F.coalesce(F.col("text").cast("string"), F.lit(""))))).alias("_folded"))  # the generator keeps the form from being made twice
+    x = x.select("doc_id", "_folded", F.explode(F.array(_spelled(F.regexp_replace("_folded", "[ \\n]+", " ")))).alias("_canon"))
+    lines = F.transform(F.split("_folded", "\n", -1), lambda l: F.element_at(F.transform(F.array(_spelled(F.trim(l))), lambda c: digest(c, "notice")), 1))
+    x = x.select("doc_id", digest(F.col("_canon"), "text").alias("digest"), lines.alias("_lines"))
     if extra is None:
         # few known notices: a map from digest to license, looked up in place
-        pairs = [(d, name) for d, name, kind in known() if kind == "notice"]
-        lookup = F.create_map(*[F.lit(v) for p in pairs for v in p])
-        found = F.filter(F.transform(lines, lambda d: F.element_at(lookup, d)), lambda n: n.isNotNull())
-        x = x.withColumn("_found", F.coalesce(found, F.array().cast("array<string>")))
+        lookup = F.create_map(*[F.lit(v) for d, name, kind, _ in rows if kind == "notice" for v in (d, name)])
+        found = F.filter(F.transform("_lines", lambda d: F.try_element_at(lookup, d)), lambda n: n.isNotNull())
+        x = x.withColumn("_found", found)
     else:
         x = x.withColumn("_row", F.monotonically_increasing_id())
-        hits = x.select("_row", F.explode(lines).alias("_nd")).join(notices, "_nd").groupBy("_row").agg(F.collect_list("_nl").alias("_found"))
+        hits = x.select("_row", F.explode("_lines").alias("_nd")).join(notices, "_nd").groupBy("_row").agg(F.collect_list("_nl").alias("_found"))
         x = x.join(hits, "_row", "left").withColumn("_found", F.coalesce("_found", F.array().cast("array<string>")))
     x = x.join(texts, "digest", "left")
     return x.select("doc_id", "license", F.size("_found").cast("long").alias("n_notices"), F.array_join(F.array_sort(F.array_distinct("_found")), ",").alias("notices"))
 
 
 def op4_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, license, n_notices, notices for every row of documents; nulls and repeats as in scan()."""
     return scan(table(spark, sf_dir, "documents"))
 
 
-def _sql_canonical(x: str) -> str:
-    x = f"regexp_replace(lower({x}), '{COPYRIGHT_LINE}', '', 'g')"
+def _sql_spelled(x: str) -> str:
+    x = f"' ' || {x} || ' '"
     for a, b in SPELLINGS:
         x = f"replace({x}, '{a}', '{b}')"
-    return rf"trim(regexp_replace({x}, '[^0-9a-z\x{{aa}}-\x{{ffff}}]+', ' ', 'g'), ' ')"
+    return f"trim({x}, ' ')"
 
 
 def _sql() -> str:
-    values = ", ".join(f"('{d}', '{name}', '{kind}')" for d, name, kind in known())
+    values = ", ".join(f"('{d}', '{name}', '{kind}')" for d, name, kind, _ in known())
+    folded = rf"regexp_replace(regexp_replace(lower(coalesce(text, '')), '(?m){COPYRIGHT_LINE}', '', 'g'), '{_PARTING}', ' ', 'g')"
+    whole = _sql_spelled(r"regexp_replace(d.folded, '[ \n]+', ' ', 'g')")
     return f"""
 WITH k(digest, license, kind) AS (VALUES {values}),
-d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
-n AS (SELECT r, count(*) AS n_notices, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM l JOIN k ON kind = 'notice' AND digest = sha256({_sql_canonical('line')}) GROUP BY r)
+d AS (SELECT row_number() OVER () AS r, doc_id, {folded} AS folded FROM documents),
+l AS (SELECT r, unnest(string_split(folded, chr(10))) AS line FROM d),
+n AS (SELECT r, count(*) AS n_notices, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM l JOIN k ON kind = 'notice' AND digest = sha256({_sql_spelled("trim(line, ' ')")}) GROUP BY r)
 SELECT d.doc_id, k.license, CAST(coalesce(n.n_notices, 0) AS BIGINT) AS n_notices, coalesce(n.notices, '') AS notices
-FROM d LEFT JOIN k ON k.kind = 'text' AND k.digest = sha256({_sql_canonical('d.text')}) LEFT JOIN n ON n.r = d.r
+FROM d LEFT JOIN k ON k.kind = 'text' AND k.digest = sha256({whole}) LEFT JOIN n ON n.r = d.r
 """
 
 

@@ -194,17 +194,36 @@ def test_licenses(spark, messy, empty):
     assert licenses.scan(docs.limit(1).selectExpr("9 as doc_id", "'MY OWN LICENCE: text' as text"), more).first().license == "Own"
 
 
-def test_license_hints(spark):
-    """Known texts match whatever parts their words; added texts and notices match without any of the hint words."""
-    assert all(re.search(licenses.HINT, t) for known in (licenses.TEXTS, licenses.NOTICES) for ts in known.values() for t in ts)
-    isc = licenses.TEXTS["ISC"][0]
-    isc = isc[isc.index("Permission") :]
-    folded = [(i, isc.replace("Permission to", f"Permission{gap}to", 1)) for i, gap in enumerate([" ", "\n", "  ", " - "])]
-    got = licenses.scan(spark.createDataFrame(folded, "doc_id long, text string")).select("license").distinct().collect()
-    assert len(got) == 1 and got[0].license is not None
-    more = spark.createDataFrame([(licenses.canonical_digest("Tous droits cédés."), "FR", "text"), (licenses.canonical_digest("Domaine public."), "PD", "notice")], "digest string, license string, kind string")
-    docs = spark.createDataFrame([(1, "Tous  droits\ncédés"), (2, "x\nDomaine public\ny")], "doc_id long, text string")
-    assert {r.doc_id: (r.license, r.notices) for r in licenses.scan(docs, more).collect()} == {1: ("FR", ""), 2: (None, "PD")}
+def test_licenses_of_any_layout(spark):
+    """Known texts match at every width, with decoration and a copyright line; so do texts and notices that a caller adds."""
+    import textwrap
+
+    docs = []
+    for name, ts in licenses.TEXTS.items():
+        for t in ts:
+            for width in range(40, 121):
+                body = "\n\n".join(textwrap.fill(p, width) for p in t.split("\n\n"))
+                docs.append((name, f"Copyright (c) 2021, Some One <a@example.org>\nAll rights reserved.\n\n{body}"))
+            docs += [(name, "".join(f"// {x}\r\n" for x in textwrap.wrap(t, 70))), (name, re.sub(" ", "  ", t).upper()), (name, t.replace("copyright holder", "copyright\nowner"))]
+    df = spark.createDataFrame([(i, t, n) for i, (n, t) in enumerate(docs)], "doc_id long, text string, license string").repartition(4)
+    got = {r.doc_id: r.license for r in licenses.scan(df).collect()}
+    assert [i for i, (name, _) in enumerate(docs) if got[i] != name] == []
+    more = spark.createDataFrame([(licenses.canonical_digest("Tous droits cédés."), "FR", "text"), (licenses.canonical_digest("Domaine public."), "PD", "notice"), (licenses.canonical_digest("公有领域 𝒳"), "CN", "text")], "digest string, license string, kind string")
+    own = spark.createDataFrame([(1, "Tous  droits\ncédés"), (2, "x\nDomaine public\ny"), (3, "公有领域。𝒳!"), (4, "公有领域")], "doc_id long, text string")
+    assert {r.doc_id: (r.license, r.notices) for r in licenses.scan(own, more).collect()} == {1: ("FR", ""), 2: (None, "PD"), 3: ("CN", ""), 4: (None, "")}
+
+
+def test_license_digests_of_published_texts(spark):
+    """The digests of long licenses are those of their texts, where the system has them."""
+    import pathlib
+
+    names = {"Artistic-1.0-Perl": "Artistic", "GPL-1.0": "GPL-1", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.0": "LGPL-2", "LGPL-3.0": "LGPL-3"}
+    found = {name: f for name in licenses.DIGESTS if (f := pathlib.Path("/usr/share/common-licenses", names.get(name, name))).exists()}
+    for name, f in found.items():
+        text = f.read_text(encoding="utf-8")
+        assert (len(licenses.canonical_text(text)), licenses.canonical_digest(text)) == licenses.DIGESTS[name]
+    docs = spark.createDataFrame([(name, f.read_text(encoding="utf-8")) for name, f in found.items()], "source string, text string").selectExpr("1 as doc_id", "source", "text")
+    assert sorted(r.license for r in licenses.scan(docs).collect()) == sorted(found)
 
 
 def test_perplexity(messy, labels, empty):
