@@ -8,6 +8,8 @@ falls with the square root of the length.
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,19 +22,34 @@ from .common import drop_tables, materialize, span_hashes, table, text_blocks, w
 
 #: Word ids of the reference counts, and the commonest of a language that make the word histogram (the rest is one class).
 WORD_IDS, COMMON = 1 << 16, 64
-#: Languages with fewer words than this over all documents use the reference of all languages together.
-LANGUAGE_WORDS = 5_000
+#: A language's reference has, besides its own counts, the shares of all languages together at the weight of this many words.
+PRIOR_WORDS = 5_000
 #: Minimum words and limits of the two tests: the limit of a text of n words is limit + chance / sqrt(n). A distance over
 #: its limit rejects, and so do two that are both near: shares of their limits that add up to more than TOGETHER.
 CHAR_GUARD, CHAR_LIMIT, CHAR_CHANCE = 20, 0.09, 1.35
 WORD_GUARD, WORD_LIMIT, WORD_CHANCE = 50, 0.06, 3.3
 TOGETHER = 1.8
 
-#: Character classes by byte: continuation bytes (class 0) do not count, so every code point counts once.
-_CLASSES = ["continuation", "space", "newline", "lower", "upper", "digit", "stop", "comma", "quote", "bracket", "hyphen", "exclamation", "symbol", "bar", "other", "beyond"]
-_OF = np.full(256, _CLASSES.index("other"), np.uint8)
-for _name, _chars in {"space": b" \t\x0b\x0c", "newline": b"\n\r", "digit": b"0123456789", "stop": b".", "comma": b",;:", "quote": b"'\"`", "bracket": b"()[]{}", "hyphen": b"-_/", "exclamation": b"!?", "symbol": b"#*$%&<>@^~=+\\", "bar": b"|", "lower": bytes(range(97, 123)), "upper": bytes(range(65, 91)), "continuation": bytes(range(128, 192)), "beyond": bytes(range(192, 256))}.items():
-    _OF[np.frombuffer(_chars, np.uint8)] = _CLASSES.index(_name)
+#: Character classes: those of ASCII by character, those beyond it by the first letter or both of the Unicode category.
+_ASCII = {"space": " \t\x0b\x0c", "newline": "\n\r", "digit": "0123456789", "stop": ".", "comma": ",;:", "quote": "'\"`", "bracket": "()[]{}", "hyphen": "-_/", "exclamation": "!?", "symbol": "#*$%&<>@^~=+\\", "bar": "|"}
+_BEYOND = {"Ll": "lower beyond", "Lu": "upper beyond", "Lt": "upper beyond", "L": "letter", "M": "mark", "N": "number", "P": "punctuation", "S": "sign", "Z": "space"}
+_CLASSES = [*_ASCII, "lower", "upper", *dict.fromkeys(x for x in _BEYOND.values() if x not in _ASCII), "other"]
+
+
+def _class(c: int) -> str:
+    if c < 128:
+        return next((name for name, chars in _ASCII.items() if chr(c) in chars), "lower" if 97 <= c < 123 else "upper" if 65 <= c < 91 else "other")
+    kind = unicodedata.category(chr(c))
+    return _BEYOND.get(kind) or _BEYOND.get(kind[0], "other")
+
+
+@functools.cache
+def _class_table() -> np.ndarray:
+    """The class of every code point."""
+    number = {name: i for i, name in enumerate(_CLASSES)}
+    return np.fromiter((number[_class(c)] for c in range(0x110000)), np.uint8, 0x110000)
+
+
 _PLAIN = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256))
 _SYMBOLS = "#*$%&|<>"
 
@@ -92,9 +109,11 @@ def _word_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _char_hist(text: bytes) -> np.ndarray:
-    h = np.bincount(_OF[np.frombuffer(text, np.uint8)], minlength=len(_CLASSES))
-    h[0] = 0
-    return h
+    if text.isascii():
+        codes = np.frombuffer(text, np.uint8)
+    else:
+        codes = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), "<u4")
+    return np.bincount(_class_table()[codes], minlength=len(_CLASSES))
 
 
 def _groups(batches, limit: int = 1 << 20) -> Iterator[tuple[list, list, list[str]]]:
@@ -104,10 +123,11 @@ def _groups(batches, limit: int = 1 << 20) -> Iterator[tuple[list, list, list[st
 
 
 def references(docs: DataFrame) -> dict:
-    """Histograms per language (and over all, under ""): {lang: (char histogram, common ids, their counts and the rest)}.
+    """Histograms per language: {lang: (char histogram, common ids, their counts and the rest)}.
 
-    Counts are summed over every document that passes the base rules. The result has one entry for each language with
-    LANGUAGE_WORDS words or more.
+    Counts are summed over every document that passes the base rules; to them come the shares of all languages together,
+    times PRIOR_WORDS (for characters, as many as that many words have), so that a language of few words leans on the
+    others, the less the more it has. The result has a fixed number of figures for each value of lang.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,28 +153,37 @@ def references(docs: DataFrame) -> dict:
 
     cells = docs.select("lang", F.col("text").cast("binary")).mapInArrow(count, "lang string, cell int, n long")
     cells = materialize(cells.groupBy("lang", "cell").agg(F.sum("n").alias("n")))
-    enough = cells.where(F.col("cell") < WORD_IDS).groupBy("lang").agg(F.sum("n").alias("_w")).where(F.col("_w") >= LANGUAGE_WORDS)
-    pooled = cells.groupBy("cell").agg(F.sum("n").alias("n")).select(F.lit("*").alias("lang"), "cell", "n")
-    all_cells = cells.join(enough.select("lang"), "lang", "left_semi").unionByName(pooled)
-    totals = all_cells.where(F.col("cell") < WORD_IDS).groupBy("lang").agg(F.sum("n").alias("n")).select("lang", F.lit(-1).alias("cell"), "n")
-    top = all_cells.where(F.col("cell") < WORD_IDS).withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "cell"))).where(F.col("_r") <= COMMON).drop("_r")
-    kept = top.unionByName(all_cells.where(F.col("cell") >= WORD_IDS)).unionByName(totals)
-    rows = kept.collect()  # COMMON + classes + 1 numbers for each language of LANGUAGE_WORDS words or more
-    drop_tables(docs.sparkSession, cells)
-    out: dict[str, list] = {}
+    pooled = materialize(cells.groupBy("cell").agg(F.sum("n").alias("n")))
+    is_word = F.col("cell") < WORD_IDS
+    by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "cell")
+    own_top = cells.where(is_word).withColumn("_r", F.row_number().over(by_count)).where(F.col("_r") <= COMMON).drop("_r")
+    all_top = pooled.where(is_word).orderBy(F.desc("n"), "cell").limit(COMMON)
+    shared = cells.join(F.broadcast(all_top.select("cell")), "cell", "left_semi")  # COMMON rows are broadcast
+    totals = cells.where(is_word).groupBy("lang").agg(F.sum("n").alias("n")).select("lang", F.lit(-1).alias("cell"), "n")
+    rows = own_top.union(shared.select("lang", "cell", "n")).union(cells.where(~is_word)).union(totals).distinct().collect()  # 2 * COMMON + classes + 1 numbers for a language
+    wanted = docs.sparkSession.createDataFrame(sorted({(c,) for _, c, _ in rows if 0 <= c < WORD_IDS}), "cell int")
+    every = dict(pooled.join(F.broadcast(wanted), "cell", "left_semi").union(pooled.where(~is_word)).collect())  # WORD_IDS numbers at most
+    total = pooled.where(is_word).agg(F.sum("n")).first()[0] or 0
+    drop_tables(docs.sparkSession, cells, pooled)
+    prior = PRIOR_WORDS / total if total else 0.0
+    shares = np.array([every.get(WORD_IDS + i, 0) for i in range(len(_CLASSES))]) * prior
+    out: dict[str, tuple] = {"*": (np.zeros(len(_CLASSES)), {}, [0])}
     for lang, cell, n in rows:
-        chars, ids, total = out.setdefault(lang, [np.zeros(len(_CLASSES)), [], [0]])
+        chars, words, size = out.setdefault(lang, (np.zeros(len(_CLASSES)), {}, [0]))
         if cell >= WORD_IDS:
             chars[cell - WORD_IDS] = n
         elif cell >= 0:
-            ids.append((n, cell))
+            words[cell] = n
         else:
-            total[0] = n
+            size[0] = n
+    common = {c: n for c, n in every.items() if c < WORD_IDS}
+    top = sorted(common, key=lambda c: (-common[c], c))[:COMMON]
     done = {}
-    for lang, (chars, ids, total) in out.items():
-        ids.sort(key=lambda x: (-x[0], x[1]))
-        counts = np.array([n for n, _ in ids] + [total[0] - sum(n for n, _ in ids)], float)
-        done[lang] = (chars, np.array([c for _, c in ids], np.int64), counts)
+    for lang, (chars, words, size) in out.items():
+        n = {c: words.get(c, 0) + prior * common[c] for c in {*words, *top}}
+        ids = sorted(n, key=lambda c: (-n[c], c))[:COMMON]
+        counts = [n[c] for c in ids]
+        done[lang] = (chars + shares, np.array(ids, np.int64), np.array([*counts, max(0.0, size[0] + prior * total - sum(counts))], float))
     return done
 
 
@@ -194,8 +223,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
             for i, t in enumerate(texts):
                 counts = base_counts(t.decode("utf-8", "replace"))
                 failed = base_failed(counts[0], counts[4])
-                ref = refs.get("" if langs[i] is None else "l" + langs[i]) or refs.get("*")
-                char_d, word_d, good = verdict(counts[0], t, ids[cut[i] : cut[i + 1]], ref) if ref else (0.0, 0.0, True)
+                ref = refs.get("" if langs[i] is None else "l" + langs[i]) or refs["*"]
+                char_d, word_d, good = verdict(counts[0], t, ids[cut[i] : cut[i + 1]], ref)
                 out.append((doc[i], *counts, failed, char_d, word_d, good and not failed))
             kinds = [pa.int64()] * 6 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
@@ -204,4 +233,5 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def op2_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row (SCHEMA) for every row of documents; nulls and repeats as in quality_rules()."""
     return quality_rules(table(spark, sf_dir, "documents"))
