@@ -193,10 +193,18 @@ def hybrid_rrf_compat(spark, sf):
     return rounded(hybrid.hybrid(_near(spark, sf, 20), bm25.search(bm25.build(docs(spark, sf)), ASKED, 20), 10, compat=True))
 
 
-@query("SELECT item_id, text AS term, CAST(1 AS DOUBLE) AS sign, false AS arithmetic FROM (SELECT item_id, unnest(regexp_split_to_array(trim(text), '\\s+')) AS text FROM benchmark) WHERE text <> ''")
+@query(
+    "WITH w AS (SELECT item_id, regexp_split_to_array(trim(text), '\\s+') AS w FROM benchmark), t AS (SELECT item_id, w, item_id % 3 <> 0 AS signed FROM w), "
+    "l AS (SELECT item_id, signed, CASE WHEN signed THEN [{'t': w[1], 's': 1}, {'t': w[2], 's': -1}, {'t': w[3] || ' ' || w[4], 's': -1}, {'t': 'C++', 's': 1}, {'t': w[5] || '-' || w[6], 's': 1}, {'t': w[7], 's': 1}, {'t': w[8], 's': -1}] "
+    "ELSE [{'t': w[1], 's': 1}, {'t': w[2] || ' ' || w[3], 's': 1}, {'t': 'C++', 's': 1}, {'t': w[4] || '+', 's': 1}] END AS l FROM t) "
+    "SELECT item_id, u.t AS term, CAST(u.s AS DOUBLE) AS sign, signed AS arithmetic FROM (SELECT item_id, signed, unnest(l) AS u FROM l)"
+)
 def parse_queries(spark, sf):
-    """Benchmark texts hold no signs or quotes at word starts, so each word is a positive term."""
-    q = read(spark, sf, "benchmark").select("item_id", query_parser.parse_column(F.col("text")).alias("q"))
+    """Queries made of each benchmark text's first words: with signs, quoted phrases, signs inside words and signs that stand apart."""
+    w = F.split(F.trim("text"), r"\s+")
+    signed = F.format_string('%s -%s -"%s %s" C++ %s-%s + %s\t-  %s ', *[w[i] for i in range(8)])
+    plain = F.format_string(' %s "%s %s"  C++ %s+', *[w[i] for i in range(4)])
+    q = read(spark, sf, "benchmark").select("item_id", query_parser.parse_column(F.when(F.col("item_id") % 3 != 0, signed).otherwise(plain)).alias("q"))
     return q.select("item_id", F.explode("q.terms").alias("t"), "q.arithmetic").select("item_id", F.col("t.text").alias("term"), F.col("t.sign").alias("sign"), "arithmetic")
 
 
@@ -302,12 +310,12 @@ def progress(spark, sf):
     return read(spark, sf, "events").select("event_id", text.percent(done, F.lit(100)).cast("double").alias("percent"), text.eta_seconds(done, F.lit(100), F.lit(60.0)).alias("eta"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE text END AS text FROM documents")
+@query("SELECT doc_id, regexp_replace(text, '([A-Za-z]+)ing', 'shown \\1 and \\1ed', 'g') AS text FROM documents")
 def obsidian_text(spark, sf):
-    """Front matter and links added to every text come off again."""
-    dressed = F.concat(F.lit("---\ntitle: x\n---\n[["), F.col("text"), F.lit("]]"))
-    plain = text.resolve_links(text.strip_front_matter(F.when(F.col("text").rlike(r"[\[\]|]"), F.concat(F.lit("---\na: b\n---\n"), F.col("text"))).otherwise(dressed)))
-    return docs(spark, sf).select("doc_id", plain.alias("text"))
+    """Notes with front matter and with links in place of words give the links' shown texts."""
+    linked = F.regexp_replace("text", "([A-Za-z]+)ing", "[[$1ing|shown $1]] and [[$1ed]]")
+    note = F.concat(F.lit("---\ntitle: [[x]]\ntags: a|b\n---\n"), linked)
+    return docs(spark, sf).select("doc_id", text.resolve_links(text.strip_front_matter(note)).alias("text"))
 
 
 # ---- catalogue -----------------------------------------------------------------------------------
@@ -455,13 +463,18 @@ def watch_latest(spark, sf):
     return latest(e, "event_type", F.struct("ts", "event_id")).select(F.col("path").alias("user_id"), "event_type", F.col("at.ts").alias("ts"))
 
 
-@query("SELECT * FROM (VALUES ('extractor', 'added'), ('file_modified_at', 'added'), ('namespace', 'added'), ('page_number', 'added')) AS t(field, change)")
+@query("SELECT event_type AS field, CASE WHEN lo IS NULL THEN 'added' WHEN hi IS NULL THEN 'removed' ELSE 'retyped' END AS change FROM (SELECT event_type, max(user_id) FILTER (event_id % 2 = 0 AND event_type <> 'click') AS lo, max(user_id) FILTER (event_id % 2 = 1 AND event_type <> 'view') AS hi FROM events GROUP BY 1) WHERE lo IS DISTINCT FROM hi")
 def schema_diff(spark, sf):
-    from ..schema import PAYLOAD, diff
+    """What changes between two schemas that the events table gives: fields are event types, types their largest users."""
+    from ..schema import diff
 
-    base = {k: v for k, v in PAYLOAD.items() if k not in ("extractor", "file_modified_at", "namespace", "page_number")}
-    rows = [(f, kind) for kind, fields in diff(base, PAYLOAD).items() for f in fields]
-    return spark.createDataFrame(rows, "field string, change string")
+    e = read(spark, sf, "events").groupBy("event_type").agg(
+        F.max(F.when((F.col("event_id") % 2 == 0) & (F.col("event_type") != "click"), F.col("user_id"))).alias("lo"),
+        F.max(F.when((F.col("event_id") % 2 == 1) & (F.col("event_type") != "view"), F.col("user_id"))).alias("hi"),
+    )
+    fields = e.collect()  # one row for each event type
+    old, new = ({r.event_type: str(r[name]) for r in fields if r[name] is not None} for name in ("lo", "hi"))
+    return spark.createDataFrame([(f, kind) for kind, names in diff(old, new).items() for f in names], "field string, change string")
 
 
 # ---- chunkers and extraction ---------------------------------------------------------------------
@@ -484,12 +497,26 @@ def _sectioned(spark, sf, begin: str, gap: str = "\n"):
     return docs(spark, sf).withColumn("text", F.concat(F.lit(begin), F.replace("text", F.lit(". "), F.lit(f".{gap}{begin}"))))
 
 
-@query()
+def _sections_sql(mark: str) -> str:
+    """Documents as in _sectioned(), cut at the marks; sections that are too long are cut into windows."""
+    space = "' ' || chr(9) || chr(10) || chr(13)"
+    return (
+        f"WITH RECURSIVE m AS (SELECT doc_id, '{mark}' || replace(text, '. ', '.' || chr(10) || '{mark}') AS text FROM documents WHERE text IS NOT NULL), "
+        f"p AS (SELECT doc_id, unnest(list_transform(string_split(chr(10) || text, chr(10) || '{mark}')[2:], lambda x, i: {{'n': i, 't': trim('{mark}' || x, {space})}})) AS p FROM m), "
+        "b AS (SELECT doc_id, p.n AS n, p.t AS text FROM p), "
+        "w AS (SELECT doc_id, n, text, 0 AS s, " + _END.format(s="0") + " AS e FROM b WHERE length(text) > 500 UNION ALL "
+        "SELECT doc_id, n, text, greatest(s + 1, e - 50) AS s, " + _END.format(s="greatest(s + 1, e - 50)") + " AS e FROM w WHERE greatest(s + 1, e - 50) < length(text)), "
+        f"c AS (SELECT doc_id, n, s, trim(substr(text, s + 1, e - s), {space}) AS chunk_text FROM w UNION ALL SELECT doc_id, n, 0, text FROM b WHERE length(text) <= 500) "
+        "SELECT doc_id AS id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n, s) - 1 AS INTEGER) AS chunk_index, chunk_text FROM c WHERE length(chunk_text) >= 100"
+    )
+
+
+@query(_sections_sql("# "))
 def chunk_headings(spark, sf):
     return chunking.chunk_rows(_sectioned(spark, sf, "# "), kind="headings")
 
 
-@query()
+@query(_sections_sql("def "))
 def chunk_code(spark, sf):
     return chunking.chunk_rows(_sectioned(spark, sf, "def "), kind="code")
 
@@ -514,9 +541,14 @@ def chunk_recursive(spark, sf):
     return recursive.chunk_rows(_sectioned(spark, sf, "# "), language="markdown")
 
 
-@query("SELECT * FROM (VALUES (28)) AS t(n)")
+@query("SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'python' WHEN 1 THEN 'rust' WHEN 2 THEN 'cpp' WHEN 3 THEN 'csharp' WHEN 4 THEN 'yaml' WHEN 5 THEN 'kotlin' END AS language FROM documents")
 def supported_languages(spark, sf):
-    return recursive.language_table(spark).agg(F.count("*").cast("int").alias("n"))
+    """Languages looked up by name, other name, extension with and without its dot, in any case."""
+    keys = F.array(*[F.lit(k) for k in ("Python3", ".RS", "cxx", "c#", "yml", "KTS", "brainfuck")])
+    table = recursive.language_table(spark)
+    by_key = table.select("name", F.explode(F.array_distinct(F.concat(F.array("name"), "aliases", "extensions"))).alias("key")).dropDuplicates(["key"])
+    asked = docs(spark, sf).select("doc_id", F.regexp_replace(F.lower(F.element_at(keys, (F.col("doc_id") % 7 + 1).cast("int"))), r"^\.", "").alias("key"))
+    return asked.join(F.broadcast(by_key), "key", "left").select("doc_id", F.col("name").alias("language"))  # a few keys for each language
 
 
 @query()
