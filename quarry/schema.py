@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import json
-import os
-import tempfile
-from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CHUNKS = T.StructType(
@@ -23,22 +21,8 @@ PAYLOAD = {"file_path": "keyword", "file_name": "keyword", "file_type": "keyword
 VECTOR = {"name": "text", "size": 384, "distance": "Cosine"}
 
 
-class SchemaBreakingChange(Exception):
-    """The change needs a new index."""
-
-
-@dataclass
-class Version:
-    version: int
-    payload_fields: dict[str, str]
-    vector_config: dict[str, object]
-    created_at: str = ""
-
-
-@dataclass
-class History:
-    current: Version
-    history: list[Version] = field(default_factory=list)
+class IncompatibleSchema(Exception):
+    """Fields or vectors of an index do not allow the change without indexing again."""
 
 
 def diff(old: dict[str, str], new: dict[str, str]) -> dict[str, list[str]]:
@@ -46,54 +30,50 @@ def diff(old: dict[str, str], new: dict[str, str]) -> dict[str, list[str]]:
     return {"added": sorted(new.keys() - old.keys()), "removed": sorted(old.keys() - new.keys()), "retyped": sorted(f for f in new.keys() & old.keys() if new[f] != old[f])}
 
 
-class SchemaStore:
-    """Schema histories by collection in one JSON file, replaced atomically. Unreadable entries are skipped."""
-
-    def __init__(self, path: str) -> None:
-        self.path = path
-
-    def load(self) -> dict[str, History]:
-        try:
-            with open(self.path, encoding="utf-8") as f:
-                raw = json.load(f)
-        except (OSError, ValueError):
-            return {}
-        out = {}
-        for name, entry in raw.items() if isinstance(raw, dict) else ():
-            try:
-                out[name] = History(Version(**entry["current"]), [Version(**v) for v in entry["history"]])
-            except (KeyError, TypeError):
-                continue
-        return out
-
-    def save(self, all_: dict[str, History]) -> None:
-        folder = os.path.dirname(os.path.abspath(self.path))
-        os.makedirs(folder, exist_ok=True)
-        handle, temp = tempfile.mkstemp(dir=folder)
-        with os.fdopen(handle, "w", encoding="utf-8") as f:
-            json.dump({k: asdict(v) for k, v in all_.items()}, f, indent=1)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(temp, self.path)
-
-    def migrate(self, name: str, payload: dict[str, str] | None = None, vector: dict[str, object] | None = None) -> Version:
-        """The current version after additions; removed or retyped fields and new vector settings raise."""
-        wanted = Version(1, dict(payload or PAYLOAD), dict(vector or VECTOR), datetime.now(UTC).isoformat())
-        all_ = self.load()
-        if name not in all_:
-            all_[name] = History(wanted, [wanted])
-            self.save(all_)
-            return wanted
-        now = all_[name].current
-        change = diff(now.payload_fields, wanted.payload_fields)
-        if now.vector_config != wanted.vector_config:
-            raise SchemaBreakingChange(f"the vector settings of {name!r} changed; index again")
-        if change["removed"] or change["retyped"]:
-            raise SchemaBreakingChange(f"{name!r}: removed {change['removed']}, retyped {change['retyped']}; index again")
-        if not change["added"]:
-            return now
-        wanted.version = now.version + 1
-        all_[name].history.append(wanted)
-        all_[name].current = wanted
-        self.save(all_)
-        return wanted
+class SchemaLog:
+    """The schemas that collections had, as a table of a store: a row (HISTORY) for each collection and version.
+
+    Versions are only ever added, each in a folder of its own that must not exist before, so of two writers of one
+    version one fails.
+    """
+
+    HISTORY = "collection string, version int, fields map<string,string>, vector map<string,string>, created_at timestamp"
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, f"{root.rstrip('/')}/schemas"
+
+    def history(self) -> DataFrame:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], self.HISTORY)
+        return self.spark.read.schema(self.HISTORY).option("recursiveFileLookup", True).parquet(self.root)
+
+    def current(self) -> DataFrame:
+        """The last version of each collection."""
+        last = F.max_by(F.struct("version", "fields", "vector", "created_at"), "version").alias("last")
+        return self.history().groupBy("collection").agg(last).select("collection", "last.*")
+
+    def changes(self, collection: str, fields: dict[str, str], vector: dict[str, object]) -> tuple[int, list[str], list[str]]:
+        """(version now, 0 if there is none; what a change to these would add; what of it is not possible)."""
+        row = self.current().where(F.col("collection") == collection).first()
+        if row is None:
+            return 0, sorted(fields), []
+        change = diff(row.fields, fields)
+        bad = [f"{kind}: {name}" for kind in ("removed", "retyped") for name in change[kind]]
+        return row.version, change["added"], bad + [f"vector: {k}" for k in diff(row.vector, _texts(vector))["retyped"]]
+
+    def migrate(self, collection: str, fields: dict[str, str] | None = None, vector: dict[str, object] | None = None) -> int:
+        """Bring a collection to these fields; its version then. Only additions are possible."""
+        fields, vector = fields or PAYLOAD, vector or VECTOR
+        version, added, bad = self.changes(collection, fields, vector)
+        if bad:
+            raise IncompatibleSchema(f"{collection}: {', '.join(bad)}")
+        if added:
+            version += 1
+            row = self.spark.createDataFrame([(collection, version, dict(fields), _texts(vector), datetime.now(UTC))], self.HISTORY)
+            row.coalesce(1).write.mode("error").parquet(f"{self.root}/{collection}/{version}")
+        return version
+
+
+def _texts(vector: dict[str, object]) -> dict[str, str]:
+    return {k: str(v) for k, v in vector.items()}

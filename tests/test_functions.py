@@ -2,7 +2,6 @@
 
 import hashlib
 import io
-import json
 import random
 import uuid
 import zipfile
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import chunking, extract, query_parser, recursive, text
 from quarry.operators import bm25, hybrid
-from quarry.schema import SchemaBreakingChange, SchemaStore
+from quarry.schema import VECTOR, IncompatibleSchema, SchemaLog
 from quarry.sources import files
 
 
@@ -158,20 +157,17 @@ def test_point_ids(spark):
     assert all(r.u == str(uuid.uuid5(uuid.UUID(text.NAMESPACE_ID), f"{r.p}:{r.i}")) for r in got) and [r.s for r in got] == [".txt", "", ""]
 
 
-def test_schema(tmp_path):
-    store = SchemaStore(str(tmp_path / "s.json"))
-    base = {"a": "keyword", "b": "text"}
-    assert store.migrate("c", base).version == 1 and store.migrate("c", base).version == 1
-    assert store.migrate("c", base | {"t": "integer"}).version == 2 and len(store.load()["c"].history) == 2
-    for bad in ({"a": "keyword"}, base | {"t": "text"}):
-        with pytest.raises(SchemaBreakingChange):
-            store.migrate("c", bad)
-    with pytest.raises(SchemaBreakingChange):
-        store.migrate("c", base | {"t": "integer"}, {"name": "text", "size": 768, "distance": "Cosine"})
-    (tmp_path / "s.json").write_text("{broken")
-    assert store.load() == {}
-    (tmp_path / "s.json").write_text(json.dumps({"x": {"nope": 1}}))
-    assert store.load() == {}
+def test_schema(spark, tmp_path):
+    log = SchemaLog(spark, f"file://{tmp_path}/store")
+    base = {"file_path": "keyword", "chunk_text": "text", "chunk_index": "integer"}
+    assert log.history().count() == 0 and log.migrate("a", base) == 1 and log.migrate("a", base) == 1
+    assert log.migrate("a", base | {"tags": "keyword"}) == 2 and log.migrate("b") == 1
+    assert {(r.collection, r.version) for r in log.current().collect()} == {("a", 2), ("b", 1)}
+    assert [r.version for r in log.history().where("collection = 'a'").orderBy("version").collect()] == [1, 2]
+    for fields, vector in ((base, None), (base | {"tags": "text"}, None), (base | {"tags": "keyword"}, VECTOR | {"size": 768})):
+        with pytest.raises(IncompatibleSchema):
+            log.migrate("a", fields, vector)
+    assert SchemaLog(spark, f"file://{tmp_path}/store").current().where("collection = 'a'").first().fields == base | {"tags": "keyword"}
 
 
 def test_tiny_corpora(spark):
