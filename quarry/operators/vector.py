@@ -39,41 +39,42 @@ def search(vectors: DataFrame, query: Sequence[float], top_k: int = 10, id_col:
     return bm25.ranked(x.select(F.col(id_col).alias("id"), cosine(F.col(vec_col), q).alias("score")), top_k)
 
 
+def _packed(rows: DataFrame, size: int) -> DataFrame:
+    """ids, vectors (packed doubles of unit length), n: blocks of at most size rows (long, array) of one partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                v = np.stack(part.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
+                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()]), pa.array([v.tobytes()]), pa.array([len(ids)], pa.int32())], names=["ids", "vectors", "n"])
+
+    return rows.mapInArrow(run, "ids binary, vectors binary, n int")
+
+
 def search_many(vectors: DataFrame, queries: DataFrame, top_k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 1024) -> DataFrame:
-    """query_id, rank, id, score: the nearest top_k of every query, queries in blocks of matrix products.
+    """query_id, rank, id, score: the nearest top_k of every query, as matrix products of blocks in one job.
 
-    queries: query_id, vector. Each task keeps the best top_k of its rows for each query, so little is shuffled.
+    queries: query_id, vector. Blocks of the query set meet blocks of the vectors; each product keeps the best top_k of
+    its rows for each query, so little is shuffled. Null vectors are nobody's neighbours.
     """
-    out = None
-    total = queries.count()
-    numbered = queries.select("query_id", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-total // block)))).alias("_b"), _doubles(F.col("vector")).alias("vector"))
-    for b in range(max(1, -(-total // block))):
-        rows = numbered.where(F.col("_b") == b).collect()  # about one block of queries
-        if not rows:
-            continue
-        ids = np.array([r[0] for r in rows])
-        q = np.array([r[2] for r in rows], np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        shared = vectors.sparkSession.sparkContext.broadcast((ids, q))
-
-        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, matrix = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                v = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                s = matrix @ v.T
-                keys = batch.column(0).to_numpy(zero_copy_only=False)
-                k = min(top_k, s.shape[1])
-                cut = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-                r, c = np.nonzero(s >= cut[:, None])  # ties at the cut stay for the exact ranking
+    rows = _packed(vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(vec_col)), 4 * block)
+    asked = _packed(queries.where("vector is not null").select(F.col("query_id").cast("long"), F.col("vector")), block)
+    met = rows.crossJoin(asked.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("n").alias("q_n")))  # blocks, not rows
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, vecs, n, q_ids, q_vecs, q_n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys, names = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
+                s = np.frombuffer(q_vecs).reshape(q_n, -1) @ np.frombuffer(vecs).reshape(n, -1).T
+                k = min(top_k, n)
+                cut = np.partition(s, n - k, axis=1)[:, n - k]
+                r, c = np.nonzero(s >= cut[:, None] - 1e-9)  # ties at the cut stay for the exact ranking
                 yield pa.RecordBatch.from_arrays([pa.array(names[r]), pa.array(keys[c]), pa.array(s[r, c])], names=["query_id", "id", "score"])
 
-        part = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col)).mapInArrow(best, "query_id long, id long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return queries.sparkSession.createDataFrame([], "query_id long, rank int, id long, score double")
+    out = met.mapInArrow(best, "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(bm25.by_score(), "id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("query_id", "rank", "id", "score")
 
