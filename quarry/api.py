@@ -50,7 +50,8 @@ class Engine:
         if files is None:
             files = file_sources.scan(self.spark, folder, file_sources.SUPPORTED, max_file_size_mb << 20)
         with self._lock:
-            out = index_files(self.store, files, namespace or self.namespace, force, size, overlap)
+            own = None if self.embed is vector.hash_embed_text else self.embed  # the default one has a form without Python
+            out = index_files(self.store, files, namespace or self.namespace, force, size, overlap, embed=own)
         tell({"status": "done"} | asdict(out))
         self.audit("index", json.dumps(asdict(out)))
         return out
@@ -58,12 +59,11 @@ class Engine:
     def delete(self, path: str, namespace: str | None = None) -> int:
         """Remove a file's chunks; the number removed."""
         ns = namespace or self.namespace
-        mine = (F.col("namespace") == ns) & F.col("file_path").eqNullSafe(path)
         with self._lock:
-            now = self.store.read()
-            n = now.where(mine).count()
+            gone = self.spark.createDataFrame([(ns, path)], "namespace string, file_path string")
+            n = self.store.read(ns).where(F.col("file_path") == path).count()
             if n:
-                self.store.commit(now.where(~mine))
+                self.store.change(gone)
         self.audit("delete", path)
         return n
 
@@ -131,7 +131,37 @@ class Engine:
         return catalog.file_chunks(self.chunks(namespace), path)
 
     def namespaces(self) -> DataFrame:
-        return catalog.namespaces(self.store.read())
+        """Those that have chunks, those that were made, and the default one."""
+        names = {"default", *(ns for ns, _ in self.store.parts()), *self.store.names()}
+        return self.spark.createDataFrame([(x,) for x in sorted(names)], "namespace string")
+
+    def create_namespace(self, name: str) -> bool:
+        """Make a namespace; False if it is there already."""
+        name = namespace_name(name)
+        with self._lock:
+            known = name in {r.namespace for r in self.namespaces().collect()}
+            if not known:
+                self.store.set_names({*self.store.names(), name})
+        return not known
+
+    def delete_namespace(self, name: str) -> int:
+        """Remove a namespace with its chunks and its index; the number of chunks removed. The default one stays, empty."""
+        name = namespace_name(name)
+        with self._lock:
+            n = self.store.read(name).count()
+            if n:
+                self.store.commit(self.store.read().limit(0), {part for part in self.store.parts() if part[0] == name})
+            self.store.set_names(self.store.names() - {name})
+            self.store.remove(f"bm25/{name}")
+        self.audit("delete namespace", name)
+        return n
+
+    def scroll(self, after: str | None = None, limit: int = 100, namespace: str | None = None) -> tuple[DataFrame, str | None]:
+        """The next chunks in order of point_id after a cursor, and the cursor behind them; None at the end."""
+        x = self.chunks(namespace)
+        page = (x if after is None else x.where(F.col("point_id") > after)).orderBy("point_id").limit(limit)
+        last = page.agg(F.max("point_id"), F.count("*")).first()
+        return page, last[0] if last[1] == limit else None
 
     def _note(self, query: str, mode: str) -> None:
         self._recent = [{"query": query, "mode": mode, "at": datetime.now(UTC)}, *self._recent][:20]
@@ -209,16 +239,23 @@ class Engine:
         def deleted(paths: DataFrame) -> None:
             if not paths.isEmpty():
                 with self._lock:
-                    now = self.store.read()
-                    gone = paths.select(F.lit(self.namespace).alias("namespace"), F.col("path").alias("file_path"))
-                    self.store.commit(now.join(gone, ["namespace", "file_path"], "left_anti"))
+                    self.store.change(paths.select(F.lit(self.namespace).alias("namespace"), F.col("path").alias("file_path")))
 
         query = streaming.start(events, changed, deleted, checkpoint, debounce, once)
         self._watches[folder] = query
+        if not once:
+            self.store.set_watches(self.store.watches() | {folder: [checkpoint, debounce]})
         return query
 
+    def resume_watches(self) -> list[str]:
+        """Start the queries of all folders that the store remembers as watched, as after a restart."""
+        for folder, (checkpoint, debounce) in self.store.watches().items():
+            self.watch(folder, checkpoint, debounce)
+        return sorted(self._watches)
+
     def unwatch(self, folder: str) -> None:
         query = self._watches.pop(folder, None)
+        self.store.set_watches({f: w for f, w in self.store.watches().items() if f != folder})
         if query is not None:
             query.stop()
 

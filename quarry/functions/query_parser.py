@@ -36,6 +36,9 @@ class Query:
     def full_text(self) -> str:
         return " ".join(t.text for t in self.terms)
 
+    def to_dict(self) -> dict:
+        return {"terms": [{"text": t.text, "sign": t.sign, "weight": t.weight} for t in self.terms], "is_arithmetic": self.arithmetic, "base_text": self.base_text}
+
 
 def parse(raw: str | None) -> Query:
     """Terms of a query in order. Words are terms of their own, quoted phrases are one; blank text has none."""

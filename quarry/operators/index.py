@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chunking
@@ -26,10 +29,22 @@ class Summary:
     chunks: int = 0
 
 
-def chunk_files(files: DataFrame, namespace: str = "default", size: int = chunking.SIZE, overlap: int = chunking.OVERLAP, dims: int = 64) -> DataFrame:
+def embedded(rows: DataFrame, embed: Callable[[str], Sequence[float]]) -> DataFrame:
+    """point_id, embedding: the vectors that a model gives the rows' chunk_text, batch by batch on the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = [[float(x) for x in embed(t or "")] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.list_(pa.float32()))], names=["point_id", "embedding"])
+
+    return rows.select("point_id", "chunk_text").mapInArrow(run, "point_id string, embedding array<float>")
+
+
+def chunk_files(files: DataFrame, namespace: str = "default", size: int = chunking.SIZE, overlap: int = chunking.OVERLAP, dims: int = 64, embed: Callable[[str], Sequence[float]] | None = None) -> DataFrame:
     """Rows of the chunk table (schema CHUNKS) for files (path, file_name, file_type, modified_at, sha256, content).
 
-    Only extraction and chunking run in Python; ids, pages and hashed embeddings are JVM expressions.
+    Only extraction and chunking run in Python, and `embed` if it is given; ids, pages and hashed embeddings are JVM
+    expressions.
     """
     texts = extract_files(files.select("path", "file_name", "file_type", "modified_at", "sha256", "content"))
     rows = chunking.chunk_rows(texts, "path", "text", type_col="file_type", size=size, overlap=overlap)
@@ -37,8 +52,8 @@ def chunk_files(files: DataFrame, namespace: str = "default", size: int = chunki
     paged = texts.where("page_offsets is not null").select("path", "text", "page_offsets")
     lists = rows.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_text"))), lambda c: c["chunk_text"]).alias("c"))  # a file's chunks
     pages = paged.join(lists, "path").select("path", F.posexplode(page_numbers(F.col("c"), F.col("text"), F.col("page_offsets"))).alias("chunk_index", "page_number"))
-    embedded = vector.hash_embed(rows, "point_id", "chunk_text", dims).withColumnRenamed("id", "point_id")
-    x = rows.join(texts.select("path", "file_name", "file_type", "modified_at", "sha256", "extractor"), "path").join(pages, ["path", "chunk_index"], "left").join(embedded, "point_id")
+    vectors = embedded(rows, embed) if embed else vector.hash_embed(rows, "point_id", "chunk_text", dims).withColumnRenamed("id", "point_id")
+    x = rows.join(texts.select("path", "file_name", "file_type", "modified_at", "sha256", "extractor"), "path").join(pages, ["path", "chunk_index"], "left").join(vectors, "point_id")
     return x.select(
         F.lit(namespace).alias("namespace"), "point_id", F.col("path").alias("file_path"), "file_name", "file_type", "chunk_index", "chunk_text", F.col("sha256").alias("file_hash"),
         F.current_timestamp().alias("indexed_at"), "extractor", "page_number", F.col("modified_at").alias("file_modified_at"), "embedding",
@@ -46,19 +61,37 @@ def chunk_files(files: DataFrame, namespace: str = "default", size: int = chunki
 
 
 class Store:
-    """The chunk table as immutable versions of Parquet under root, partitioned by namespace.
+    """The chunk table under root as parts: the files of a namespace, dealt to BUCKETS by a hash of their paths.
 
-    A commit writes a new version beside the old one and then replaces the pointer file, so readers see one or the other.
+    A version is a list of the folders of its parts. A commit writes the parts that change into new folders, lists them
+    with the untouched ones, and replaces the pointer file, so readers see one version or the other. What a commit costs
+    is the parts that it touches. The last two versions stay.
     """
 
+    BUCKETS = 64
+
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
         self._jvm = spark.sparkContext._jvm
         self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    # ---- files ----
+
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
+    def _text(self, name: str) -> str:
+        stream = self._fs.open(self._path(name))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _put(self, name: str, text: str) -> None:
+        out = self._fs.create(self._path(name), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+
     def has(self, name: str) -> bool:
         return self._fs.exists(self._path(name))
 
@@ -72,47 +105,81 @@ class Store:
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path(name))]
         return [int(x) for x in names if x.isdigit()]
 
+    def names(self) -> set[str]:
+        """Namespaces that were made, with chunks or without."""
+        return set(json.loads(self._text("NAMESPACES"))) if self.has("NAMESPACES") else set()
+
+    def set_names(self, names: set[str]) -> None:
+        self._put("NAMESPACES", json.dumps(sorted(names)))
+
+    def watches(self) -> dict[str, list[str]]:
+        """Watched folders with their checkpoints and debounce times."""
+        return json.loads(self._text("WATCHES")) if self.has("WATCHES") else {}
+
+    def set_watches(self, watches: dict[str, list[str]]) -> None:
+        self._put("WATCHES", json.dumps(watches))
+
+    # ---- versions ----
+
     def version(self) -> int:
-        if not self._fs.exists(self._path("CURRENT")):
-            return 0
-        stream = self._fs.open(self._path("CURRENT"))
-        try:
-            return int(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        return int(self._text("CURRENT")) if self.has("CURRENT") else 0
+
+    def parts(self, version: int | None = None) -> dict[tuple[str, int], str]:
+        """(namespace, bucket) -> folder of every part of a version, the current one unless another is given."""
+        v = self.version() if version is None else version
+        return {(ns, b): folder for ns, b, folder in json.loads(self._text(f"versions/{v}"))} if v > 0 and self.has(f"versions/{v}") else {}
 
-    def read(self, namespace: str | None = None) -> DataFrame:
-        v = self.version()
-        x = self.spark.read.schema(CHUNKS).parquet(f"{self.root}/chunks/v{v}") if v else self.spark.createDataFrame([], CHUNKS)
-        x = x.select(*CHUNKS.fieldNames())
-        return x if namespace is None else x.where(F.col("namespace") == namespace)
+    @classmethod
+    def bucket(cls, path: Column) -> Column:
+        return F.pmod(F.xxhash64(path), F.lit(cls.BUCKETS)).cast("int")
 
-    def commit(self, chunks: DataFrame) -> int:
+    def read(self, namespace: str | None = None, only: set[tuple[str, int]] | None = None) -> DataFrame:
+        """The chunks of a namespace, or all; only: of these parts alone."""
+        folders = [f"{self.root}/{folder}" for part, folder in self.parts().items() if namespace in (None, part[0]) and (only is None or part in only)]
+        return self.spark.read.schema(CHUNKS).parquet(*folders) if folders else self.spark.createDataFrame([], CHUNKS)
+
+    def commit(self, chunks: DataFrame, touched: set[tuple[str, int]] | None = None) -> int:
+        """Make chunks the content of the touched parts (of the whole table, if None); the new version."""
+        old = self.parts()
         v = self.version() + 1
-        rows = chunks.select(*CHUNKS.fieldNames())
-        rows.repartition("namespace", "file_path").sortWithinPartitions("namespace", "file_path", "chunk_index").write.mode("overwrite").partitionBy("namespace").parquet(f"{self.root}/chunks/v{v}")
-        out = self._fs.create(self._path("CURRENT.next"), True)
-        out.write(bytearray(str(v).encode()))
-        out.close()
+        rows = chunks.select(*CHUNKS.fieldNames(), F.col("namespace").alias("part_namespace"), self.bucket(F.col("file_path")).alias("part_bucket"))
+        ordered = rows.repartition("part_namespace", "part_bucket").sortWithinPartitions("part_namespace", "part_bucket", "file_path", "chunk_index")
+        ordered.write.mode("overwrite").partitionBy("part_namespace", "part_bucket").parquet(f"{self.root}/data/{v}")
+        found = self._fs.globStatus(self._path(f"data/{v}/part_namespace=*/part_bucket=*")) or []
+        new = {}
+        for status in found:
+            bucket, name = status.getPath().getName(), status.getPath().getParent().getName()
+            new[name.partition("=")[2], int(bucket.partition("=")[2])] = f"data/{v}/{name}/{bucket}"
+        kept = {} if touched is None else {part: folder for part, folder in old.items() if part not in touched}
+        self._put(f"versions/{v}", json.dumps([[*part, folder] for part, folder in sorted((kept | new).items())]))
+        self._put("CURRENT.next", str(v))
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri())
         rename = self._jvm.org.apache.hadoop.fs.Options.Rename
         options = self.spark.sparkContext._gateway.new_array(rename, 1)
         options[0] = rename.OVERWRITE
         context.rename(self._path("CURRENT.next"), self._path("CURRENT"), options)
-        self.drop_old()
+        for folder in set(self.parts(v - 2).values()) - set(old.values()) - set((kept | new).values()):
+            self.remove(folder)
+        self.remove(f"versions/{v - 2}")
         return v
 
-    def drop_old(self, keep: int = 2) -> None:
-        now = self.version()
-        for v in range(1, now - keep + 1):
-            self.remove(f"chunks/v{v}")
+    def change(self, gone: DataFrame, fresh: DataFrame | None = None) -> int:
+        """Take all chunks of files (namespace, file_path) out and put fresh ones in; only the parts of these files are rewritten."""
+        files = gone.select("namespace", "file_path")
+        if fresh is not None:
+            files = files.union(fresh.select("namespace", "file_path"))
+        touched = {(r[0], r[1]) for r in files.select("namespace", self.bucket(F.col("file_path"))).distinct().collect()}  # BUCKETS rows a namespace at most
+        if not touched:
+            return self.version()
+        kept = self.read(only=touched).join(gone.select("namespace", "file_path").distinct(), ["namespace", "file_path"], "left_anti").select(*CHUNKS.fieldNames())
+        return self.commit(kept if fresh is None else kept.unionByName(fresh.select(*CHUNKS.fieldNames())), touched)
 
     def compact(self) -> int:
-        """Rewrite the table in fewer, ordered files."""
+        """Rewrite the whole table."""
         return self.commit(self.read())
 
 
-def index_files(store: Store, files: DataFrame, namespace: str = "default", force: bool = False, size: int = chunking.SIZE, overlap: int = chunking.OVERLAP, dims: int = 64) -> Summary:
+def index_files(store: Store, files: DataFrame, namespace: str = "default", force: bool = False, size: int = chunking.SIZE, overlap: int = chunking.OVERLAP, dims: int = 64, embed: Callable[[str], Sequence[float]] | None = None) -> Summary:
     """Index files whose content the namespace does not have; a file's new chunks replace all its old ones."""
     old = store.read(namespace)
     files = files.persist()
@@ -126,13 +193,10 @@ def index_files(store: Store, files: DataFrame, namespace: str = "default", forc
     out.new, out.skipped = n - out.updated, out.total - n
     out.duplicates = out.total - first.count()
     if n:
-        fresh = chunk_files(wanted, namespace, size, overlap, dims).persist()
+        fresh = chunk_files(wanted, namespace, size, overlap, dims, embed).persist()
         out.chunks = fresh.count()
         # a changed file without chunks any more loses its old ones too
-        gone = wanted.select(F.col("path").alias("file_path"))
-        rest = store.read().where(F.col("namespace") != namespace)
-        kept = old.join(gone, "file_path", "left_anti")
-        store.commit(rest.unionByName(kept.select(*rest.columns)).unionByName(fresh))
+        store.change(wanted.select(F.lit(namespace).alias("namespace"), F.col("path").alias("file_path")), fresh)
         fresh.unpersist()
     wanted.unpersist()
     files.unpersist()

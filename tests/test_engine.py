@@ -130,6 +130,52 @@ def test_namespaces(spark, engine, folder):
         namespace_name("no spaces")
 
 
+def test_namespace_life(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    for i in range(4):
+        (tmp_path / "d" / f"{i}.txt").write_text(f"{FOX * 2} number {i}")
+    e = Engine(spark, f"file://{tmp_path}/store")
+    assert e.create_namespace("Team") and not e.create_namespace("team") and [r.namespace for r in e.namespaces().collect()] == ["default", "team"]
+    e.index(str(tmp_path / "d"), namespace="team")
+    e.index(str(tmp_path / "d"))
+    page, cursor = e.scroll(limit=3)
+    rest, end = e.scroll(cursor, 3)
+    assert [r.point_id for r in page.collect()] + [r.point_id for r in rest.collect()] == sorted(r.point_id for r in e.chunks().collect()) and cursor and end is None
+    assert e.delete_namespace("team") == 4 and e.files(namespace="team").count() == 0 and e.files().count() == 4
+    assert [r.namespace for r in e.namespaces().collect()] == ["default"]
+
+
+def test_commits_touch_changed_parts_only(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    for i in range(30):
+        (tmp_path / "d" / f"{i}.txt").write_text(f"{FOX} number {i}")
+    e = Engine(spark, f"file://{tmp_path}/store")
+    e.index(str(tmp_path / "d"))
+    before = e.store.parts()
+    (tmp_path / "d" / "7.txt").write_text(PRICE * 2)
+    e.index(str(tmp_path / "d"))
+    after = e.store.parts()
+    assert sum(before[p] != after[p] for p in before) == 1 and e.chunks().count() == 30
+    e.delete(str(tmp_path / "d" / "8.txt"))
+    e.delete(str(tmp_path / "d" / "9.txt"))
+    assert e.chunks().count() == 28 and len(os.listdir(tmp_path / "store" / "versions")) <= 6
+
+
+def test_own_embedder(spark, tmp_path):
+    """An engine with a model of its own indexes and searches with it."""
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.txt").write_text(FOX * 2)
+    (tmp_path / "d" / "b.txt").write_text(PRICE * 2)
+
+    def embed(t):
+        return [t.lower().count("fox") + 0.1, t.lower().count("pric") + 0.1, 0.0]
+
+    e = Engine(spark, f"file://{tmp_path}/store", embed=embed)
+    e.index(str(tmp_path / "d"))
+    assert {len(r.embedding) for r in e.chunks().collect()} == {3}
+    assert e.search("pricing", "semantic", 1).first().file_name == "b.txt"
+
+
 def test_watch(spark, tmp_path):
     d = tmp_path / "w"
     d.mkdir()
@@ -142,9 +188,15 @@ def test_watch(spark, tmp_path):
     (d / "a.txt").unlink()
     (d / "c.txt").write_text((FOX + PRICE) * 2)
     q.processAllAvailable()
-    e.unwatch(str(d))
     assert {r.file_name for r in e.files().collect()} == {"b.txt", "c.txt"}
-    assert e.watching() == {}
+    q.stop()
+    again = Engine(spark, f"file://{tmp_path}/store")
+    assert again.resume_watches() == [str(d)]
+    (d / "d.txt").write_text(FOX * 3)
+    again._watches[str(d)].processAllAvailable()
+    again.unwatch(str(d))
+    assert {r.file_name for r in again.files().collect()} == {"b.txt", "c.txt", "d.txt"}
+    assert again.watching() == {} and again.resume_watches() == []
 
 
 def test_grants(spark, engine):
