@@ -88,7 +88,11 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def op7_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every text and its edited text; likeness is 1.0 for equal fingerprints, else 0.0."""
+    """Fingerprints of every text and its edited text; likeness is 1.0 for equal fingerprints, else 0.0.
+
+    One row for every row of documents. Null texts are empty; null doc_ids come first, equal ones are ordered by text, and
+    repeated rows follow one another. A table of one row follows itself; an empty one gives an empty result.
+    """
     docs = table(spark, sf_dir, "documents")
     x = with_next(docs)
     n = F.char_length("text")

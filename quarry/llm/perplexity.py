@@ -240,7 +240,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     scored = materialize(scored.select("doc_id", "lang", "key", "n_words", "perplexity", (F.col("trusted") & held).alias("_held")))
     drop_tables(docs.sparkSession, counts, base)
     tested = scored.where("_held and perplexity is not null")
-    by_lang = tested.groupBy("lang").agg((F.percentile("perplexity", F.lit(quantile)) * slack).alias("_own")).withColumnRenamed("lang", "_lang")
+    by_lang = tested.groupBy("lang").agg((F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000)) * slack).alias("_own")).withColumnRenamed("lang", "_lang")
     overall = tested.agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000)) * slack).first()[0]
     overall = float("inf") if overall is None else overall
     salts = 32  # a language may hold most rows
@@ -259,5 +259,6 @@ def keep_accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for every row of documents, trained on labels; nulls, repeats and empty tables as in classify()."""
     x = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return x.select("doc_id", "lang", "n_words", "perplexity", "threshold", "accepted")

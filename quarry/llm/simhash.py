@@ -221,5 +221,6 @@ def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
 
 
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id for every row of documents; nulls and repeats as in simhash_components()."""
     x = simhash_components(table(spark, sf_dir, "documents"))
     return x.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
