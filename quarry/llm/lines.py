@@ -396,9 +396,8 @@ l AS (SELECT doc_id, text, u.pos - 1 AS pos, u.line AS line, {{'d': coalesce(doc
   FROM (SELECT doc_id, text, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {{'line': x, 'pos': i}})) AS u FROM d) WHERE regexp_matches(u.line, '[^\x20\x09-\x0D]')),
 f AS (SELECT line, length(line) AS n, min(place) AS first FROM l GROUP BY line),
 o AS (SELECT line, n, translate(line, '{ACCENTED}', {_ONE_BYTE}) AS plain, {_LIMIT.format("n")} AS k FROM f WHERE n >= 32),
-p AS (SELECT a.line AS x, b.line AS y, a.plain AS u, b.plain AS v, a.k AS k FROM o a JOIN o b ON b.n BETWEEN a.n AND a.n + 3 AND b.n - a.n <= a.k AND (a.n < b.n OR a.line < b.line)
-  WHERE list_bool_or(list_transform(range(a.k + 1), lambda i: contains(b.plain, substr(a.plain, 1 + i * (a.n // (a.k + 1)), a.n // (a.k + 1)))))),
-k AS (SELECT x, y FROM p WHERE levenshtein(u, v) <= k),
+k AS (SELECT a.line AS x, b.line AS y FROM o a JOIN o b ON b.n BETWEEN a.n AND a.n + 3 AND b.n - a.n <= a.k AND (a.n < b.n OR a.line < b.line)
+  WHERE CASE WHEN list_bool_or(list_transform(range(a.k + 1), lambda i: contains(b.plain, substr(a.plain, 1 + i * (a.n // (a.k + 1)), a.n // (a.k + 1))))) THEN levenshtein(a.plain, b.plain) <= a.k ELSE false END),
 b AS (SELECT x AS line, y AS other FROM k UNION ALL SELECT y, x FROM k),
 m AS (SELECT b.line, min(f.first) AS near, count(*) AS links FROM b JOIN f ON b.other = f.line GROUP BY b.line),
 j AS (SELECT l.doc_id, l.text, l.pos, coalesce(m.links, 0) AS links, least(f.first, coalesce(m.near, f.first)) < l.place AS gone FROM l JOIN f USING (line) LEFT JOIN m USING (line)),
