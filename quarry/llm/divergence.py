@@ -50,6 +50,7 @@ def _class_table() -> np.ndarray:
     return np.fromiter((number[_class(c)] for c in range(0x110000)), np.uint8, 0x110000)
 
 
+_ASCII_BYTES = bytes(range(128))
 _PLAIN = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256))
 _SYMBOLS = "#*$%&|<>"
 
@@ -109,11 +110,13 @@ def _word_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _char_hist(text: bytes) -> np.ndarray:
-    if text.isascii():
-        codes = np.frombuffer(text, np.uint8)
-    else:
-        codes = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), "<u4")
-    return np.bincount(_class_table()[codes], minlength=len(_CLASSES))
+    """Code points by class: ASCII by counts of bytes, the rest, which is decoded alone, by looking each one up."""
+    table = _class_table()
+    hist = np.bincount(table[:128], np.bincount(np.frombuffer(text, np.uint8), minlength=256)[:128], len(_CLASSES))
+    beyond = text.translate(None, _ASCII_BYTES)
+    if beyond:
+        hist += np.bincount(table[np.frombuffer(beyond.decode("utf-8", "replace").encode("utf-32-le"), "<u4")], minlength=len(_CLASSES))
+    return hist.astype(np.int64)
 
 
 def _groups(batches, limit: int = 1 << 20) -> Iterator[tuple[list, list, list[str]]]:
