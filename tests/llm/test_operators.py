@@ -523,11 +523,15 @@ def test_lines(messy, empty, spark):
         lines.check_limits(((33, 2),))
 
 
-@pytest.mark.parametrize("block", [lines.BLOCK, 2])
-def test_line_links_against_brute_force(spark, monkeypatch, block):
-    """Lines around the classes' borders with zero to five planted edits, periodic lines, hot lines and repeated rows."""
+@pytest.mark.parametrize(("crowd", "block"), [(lines.CROWD, lines.BLOCK), (1, 2)])
+def test_line_links_against_brute_force(spark, monkeypatch, crowd, block):
+    """Lines around the classes' borders with zero to five planted edits, periodic lines, hot lines and repeated rows.
+
+    Once as they are, once with every key crowded and split into blocks.
+    """
     import random
 
+    monkeypatch.setattr(lines, "CROWD", crowd)
     monkeypatch.setattr(lines, "BLOCK", block)
     r, docs = random.Random(7), []
     for n in (30, 32, 33, 36, 63, 64, 127, 128, 130, 143, 145, 510, 511, 512, 514):
