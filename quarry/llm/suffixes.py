@@ -382,9 +382,10 @@ def _covered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, ids: np.nda
     """Which bytes of a block are covered by strings that a smaller id also holds."""
     cover = np.zeros(len(data) + 1, np.int32)
     first, size, anchor, of = _runs(data, starts, ends, length, gram)
-    for value in found:
-        run, steps, at, holder = _unpack(value)
-        run, steps, at = run.astype(np.int64), steps.astype(np.int64), at.astype(np.int64)
+    if found:
+        # what all shards say at once: a run has one anchor, so one shard, and the work does not grow with their number
+        values = [_unpack(v) for v in found]
+        run, steps, at, holder = (np.concatenate([v[i] for v in values]).astype(np.int64) for i in range(4))
         # all runs of the block that equal one of these
         mine = np.flatnonzero(np.isin(anchor, anchor[run]))
         lead, group = _distinct_runs(data, first[mine], size[mine], anchor[mine], length)
