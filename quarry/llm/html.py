@@ -1,8 +1,11 @@
 """Operator 6: HTML main text with removal of site templates.
 
-Every page is parsed into elements; each element's subtree gets a hash of its tags, classes and text. Spark counts, per
-host, the pages on which each subtree occurs; subtrees that recur on many pages of the host are deleted, inside an
-article as well as around it. What remains outside the rules of tags, roles and class names below is the main text.
+Every page is parsed once, into elements; each element's subtree gets a hash of its tags, classes and text. A page leaves
+the blocks of its main text, by the rules of tags, roles and class names below, each with the hashes of the subtrees that
+hold it. Spark counts, per host, the pages on which each subtree occurs, and blocks of subtrees that recur go.
+
+Inside an article a subtree goes only if it bears the marks of furniture: mostly links or controls, or a class or id, at
+the same place of most of the host's pages. Plain paragraphs, quotations and headings stay however often they are said.
 """
 
 from __future__ import annotations
@@ -10,21 +13,23 @@ from __future__ import annotations
 import bisect
 import functools
 import html as _html
+import itertools
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_tables, materialize, table
+from .common import materialize, table
 
 #: A subtree is a template if it is on this many pages of its host and on this share of them.
 MIN_PAGES, MIN_SHARE = 3, 0.1
 #: Where the share of a host is more pages than this, this many are enough: a section of a large host has its own templates.
 ENOUGH_PAGES = 20
-#: Templates that are broadcast (8 bytes each); beyond it they are joined to the pages by shuffles.
+#: In an article, a marked subtree that is not mostly links must be on this share of the host's pages.
+MOST_PAGES = 0.5
+#: Templates that are broadcast (16 bytes each); beyond it they are joined to the pages by shuffles.
 BROADCAST_TEMPLATES = 1_000_000
 
 # Elements by role in the HTML standard, and words of class, id and role attributes that mark page furniture.
@@ -36,6 +41,9 @@ CLOSES_P = BLOCKS - {"body", "caption", "html", "legend", "optgroup", "option",
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 FURNITURE = set("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription share sharing social sidebar sidebars rail widget widgets related recommended recommendations breadcrumb breadcrumbs menu menus nav navbar navigation masthead topbar footer comment comments commentlist disqus reply replies respond discussion login signin signup register search pagination pager toolbar copyright disclaimer hidden offscreen".split())
+#: Words of FURNITURE that an article may be about: its elements of that name are furniture only with links or controls.
+AMBIGUOUS = set("consent copyright disclaimer discussion promotion rail register related search share sharing social subscription".split())
+LINKS = set("a button datalist form input label option select textarea".split())
 #: Elements of an article that are deleted with what holds them only: alone, equal ones are headings, items and cells.
 PARTS = set("caption dd dt figcaption h1 h2 h3 h4 h5 h6 hgroup legend li summary tbody td tfoot th thead tr".split())
 #: Elements whose ids name their subject.
@@ -54,10 +62,11 @@ _WORDS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("attrs", "core", "hash", "items", "own", "tag")
+    __slots__ = ("attrs", "core", "hash", "items", "linked", "own", "size", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str]) -> None:
         self.tag, self.attrs, self.items, self.core, self.hash, self.own = tag, attrs, [], False, 0, False
+        self.size = self.linked = 0  # characters of text, and those in links and controls
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -153,6 +162,10 @@ def _finish(node: Node) -> None:
             todo.append((x, True, within))
             todo += [(c, False, within) for c in x.items if isinstance(c, Node)]
             continue
+        if x.tag not in RAW:
+            x.size = sum(c.size if isinstance(c, Node) else len("".join(c.split())) for c in x.items)
+        # a control counts as a character of text
+        x.linked = max(x.size, x.tag != "a") if x.tag in LINKS else sum(c.linked for c in x.items if isinstance(c, Node))
         x.core = any(isinstance(c, Node) and (c.core or c.tag in ("article", "main")) and not _is_furniture(c, True, within) for c in x.items)
         parts = [x.tag, x.attrs.get("class", ""), x.attrs.get("id", "")]
         parts += [str(c.hash) if isinstance(c, Node) else " ".join(c.split()) for c in x.items]
@@ -176,7 +189,7 @@ def _is_furniture(x: Node, inside: bool, whole: bool = True) -> bool:
         names = set(a.get("class", "").lower().split())
         if x.tag not in ANCHORED:
             names.add(a.get("id", "").strip().lower())
-        return bool(names & FURNITURE)
+        return bool(names & FURNITURE - AMBIGUOUS) or x.linked > 0 and bool(names & FURNITURE)
     words = {w.lower() for w in _WORDS.findall(f"{a.get('class', '')} {a.get('id', '')}")}
     return bool(words & FURNITURE) or (not inside and bool(words & HEAD_WORDS))
 
@@ -217,27 +230,13 @@ def _roots(page: Node) -> tuple[list[Node], bool]:
 
 def _removable(x: Node, inside: bool) -> bool:
     """Whether template removal may delete an element; inside: it stands in an article or main."""
-    return x.tag in BLOCKS and not x.core and x.tag not in ("html", "body", "article", "main") and not (inside and x.tag in PARTS)
-
+    if x.tag not in BLOCKS or x.core or x.tag in ("html", "body", "article", "main"):
+        return False
+    return not inside or x.tag not in PARTS and (_mostly_links(x) or "class" in x.attrs or "id" in x.attrs)
 
-def candidates(root: Node) -> dict[int, int]:
-    """Hashes of the subtrees that template removal may delete, with a number for where on the page they are.
 
-    It is 0 outside article and main, else it tells which of them hold the subtree (the innermost ones). One article on
-    several pages gives one number, so that its own text does not count as recurring.
-    """
-    holders: dict[int, set[int]] = {}
-    todo = [(root, 0)]
-    while todo:
-        x, core = todo.pop()
-        if x.tag == "head" or x.tag in RAW:
-            continue
-        if x.tag in ("article", "main"):
-            core = x.hash
-        elif _removable(x, core != 0):
-            holders.setdefault(x.hash, set()).add(core)
-        todo += [(c, core) for c in x.items if isinstance(c, Node)]
-    return {h: 0 if 0 in at else hash(tuple(sorted(at))) for h, at in holders.items()}
+def _mostly_links(x: Node) -> bool:
+    return x.linked > 0 and 2 * x.linked >= x.size
 
 
 def tree(page: str) -> Node:
@@ -246,96 +245,102 @@ def tree(page: str) -> Node:
     return root
 
 
-def main_text(page: str | Node, templates: frozenset[int] | set[int] = frozenset()) -> str:
-    """Blocks of the main text joined by newlines; white space inside a block is one space."""
-    root = tree(page) if isinstance(page, str) else page
+def blocks(root: Node) -> tuple[list[str], list[tuple[int, int, bool, int, int]]]:
+    """The blocks of a page's main text, and what template removal may delete of them.
+
+    A block is its text, white space inside as one space. Each removable element gives (mark, place, most, start, end): it
+    holds the blocks from start to before end. Its mark is the subtree's hash, inside an article with its path from there;
+    most tells whether it must be on most of the host's pages. The place is 0 outside articles, else the hash of the
+    innermost article or main, so that one article on several pages counts once.
+    """
     roots, inside = _roots(root)
-    blocks: list[list[str]] = [[]]
-    todo: list = list(reversed(roots))
+    out: list[list[str]] = [[]]
+    spans: list[list] = []
+    # (element or text, innermost core's hash, path from it); a number closes a block, and the span of that number
+    todo: list = [(x, 0, 0) for x in reversed(roots)]
     while todo:
-        x = todo.pop()
+        x, core, path = todo.pop()
         if isinstance(x, str):
-            blocks[-1].append(x)
+            out[-1].append(x)
         elif isinstance(x, Node):
-            if _is_furniture(x, inside) or (x.hash in templates and _removable(x, inside)):
+            if _is_furniture(x, inside):
                 continue
             if x.tag == "br":
-                blocks[-1].append(" ")
+                out[-1].append(" ")
                 continue
-            block = x.tag in BLOCKS
-            if block:
-                blocks.append([])
-                todo.append(None)
-            todo += reversed(x.items)
+            core, path = (x.hash, 0) if x.tag in ("article", "main") else (core, _chain(path, x.tag))
+            if x.tag in BLOCKS:
+                marked = _removable(x, inside)
+                if marked:
+                    spans.append([_chain(x.hash, path) if inside else x.hash, core if inside else 0, inside and not _mostly_links(x), len(out), 0])
+                out.append([])
+                todo.append((len(spans) - 1 if marked else -1, 0, 0))
+            todo += [(c, core, path) for c in reversed(x.items)]
         else:
-            blocks.append([])
-    lines = (" ".join("".join(b).split()) for b in blocks)
-    return "\n".join(x for x in lines if x)
+            if x >= 0:
+                spans[x][4] = len(out)
+            out.append([])
+    texts = [" ".join("".join(t).split()) for t in out]
+    before = [0, *itertools.accumulate(map(bool, texts))]
+    held = ((mark, place, most, before[start], before[end]) for mark, place, most, start, end in spans)
+    return [t for t in texts if t], [x for x in held if x[3] < x[4]]
+
+
+def _chain(*parts: int | str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest("|".join(map(str, parts)).encode()) - (1 << 63)
+
+
+def main_text(page: str | Node, templates: frozenset[int] | set[int] = frozenset()) -> str:
+    """Blocks of the main text joined by newlines, without those of elements whose marks are templates."""
+    texts, spans = blocks(tree(page) if isinstance(page, str) else page)
+    gone = [(start, end) for mark, _, _, start, end in spans if mark in templates]
+    return "\n".join(t for i, t in enumerate(texts) if not any(start <= i < end for start, end in gone))
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, enough_pages: int = ENOUGH_PAGES, broadcast: int = BROADCAST_TEMPLATES) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, enough_pages: int = ENOUGH_PAGES, most_pages: float = MOST_PAGES, broadcast: int = BROADCAST_TEMPLATES) -> DataFrame:
     """page_id, url, text for every row of pages (page_id, url, html).
 
-    Null html is empty and gives an empty text. Pages with a null url share one host. Repeated rows give repeated rows
-    (and count once for templates); other columns are ignored; an empty table gives an empty result.
+    Null html is empty and gives an empty text. Pages with a null url share one host. Equal text in different articles
+    stays unless its elements are marked as furniture is (see above). Repeated rows give repeated rows (and count once for
+    templates); other columns are ignored; an empty table gives an empty result.
     """
-    spark = pages.sparkSession
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]*)", 1)), F.lit(""))
     pages = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    pages = pages.withColumn("_key", F.xxhash64(F.col("page_id").cast("string"), "url", "html")).withColumn("_host", F.xxhash64(host))
+    pages = pages.select("page_id", "url", F.xxhash64(F.col("page_id").cast("string"), "url", "html").alias("_key"), F.xxhash64(host).alias("_host"), "html")
+    kept = [c for c in pages.columns if c != "html"]
+    span = "struct<mark long, place long, most boolean, start int, end int>"
+    arrow = pa.list_(pa.struct([("mark", pa.int64()), ("place", pa.int64()), ("most", pa.bool_()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, hosts, hashes, places = [], [], [], []
-            for key, name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                got = candidates(tree(page.as_py()))
-                keys += [key] * len(got)
-                hosts += [name] * len(got)
-                hashes += got
-                places += [place or key for place in got.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, hosts, hashes, places)], names=["_key", "_host", "hash", "place"])
-
-    seen = pages.select("_key", "_host", "html").mapInArrow(scan, "_key long, _host long, hash long, place long")
-    sizes = pages.select("_host", "_key").groupBy("_host").agg(F.count_distinct("_key").alias("pages"))
-    counts = seen.groupBy("_host", "hash").agg(F.count_distinct("place").alias("n")).where(F.col("n") >= min_pages)
-    enough = F.least(F.col("pages") * min_share, F.lit(float(enough_pages)))
-    recurring = materialize(counts.join(sizes, "_host").where(F.col("n") >= enough).select("_host", "hash"))
-    kind = dict(pages.dtypes)["page_id"]
-    schema = f"page_id {kind}, url string, text string"
-
-    def texts(batch: pa.RecordBatch, out: list[str]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
+            found, marked = [], []
+            for key, page in zip(batch.column(2).to_pylist(), batch.column(4), strict=True):
+                texts, spans = blocks(tree(page.as_py()))
+                found.append(texts)
+                marked.append([dict(zip(("mark", "place", "most", "start", "end"), (m, place or key, *rest), strict=True)) for m, place, *rest in spans])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.list_(pa.string())), pa.array(marked, arrow)], names=[*kept, "blocks", "spans"])
 
+    kind = dict(pages.dtypes)["page_id"]
+    parsed = materialize(pages.mapInArrow(scan, f"page_id {kind}, url string, _key long, _host long, blocks array<string>, spans array<{span}>"))
+    seen = parsed.where(F.size("spans") > 0).select("_key", "_host", F.explode("spans").alias("m")).select("_key", "_host", "m.mark", "m.place", "m.most")
+    sizes = parsed.groupBy("_host").agg(F.count_distinct("_key").alias("pages"))
+    counts = seen.groupBy("_host", "mark").agg(F.count_distinct("place").alias("n"), F.min("most").alias("most")).where(F.col("n") >= min_pages)
+    enough = F.when(F.col("most"), F.col("pages") * most_pages).otherwise(F.least(F.col("pages") * min_share, F.lit(float(enough_pages))))
+    recurring = materialize(counts.join(sizes, "_host").where(F.col("n") >= enough).select("_host", "mark"))
     if recurring.count() <= broadcast:
-        ids = recurring.select(F.col("hash").bitwiseXOR(F.col("_host")).alias("id")).toPandas()["id"].to_numpy(np.int64)
-        shared = spark.sparkContext.broadcast(np.sort(ids))
-
-        def run_known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = shared.value
-            for batch in batches:
-                out = []
-                for name, page in zip(batch.column(3).to_pylist(), batch.column(2), strict=True):
-                    root = tree(page.as_py())
-                    hashes = np.fromiter(candidates(root), np.int64)
-                    wanted = hashes ^ np.int64(name)
-                    at = np.searchsorted(known, wanted)
-                    hit = at < len(known)
-                    hit[hit] = known[at[hit]] == wanted[hit]
-                    out.append(main_text(root, set(hashes[hit].tolist())))
-                yield texts(batch, out)
-
-        return pages.select("page_id", "url", "html", "_host").mapInArrow(run_known, schema)
-
-    salts = 16  # a subtree may be on most pages
-    salted = recurring.select("_host", "hash", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    on_page = seen.drop("place").withColumn("_salt", F.pmod("_key", F.lit(salts))).join(salted, ["_host", "hash", "_salt"], "left_semi")
-    templates = on_page.groupBy("_key").agg(F.collect_set("hash").alias("templates"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield texts(batch, [main_text(page.as_py(), set(t.as_py() or ())) for page, t in zip(batch.column(2), batch.column(3), strict=True)])
-
-    return pages.join(templates, "_key", "left").select("page_id", "url", "html", "templates").mapInArrow(run, schema)
+        hits = seen.join(F.broadcast(recurring), ["_host", "mark"])
+    else:
+        salts = 16  # a subtree may be on most pages
+        salted = recurring.select("_host", "mark", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+        hits = seen.withColumn("_salt", F.pmod("_key", F.lit(salts))).join(salted, ["_host", "mark", "_salt"])
+    templates = materialize(hits.groupBy("_key").agg(F.collect_set("mark").alias("templates")))  # of one page
+    plain = parsed.where(F.size("spans") == 0).withColumn("templates", F.lit(None).cast("array<long>"))
+    x = parsed.where(F.size("spans") > 0).join(templates, "_key", "left").select(*parsed.columns, "templates").unionByName(plain)
+    gone = F.filter("spans", lambda g: F.coalesce(F.array_contains("templates", g["mark"]), F.lit(False)))
+    stays = F.filter("blocks", lambda _, i: ~F.exists(F.col("gone"), lambda g: (g["start"] <= i) & (i < g["end"])))
+    return x.withColumn("gone", gone).select("page_id", "url", F.array_join(stays, "\n").alias("text"))
 
 
 def op6_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -347,14 +347,14 @@ def test_html(spark):
 
 
 def test_html_templates_inside_articles(spark):
-    """Recurring blocks of neutral classes go from articles too; a section's template on a large host goes as well."""
+    """Recurring blocks of neutral classes go from articles too if most pages have them, lists of links of a section as well."""
     page = lambda i, extra="": f"<article><h2>Summary</h2><p>Own text {i}</p><table><tr><td>No {i}</td><td>Yes</td></tr></table><div class='x1'><p>Read our terms</p></div>{extra}</article>"
-    pages = [(i, f"http://h.example/{i}", page(i, "<div>Section text</div>" if i < 25 else "")) for i in range(300)]
+    pages = [(i, f"http://h.example/{i}", page(i, "<div><a href='/s'>Section list</a></div><div class='x2'>Kept</div><p>Said often</p>" if i < 25 else "")) for i in range(300)]
     pages += [(400 + k, f"http://h.example/copy{k}", "<main><article><p>One article at many places</p></article></main>") for k in range(40)]
     pages += [(500, "http://h.example/same", "<article><p>One row many times</p></article>")] * 40
     pages += [(600 + k, "http://small.example/", page(k)) for k in range(2)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    want = {i: f"Summary\nOwn text {i}\nNo {i}\nYes" for i in range(300)} | {400 + k: "One article at many places" for k in range(40)} | {500: "One row many times"}
+    want = {i: f"Summary\nOwn text {i}\nNo {i}\nYes" + ("\nKept\nSaid often" if i < 25 else "") for i in range(300)} | {400 + k: "One article at many places" for k in range(40)} | {500: "One row many times"}
     want |= {600 + k: f"Summary\nOwn text {k}\nNo {k}\nYes\nRead our terms" for k in range(2)}
     for broadcast in (1000, 0):  # both ways to bring the templates to the pages
         assert {r.page_id: r.text for r in html.extract(df, broadcast=broadcast).collect()} == want
@@ -362,12 +362,48 @@ def test_html_templates_inside_articles(spark):
 
 def test_html_keeps_what_articles_say():
     """Words of slugs and ids of sections are no furniture in an article; main keeps its text beside articles."""
-    page = "<article><h2 id='related-work'>Related</h2><section id='discussion'><p>We discuss</p></section><h2 id='search'>Search</h2><div class='social-impact'>Impact</div><div class='box share'>Share</div><div id='comments'>Bad</div></article>"
+    page = "<article><h2 id='related-work'>Related</h2><section id='discussion'><p>We discuss</p></section><h2 id='search'>Search</h2><div class='social-impact'>Impact</div><div class='box share'><a href='/s'>Share</a></div><div id='comments'>Bad</div></article>"
     assert html.main_text(page) == "Related\nWe discuss\nSearch\nImpact"
     assert html.main_text(f"<body><p>out</p><main><h1>Title</h1><p>Lead</p>{page}<nav>x</nav></main></body>") == "Title\nLead\nRelated\nWe discuss\nSearch\nImpact"
     assert html.main_text("<main><nav>x</nav><div class='sidebar'>y</div><article>One</article></main>") == "One"
     assert html.main_text("<article>One</article><article class='related-post'>Teaser</article>") == "One"
     assert html.main_text("<main><section id='discussion'><article>One</article></section></main>") == "One"
+    assert html.main_text("<article><div class='search'>Search engines work by crawling.</div><div class='search'><input>Find</div></article>") == "Search engines work by crawling."
+    assert html.main_text("<article><p>a</p><div class='notice'>Notice</div>b<div class='advert'>x</div></article>") == "a\nb"
+
+
+def test_html_loses_no_words_of_articles(spark):
+    """Quotations, refrains and formulae that three of a host's thirty articles share stay, and so do titles and last lines."""
+    shared = "<blockquote>To be or not to be</blockquote><p>Refrain.</p><h2>Notes</h2><ul><li>One</li></ul><pre>E = mc2</pre><p class='verse'>Verse</p>"
+    pages = [(i, f"http://h.example/{i}", f"<body><nav><a href='/'>Home</a></nav><article><h1>{'Same title' if i < 9 else i}</h1><p>Own {i}</p>{shared if i < 3 else ''}<p>The end.</p></article></body>") for i in range(30)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i in range(30):
+        middle = "To be or not to be\nRefrain.\nNotes\nOne\nE = mc2\nVerse\n" if i < 3 else ""
+        assert got[i] == f"{'Same title' if i < 9 else i}\nOwn {i}\n{middle}The end."
+
+
+def test_op6_query(spark):
+    """Every given page: against a plain recomputation of the templates, and nothing of an article's body is lost."""
+    sf = "/root/testdata/sf0.01"
+    given = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    name = lambda url: re.match(r"(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]*)", url or "")
+    host = {r.page_id: (name(r.url)[1].lower() if name(r.url) else "") for r in given}
+    parsed = {r.page_id: html.blocks(html.tree(r.html or "")) for r in given}
+    places, most = defaultdict(set), {}
+    for i, (_, marks) in parsed.items():
+        for m, place, strict, _, _ in marks:
+            places[host[i], m].add(place or ("page", i))
+            most[host[i], m] = most.get((host[i], m), True) and strict
+    total = Counter(host.values())
+    gone = {k for k, at in places.items() if len(at) >= 3 and len(at) >= (total[k[0]] * 0.5 if most[k] else min(total[k[0]] * 0.1, 20))}
+    got = {r.page_id: r for r in html.op6_site_templates(spark, sf).collect()}
+    assert len(got) == len(given)
+    for r in given:
+        texts, marks = parsed[r.page_id]
+        out = {i for m, _, _, start, end in marks if (host[r.page_id], m) in gone for i in range(start, end)}
+        want = "\n".join(t for i, t in enumerate(texts) if i not in out)
+        assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want) and got[r.page_id].url == r.url
+        assert "<article" not in (r.html or "") or got[r.page_id].text == html.main_text(r.html)
 
 
 def test_html_hostile_pages():
@@ -396,7 +432,7 @@ def test_html_repeats_nulls_and_clashes(spark):
     got = [(r.page_id, r.text) for r in html.extract(df).collect()]
     on = defaultdict(set)
     for i, url, page in pages:
-        for h in html.candidates(html.tree(page or "")):
+        for h, *_ in html.blocks(html.tree(page or ""))[1]:
             on[(url or "").split("/")[2] if url else "", h].add((i, url, page))
     total = {host: len({p for h, x in on for p in on[h, x] if h == host}) for host, _ in on}
     assert any(len(p) >= 3 for p in on.values()) and total["h.example"] == 9
