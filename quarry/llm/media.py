@@ -6,6 +6,10 @@ its members and a fixed-size tail that says where the index begins, as any reade
 and one for the index list a shard, 33 bytes or fewer at a member's offset fill the metadata columns, and a whole member
 is one more range. Readers work shard by shard and never see a shard whole.
 
+Only payloads that may repeat are shuffled. A filter of fixed size over the digests that occur more than once, built from
+the digests alone, sends every other payload from the scan straight into a shard; what the filter lets through is dealt by
+digest and written once. The more repeats a corpus has, the more is shuffled; the result is the same.
+
 Payloads of this module's query are grey PNG pictures of 8-bit samples, 192 to a row; store() takes any bytes.
 """
 
@@ -27,7 +31,9 @@ from .common import materialize, table, workspace
 
 #: Samples in a row of a picture.
 WIDTH = 192
-#: Payload bytes of a shard, on average.
+#: The filter of repeated digests has 2**FILTER_BITS bits.
+FILTER_BITS = 26
+#: Payload bytes of a shard of dealt payloads, on average. Other shards hold what one task scans.
 SHARD_BYTES = 64 << 20
 #: Bytes of a header-only read: PNG's signature and first chunk; WAV and GIF need fewer.
 HEADER = 33
@@ -94,7 +100,7 @@ def _member(name: bytes, body: bytes) -> bytes:
 
 
 def _shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (digest, media) in order of digest -> the pieces of a tar file, each without its last byte, a NUL: the writer adds it."""
+    """Rows (digest, media), equal digests next to each other -> the pieces of a tar file, each without its last byte, a NUL that the writer adds."""
     at, last, entries = 0, None, []
     for batch in batches:
         out = []
@@ -111,27 +117,45 @@ def _shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"piece": [index[:-1], tail[:-1]]})
 
 
+def _write(pieces: DataFrame) -> str:
+    """Write each partition's pieces as one file: bytes as they are, and a NUL behind each."""
+    folder = workspace(pieces.sparkSession)
+    pieces.select(F.col("piece").cast("string")).write.option("lineSep", "\0").text(folder)  # the cast keeps the bytes
+    return folder
+
+
 def store(items: DataFrame, total_bytes: int, shard_bytes: int | None = None) -> str:
     """Write items (digest: 64 hex digits, media: binary) into tar shards, each digest once; returns the folder.
 
     A digest stands for the content: rows with the same digest must hold the same bytes, and rows that lack either are
-    left out. Items should come with few repeats of a digest (distinct_in_task()), as all of them meet in one shard.
+    left out. Items should come with few repeats of a digest (_encoded()), as all of them meet in one shard.
     """
-    folder = workspace(items.sparkSession)
     shards = max(1, math.ceil(total_bytes / (shard_bytes or SHARD_BYTES)))
     ordered = items.where("digest IS NOT NULL AND media IS NOT NULL").select("digest", "media").repartition(shards, "digest").sortWithinPartitions("digest")
-    # a binary column cast to string keeps its bytes; the line separator is the NUL that every piece ends with
-    ordered.mapInPandas(_shard, "piece binary").select(F.col("piece").cast("string")).write.option("lineSep", "\0").text(folder)
-    return folder
+    return _write(ordered.mapInPandas(_shard, "piece binary"))
+
+
+def repeat_filter(repeated: DataFrame) -> np.ndarray:
+    """2**FILTER_BITS bits as bytes; set are those that the first bits of repeated's digests name. Each word is summed up in the executors."""
+    place = F.shiftright(F.conv(F.substring("digest", 1, 7), 16, 10).cast("long"), 28 - FILTER_BITS)
+    x = repeated.select(place.alias("place")).selectExpr("shiftright(place, 3) AS byte", "shiftleft(1, cast(place & 7 AS int)) AS bit").groupBy("byte").agg(F.bit_or("bit").alias("bits")).toPandas()
+    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    bits[x["byte"].to_numpy(np.int64)] = x["bits"].to_numpy(np.uint8)
+    return bits
+
+
+def may_repeat(digest: str, bits: np.ndarray) -> bool:
+    place = int(digest[:7], 16) // ((1 << 28) // (8 * len(bits)))
+    return bool(bits[place >> 3] >> (place & 7) & 1)
 
 
-def distinct_in_task(batches: Iterator[pd.DataFrame], encode: Callable[[bytes], bytes]) -> Iterator[pd.DataFrame]:
-    """Rows (digest, payload) -> (digest, media), each digest once a task: what a hot payload sends is one copy from each task."""
+def _encoded(batches: Iterator[pd.DataFrame], encode: Callable[[bytes], bytes], wanted: Callable[[str], bool]) -> Iterator[pd.DataFrame]:
+    """Rows (digest, payload) -> (digest, media) of wanted digests, each once a task: what a hot payload sends is one copy from each task."""
     seen = set()
     for batch in batches:
         new = []
         for digest, payload in zip(batch["digest"], batch["payload"], strict=True):
-            if digest not in seen:
+            if digest not in seen and wanted(digest):
                 seen.add(digest)
                 new.append((digest, encode(payload)))
         yield pd.DataFrame(new, columns=["digest", "media"])
@@ -149,9 +173,9 @@ def _range(file, offset: int, length: int) -> bytes:
     return file.read(length)
 
 
-def index(spark: SparkSession, folder: str) -> DataFrame:
-    """INDEX: one row per member of the shards in folder, from two range reads of each. Spark lists the shards; none is read whole."""
-    shards = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "length").where("length > 0")
+def index(spark: SparkSession, *folders: str) -> DataFrame:
+    """INDEX: one row per member of the shards in the folders, from two range reads of each. Spark lists the shards; none is read whole."""
+    shards = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(list(folders)).select("path", "length").where("length > 0")
 
     def entries(batches):
         for batch in batches:
@@ -238,11 +262,16 @@ def media_columns(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     payload = payload_column(F.col("text"))
     rows = docs.select("doc_id", F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("n_bytes"), payload.alias("payload"))
-    rows = materialize(rows.select("doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("digest")))
+    rows = materialize(rows.select("doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.unhex(F.sha2("payload", 256)).alias("digest")))
+    repeated = materialize(rows.groupBy("digest").agg(F.count("*").alias("n"), F.max("payload_bytes").alias("payload_bytes")).where("n > 1").select(F.lower(F.hex("digest")).alias("digest"), "payload_bytes"))
+    bits = spark.sparkContext.broadcast(repeat_filter(repeated))
     items = docs.select(payload.alias("payload")).select(F.sha2("payload", 256).alias("digest"), "payload")
-    folder = store(items.mapInPandas(lambda b: distinct_in_task(b, png), "digest string, media binary"), rows.agg(F.sum("payload_bytes")).first()[0] or 0)
-    members = read_back(with_headers(index(spark, folder)), picture_features, "payload_sha256 string, tail_crc32 long, media_sha256 string, feature string")
-    return rows.join(materialize(members), "digest")
+    single = _write(items.mapInPandas(lambda b: _shard(_encoded(b, png, lambda d: not may_repeat(d, bits.value))), "piece binary"))
+    dealt = store(items.mapInPandas(lambda b: _encoded(b, png, lambda d: may_repeat(d, bits.value)), "digest string, media binary"), repeated.agg(F.sum("payload_bytes")).first()[0] or 0)
+    members = read_back(with_headers(index(spark, single, dealt)), picture_features, "payload_sha256 string, tail_crc32 long, media_sha256 string, feature string")
+    members = materialize(members.withColumn("digest", F.unhex("digest")).withColumn("payload_sha256", F.unhex("payload_sha256")).withColumn("media_sha256", F.unhex("media_sha256")))
+    digests = {c: F.lower(F.hex(c)) for c in ("digest", "payload_sha256", "media_sha256")}
+    return rows.join(members, "digest").withColumns(digests)
 
 
 def op12_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
