@@ -44,7 +44,10 @@ def text_figures(docs: DataFrame) -> DataFrame:
 
 
 def failures(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, part, fails (bit i: fails filter i of FILTERS), good, toxic."""
+    """One row per row of docs: doc_id, part, fails (bit i: fails filter i of FILTERS), good, toxic.
+
+    Both joins are merge joins: the written sides grow with the corpus, and their files are far smaller than a broadcast.
+    """
     figures = materialize(text_figures(docs))
     known = materialize(
         labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"))
@@ -52,12 +55,12 @@ def failures(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
     capitals = 100 * F.regexp_count(_text(), F.lit("[A-Z]")).cast("long") > 10 * F.length(_text()).cast("long")
     rows = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), _digest().alias("digest"), capitals.alias("capitals"), _text().rlike("[#$%&*|]").alias("symbols"))
-    rows = rows.join(figures, "digest", "left")
+    rows = rows.join(figures.hint("merge"), "digest", "left")
     failed = [F.col("n_words") < 100, 100 * F.col("n_distinct") < 80 * F.col("n_words"), F.col("capitals"), F.col("symbols"), F.coalesce(F.col("first_doc") < F.col("doc_id"), F.lit(False))]
     mask = reduce(lambda a, b: a + b, [F.when(f, 1 << i).otherwise(0) for i, f in enumerate(failed)])
     salt = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("digest", F.rand(11)), F.lit(SALTS))).otherwise(0).cast("long")
     rows = rows.select("doc_id", "part", mask.alias("fails"), salt.alias("_salt"))
-    out = rows.join(known, (F.col("doc_id") == F.col("_labelled")) & (F.col("_salt") == F.col("_no")), "left")
+    out = rows.join(known.hint("merge"), (F.col("doc_id") == F.col("_labelled")) & (F.col("_salt") == F.col("_no")), "left")
     return out.select("doc_id", "part", "fails", F.coalesce("good", F.lit(False)).alias("good"), F.coalesce("toxic", F.lit(False)).alias("toxic"))
 
 
