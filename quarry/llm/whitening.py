@@ -29,8 +29,8 @@ OUT = "vec_id long, component int, n long, deviation long, whitened double, expl
 
 
 def integers(vector: Column) -> Column:
-    """An array of numbers as the array of x."""
-    return F.transform(vector, lambda c: F.floor(c.cast("double") * SCALE) + F.lit(SHIFT).cast("long"))
+    """An array of numbers as the array of x; null where x does not fit."""
+    return F.transform(vector, lambda c: F.when(F.abs(c.cast("double")) < LARGEST, F.floor(c.cast("double") * SCALE) + F.lit(SHIFT).cast("long")))
 
 
 def usable(vector: Column) -> Column:
