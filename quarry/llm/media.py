@@ -16,6 +16,7 @@ Payloads of this module's query are grey PNG pictures of 8-bit samples, 192 to a
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import struct
 import zlib
@@ -23,6 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,8 @@ FILTER_BITS = 26
 SHARD_BYTES = 64 << 20
 #: Bytes of a header-only read: PNG's signature and first chunk; WAV and GIF need fewer.
 HEADER = 33
+#: Bytes of the batches that tasks hand on.
+BATCH_BYTES = 4 << 20
 _BLOCK = 512
 _ENTRY = "<32sQQ"  # digest, offset, length
 _TAIL = "<8sQQ"  # mark, offset of the index, entries
@@ -99,22 +103,30 @@ def _member(name: bytes, body: bytes) -> bytes:
     return _member_header(name, len(body)) + body + (b"\0" * pad if pad else _member_header(b".pad", 0))
 
 
-def _shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (digest, media), equal digests next to each other -> the pieces of a tar file, each without its last byte, a NUL that the writer adds."""
-    at, last, entries = 0, None, []
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    """The rows (digest, bytes) of batches, one at a time."""
     for batch in batches:
-        out = []
-        for digest, media in zip(batch["digest"], batch["media"], strict=True):
-            if digest != last:
-                piece = _member(digest.encode(), media)
-                entries.append(struct.pack(_ENTRY, bytes.fromhex(digest), at + _BLOCK, len(media)))
-                at, last = at + len(piece), digest
-                out.append(piece[:-1])
-        yield pd.DataFrame({"piece": out})
+        for digest, body in zip(batch.column(0), batch.column(1), strict=True):
+            yield digest.as_py(), body.as_py()
+
+
+def _shard(items: Iterator[tuple[str, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Items, equal digests next to each other -> the pieces of a tar file, each without its last byte, a NUL that the writer adds."""
+    at, last, entries, out, size = 0, None, [], [], 0
+    for digest, media in items:
+        if digest == last:
+            continue
+        piece = _member(digest.encode(), media)
+        entries.append(struct.pack(_ENTRY, bytes.fromhex(digest), at + _BLOCK, len(media)))
+        at, last, size = at + len(piece), digest, size + len(piece)
+        out.append(piece[:-1])
+        if size >= BATCH_BYTES:
+            yield pa.record_batch([pa.array(out, pa.binary())], names=["piece"])
+            out, size = [], 0
     if entries:
         index = _member(b".index", b"".join(entries))
         tail = _member(b".tail", struct.pack(_TAIL, _MARK, at + _BLOCK, len(entries))) + b"\0" * 2 * _BLOCK
-        yield pd.DataFrame({"piece": [index[:-1], tail[:-1]]})
+        yield pa.record_batch([pa.array([*out, index[:-1], tail[:-1]], pa.binary())], names=["piece"])
 
 
 def _write(pieces: DataFrame) -> str:
@@ -132,7 +144,7 @@ def store(items: DataFrame, total_bytes: int, shard_bytes: int | None = None) ->
     """
     shards = max(1, math.ceil(total_bytes / (shard_bytes or SHARD_BYTES)))
     ordered = items.where("digest IS NOT NULL AND media IS NOT NULL").select("digest", "media").repartition(shards, "digest").sortWithinPartitions("digest")
-    return _write(ordered.mapInPandas(_shard, "piece binary"))
+    return _write(ordered.mapInArrow(lambda b: _shard(_items(b)), "piece binary"))
 
 
 def repeat_filter(repeated: DataFrame) -> np.ndarray:
@@ -149,16 +161,25 @@ def may_repeat(digest: str, bits: np.ndarray) -> bool:
     return bool(bits[place >> 3] >> (place & 7) & 1)
 
 
-def _encoded(batches: Iterator[pd.DataFrame], encode: Callable[[bytes], bytes], wanted: Callable[[str], bool]) -> Iterator[pd.DataFrame]:
-    """Rows (digest, payload) -> (digest, media) of wanted digests, each once a task: what a hot payload sends is one copy from each task."""
+def _encoded(items: Iterator[tuple[str, bytes]], encode: Callable[[bytes], bytes], wanted: Callable[[str], bool]) -> Iterator[tuple[str, bytes]]:
+    """Items of wanted digests, encoded, each once a task: what a hot payload sends is one copy from each task."""
     seen = set()
-    for batch in batches:
-        new = []
-        for digest, payload in zip(batch["digest"], batch["payload"], strict=True):
-            if digest not in seen and wanted(digest):
-                seen.add(digest)
-                new.append((digest, encode(payload)))
-        yield pd.DataFrame(new, columns=["digest", "media"])
+    for digest, payload in items:
+        if digest not in seen and wanted(digest):
+            seen.add(digest)
+            yield digest, encode(payload)
+
+
+def _batched(items: Iterator[tuple[str, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Items as batches (digest, media) of about BATCH_BYTES."""
+    out, size = [], 0
+    for item in itertools.chain(items, [None]):
+        if item is not None:
+            out.append(item)
+            size += len(item[1])
+        if out and (item is None or size >= BATCH_BYTES):
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.binary()), strict=True)], names=["digest", "media"])
+            out, size = [], 0
 
 
 def _open(shard: str):
@@ -173,21 +194,20 @@ def _range(file, offset: int, length: int) -> bytes:
     return file.read(length)
 
 
-def index(spark: SparkSession, *folders: str) -> DataFrame:
-    """INDEX: one row per member of the shards in the folders, from two range reads of each. Spark lists the shards; none is read whole."""
-    shards = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(list(folders)).select("path", "length").where("length > 0")
+def _shards(spark: SparkSession, folders: tuple[str, ...]) -> DataFrame:
+    """path, length of the shards in the folders, as Spark lists them."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(list(folders)).select("path", "length").where("length > 0")
 
-    def entries(batches):
-        for batch in batches:
-            for path, size in zip(batch["path"], batch["length"], strict=True):
-                with _open(path) as f:
-                    mark, at, n = struct.unpack(_TAIL, _range(f, size - 3 * _BLOCK, struct.calcsize(_TAIL)))
-                    if mark != _MARK:
-                        raise ValueError(f"{path} has no index")
-                    found = list(struct.iter_unpack(_ENTRY, _range(f, at, n * struct.calcsize(_ENTRY))))
-                yield pd.DataFrame({"digest": [d.hex() for d, _, _ in found], "shard": path, "offset": [o for _, o, _ in found], "length": [x for _, _, x in found]})
 
-    return shards.mapInPandas(entries, INDEX)
+def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for path, size in zip(batch["path"], batch["length"], strict=True):
+            with _open(path) as f:
+                mark, at, n = struct.unpack(_TAIL, _range(f, size - 3 * _BLOCK, struct.calcsize(_TAIL)))
+                if mark != _MARK:
+                    raise ValueError(f"{path} has no index")
+                found = list(struct.iter_unpack(_ENTRY, _range(f, at, n * struct.calcsize(_ENTRY))))
+            yield pd.DataFrame({"digest": [d.hex() for d, _, _ in found], "shard": path, "offset": [o for _, o, _ in found], "length": [x for _, _, x in found]})
 
 
 def _by_shard(batch: pd.DataFrame):
@@ -197,34 +217,44 @@ def _by_shard(batch: pd.DataFrame):
             yield rows.sort_values("offset"), f
 
 
-def with_headers(members: DataFrame) -> DataFrame:
-    """HEADERS: INDEX rows with the metadata that the first HEADER bytes of each member hold; unknown formats give nulls."""
+def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for rows, f in _by_shard(batch):
+            fields = [header_fields(_range(f, o, min(HEADER, n))) for o, n in zip(rows["offset"], rows["length"], strict=True)]
+            for i, name in enumerate(("format", "width", "height", "channels", "bits", "rate")):
+                rows[name] = pd.array([x[i] for x in fields], "Int64") if i else [x[0] for x in fields]
+            yield rows
+
 
-    def fill(batches):
-        for batch in batches:
-            for rows, f in _by_shard(batch):
-                fields = [header_fields(_range(f, o, min(HEADER, n))) for o, n in zip(rows["offset"], rows["length"], strict=True)]
-                for i, (name, kind) in enumerate((("format", object), ("width", "Int64"), ("height", "Int64"), ("channels", "Int32"), ("bits", "Int32"), ("rate", "Int64"))):
-                    rows[name] = pd.array([x[i] for x in fields], kind) if kind is not object else [x[i] for x in fields]
-                yield rows
+def _features(batches: Iterator[pd.DataFrame], features: Callable[[bytes], tuple], names: list[str]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for rows, f in _by_shard(batch):
+            out = [features(_range(f, o, n)) for o, n in zip(rows["offset"], rows["length"], strict=True)]
+            for i, name in enumerate(names):
+                rows[name] = [x[i] for x in out]
+            yield rows
+
+
+def index(spark: SparkSession, *folders: str) -> DataFrame:
+    """INDEX: one row per member of the shards in the folders, from two range reads of each. Spark lists the shards; none is read whole."""
+    return _shards(spark, folders).mapInPandas(_entries, INDEX)
 
-    return members.mapInPandas(fill, HEADERS)
+
+def with_headers(members: DataFrame) -> DataFrame:
+    """HEADERS: INDEX rows with the metadata that the first HEADER bytes of each member hold; unknown formats give nulls."""
+    return members.mapInPandas(_headers, HEADERS)
 
 
 def read_back(members: DataFrame, features: Callable[[bytes], tuple], schema: str) -> DataFrame:
     """members' columns and those of schema, which features(bytes) gives for each member, read one at a time from its range."""
-    names = [x.split()[0] for x in schema.split(",")]
     old = ", ".join(f"`{c}` {t}" for c, t in members.dtypes)
+    return members.mapInPandas(lambda b: _features(b, features, [x.split()[0] for x in schema.split(",")]), f"{old}, {schema}")
 
-    def read(batches):
-        for batch in batches:
-            for rows, f in _by_shard(batch):
-                out = [features(_range(f, o, n)) for o, n in zip(rows["offset"], rows["length"], strict=True)]
-                for i, name in enumerate(names):
-                    rows[name] = [x[i] for x in out]
-                yield rows
 
-    return members.mapInPandas(read, f"{old}, {schema}")
+def described(spark: SparkSession, features: Callable[[bytes], tuple], schema: str, *folders: str) -> DataFrame:
+    """index(), with_headers() and read_back() in one pass of each shard."""
+    names = [x.split()[0] for x in schema.split(",")]
+    return _shards(spark, folders).mapInPandas(lambda b: _features(_headers(_entries(b)), features, names), f"{HEADERS}, {schema}")
 
 
 # ---- documents as pictures -----------------------------------------------------------------------
@@ -266,9 +296,9 @@ def media_columns(docs: DataFrame) -> DataFrame:
     repeated = materialize(rows.groupBy("digest").agg(F.count("*").alias("n"), F.max("payload_bytes").alias("payload_bytes")).where("n > 1").select(F.lower(F.hex("digest")).alias("digest"), "payload_bytes"))
     bits = spark.sparkContext.broadcast(repeat_filter(repeated))
     items = docs.select(payload.alias("payload")).select(F.sha2("payload", 256).alias("digest"), "payload")
-    single = _write(items.mapInPandas(lambda b: _shard(_encoded(b, png, lambda d: not may_repeat(d, bits.value))), "piece binary"))
-    dealt = store(items.mapInPandas(lambda b: _encoded(b, png, lambda d: may_repeat(d, bits.value)), "digest string, media binary"), repeated.agg(F.sum("payload_bytes")).first()[0] or 0)
-    members = read_back(with_headers(index(spark, single, dealt)), picture_features, "payload_sha256 string, tail_crc32 long, media_sha256 string, feature string")
+    single = _write(items.mapInArrow(lambda b: _shard(_encoded(_items(b), png, lambda d: not may_repeat(d, bits.value))), "piece binary"))
+    dealt = store(items.mapInArrow(lambda b: _batched(_encoded(_items(b), png, lambda d: may_repeat(d, bits.value))), "digest string, media binary"), repeated.agg(F.sum("payload_bytes")).first()[0] or 0)
+    members = described(spark, picture_features, "payload_sha256 string, tail_crc32 long, media_sha256 string, feature string", single, dealt)
     members = materialize(members.withColumn("digest", F.unhex("digest")).withColumn("payload_sha256", F.unhex("payload_sha256")).withColumn("media_sha256", F.unhex("media_sha256")))
     digests = {c: F.lower(F.hex(c)) for c in ("digest", "payload_sha256", "media_sha256")}
     return rows.join(members, "digest").withColumns(digests)
