@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions import query_parser
 from .functions.text import NAMESPACE_NAME
-from .operators import bm25, catalog, hybrid, rag, vector
+from .operators import ann, bm25, catalog, hybrid, rag, vector
 from .operators.index import Store, Summary, chunk_files, index_files
 from .sources import files as file_sources
 from .streaming import watch as streaming
@@ -73,8 +73,11 @@ class Engine:
         x = self.store.read(namespace or self.namespace)
         return x if self.grants is None else catalog.allowed(x, self.grants, key)
 
-    def search(self, query: str, mode: str = "hybrid", top_k: int = 10, namespace: str | None = None, key: str | None = None, compat: bool = False, **filters: str | None) -> DataFrame:
-        """Hits of one query. Corpus statistics are those of the namespace; filters come before ranking."""
+    def search(self, query: str, mode: str = "hybrid", top_k: int = 10, namespace: str | None = None, key: str | None = None, compat: bool = False, approximate: bool = False, **filters: str | None) -> DataFrame:
+        """Hits of one query. Corpus statistics are those of the namespace; filters come before ranking.
+
+        approximate: the semantic side probes the namespace's cells (vector_index()) instead of scanning all vectors.
+        """
         if mode not in hybrid.MODES:
             raise ValueError(f"mode must be one of {', '.join(hybrid.MODES)}")
         chunks = self.chunks(namespace, key)
@@ -83,7 +86,37 @@ class Engine:
             return hybrid.with_payload(self.spark.createDataFrame([], "rank int, id string, score double"), chunks, "point_id")
         # what a key may see differs from search to search, so only whole namespaces have a kept index
         index = self.keyword_index(namespace) if self.grants is None else bm25.build(chunks, "point_id", "chunk_text")
-        return hybrid.search(chunks, index, query, mode, top_k, self.embed, hybrid.filters(**filters), "point_id", compat)
+        near = self.vector_index(namespace).search if approximate and self.grants is None else None
+        return hybrid.search(chunks, index, query, mode, top_k, self.embed, hybrid.filters(**filters), "point_id", compat, near)
+
+    def vector_index(self, namespace: str | None = None) -> ann.Cells:
+        """The namespace's cells, brought to the store's version: chunks that left are marked, new ones added; rebuilt once more than half has changed."""
+        ns, now = namespace or self.namespace, self.store.version()
+        name = f"ann/{ns}"
+        known = json.loads(self.store.text(f"{name}/STATE")) if self.store.has(f"{name}/STATE") else None
+        if known and known["version"] == now:
+            return ann.Cells.open(self.spark, f"{self.root}/{name}/{known['folder']}")
+        with self._lock:
+            rows = self.store.read(ns)
+            attributes = ["file_type", "file_path", "file_modified_at", "file_hash"]
+            state = {"version": now, "folder": known["folder"] if known else now, "changed": known["changed"] if known else 0}
+            if known:
+                cells = ann.Cells.open(self.spark, f"{self.root}/{name}/{known['folder']}")
+                old, new = cells.rows().select("id", "file_hash"), rows.select(F.col("point_id").alias("id"), "file_hash")
+                gone = old.join(new, ["id", "file_hash"], "left_anti").select("id").persist()
+                fresh = rows.join(old.withColumnRenamed("id", "point_id"), ["point_id", "file_hash"], "left_anti").persist()
+                state["changed"] += gone.count() + fresh.count()
+                if 2 * state["changed"] <= rows.count():
+                    cells.delete(gone)
+                    cells.add(fresh, "point_id", "embedding", attributes)
+                else:
+                    state |= {"folder": now, "changed": 0}
+                gone.unpersist()
+                fresh.unpersist()
+            if not known or state["folder"] != known["folder"]:
+                cells = ann.Cells.build(rows, f"{self.root}/{name}/{now}", "point_id", "embedding", attributes)
+            self.store.put(f"{name}/STATE", json.dumps(state))
+        return cells
 
     def keyword_index(self, namespace: str | None = None) -> bm25.Index:
         """The namespace's BM25 index as kept for the store's version; made from the last one kept where it is missing."""

@@ -71,8 +71,11 @@ def with_payload(hits: DataFrame, chunks: DataFrame, id_col: str = "id") -> Data
     )
 
 
-def search(chunks: DataFrame, index: bm25.Index, query: str, mode: str = "hybrid", top_k: int = 10, embed: Callable[[str], Sequence[float]] = vector.hash_embed_text, where: Column | None = None, id_col: str = "id", compat: bool = False) -> DataFrame:
-    """Result rows of one query. Signed terms steer the query's vector; keyword search sees the raw text, or the positive terms."""
+def search(chunks: DataFrame, index: bm25.Index, query: str, mode: str = "hybrid", top_k: int = 10, embed: Callable[[str], Sequence[float]] = vector.hash_embed_text, where: Column | None = None, id_col: str = "id", compat: bool = False, near: Callable[..., DataFrame] | None = None) -> DataFrame:
+    """Result rows of one query. Signed terms steer the query's vector; keyword search sees the raw text, or the positive terms.
+
+    near(vector, top_k, where) gives the semantic hits; without it, all vectors of chunks are compared.
+    """
     from ..functions.query_parser import combine, parse
 
     if mode not in MODES:
@@ -82,8 +85,8 @@ def search(chunks: DataFrame, index: bm25.Index, query: str, mode: str = "hybrid
     if mode == "keyword":
         return with_payload(keyword_search(index, chunks, text, top_k, where, id_col, compat), chunks, id_col)
     v = combine(parsed, embed) if parsed.arithmetic else embed(query)
+    nearest = near or (lambda v, k, where: vector.search(chunks, v, k, id_col, "embedding", where))
     if mode == "semantic":
-        return with_payload(vector.search(chunks, v, top_k, id_col, "embedding", where), chunks, id_col)
-    near = vector.search(chunks, v, 2 * top_k, id_col, "embedding", where)
+        return with_payload(nearest(v, top_k, where), chunks, id_col)
     words = keyword_search(index, chunks, text, 2 * top_k, where, id_col)
-    return with_payload(hybrid(near, words, top_k, compat), chunks, id_col)
+    return with_payload(hybrid(nearest(v, 2 * top_k, where), words, top_k, compat), chunks, id_col)

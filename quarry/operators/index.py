@@ -80,14 +80,14 @@ class Store:
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
-    def _text(self, name: str) -> str:
+    def text(self, name: str) -> str:
         stream = self._fs.open(self._path(name))
         try:
             return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
 
-    def _put(self, name: str, text: str) -> None:
+    def put(self, name: str, text: str) -> None:
         out = self._fs.create(self._path(name), True)
         out.write(bytearray(text.encode()))
         out.close()
@@ -107,27 +107,27 @@ class Store:
 
     def names(self) -> set[str]:
         """Namespaces that were made, with chunks or without."""
-        return set(json.loads(self._text("NAMESPACES"))) if self.has("NAMESPACES") else set()
+        return set(json.loads(self.text("NAMESPACES"))) if self.has("NAMESPACES") else set()
 
     def set_names(self, names: set[str]) -> None:
-        self._put("NAMESPACES", json.dumps(sorted(names)))
+        self.put("NAMESPACES", json.dumps(sorted(names)))
 
     def watches(self) -> dict[str, list[str]]:
         """Watched folders with their checkpoints and debounce times."""
-        return json.loads(self._text("WATCHES")) if self.has("WATCHES") else {}
+        return json.loads(self.text("WATCHES")) if self.has("WATCHES") else {}
 
     def set_watches(self, watches: dict[str, list[str]]) -> None:
-        self._put("WATCHES", json.dumps(watches))
+        self.put("WATCHES", json.dumps(watches))
 
     # ---- versions ----
 
     def version(self) -> int:
-        return int(self._text("CURRENT")) if self.has("CURRENT") else 0
+        return int(self.text("CURRENT")) if self.has("CURRENT") else 0
 
     def parts(self, version: int | None = None) -> dict[tuple[str, int], str]:
         """(namespace, bucket) -> folder of every part of a version, the current one unless another is given."""
         v = self.version() if version is None else version
-        return {(ns, b): folder for ns, b, folder in json.loads(self._text(f"versions/{v}"))} if v > 0 and self.has(f"versions/{v}") else {}
+        return {(ns, b): folder for ns, b, folder in json.loads(self.text(f"versions/{v}"))} if v > 0 and self.has(f"versions/{v}") else {}
 
     @classmethod
     def bucket(cls, path: Column) -> Column:
@@ -151,8 +151,8 @@ class Store:
             bucket, name = status.getPath().getName(), status.getPath().getParent().getName()
             new[name.partition("=")[2], int(bucket.partition("=")[2])] = f"data/{v}/{name}/{bucket}"
         kept = {} if touched is None else {part: folder for part, folder in old.items() if part not in touched}
-        self._put(f"versions/{v}", json.dumps([[*part, folder] for part, folder in sorted((kept | new).items())]))
-        self._put("CURRENT.next", str(v))
+        self.put(f"versions/{v}", json.dumps([[*part, folder] for part, folder in sorted((kept | new).items())]))
+        self.put("CURRENT.next", str(v))
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri())
         rename = self._jvm.org.apache.hadoop.fs.Options.Rename
         options = self.spark.sparkContext._gateway.new_array(rename, 1)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chunking, extract, query_parser, recursive, text
-from ..operators import bm25, catalog, hybrid, rag, vector
+from ..operators import ann, bm25, catalog, hybrid, rag, vector
 from ..sources.corpus import AUDIT_SQL, CHUNKS_SQL, audit_log, chunks, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,24 +82,29 @@ def corpus_stats(spark, sf):
     return rounded(rounded(bm25.build(docs(spark, sf)).corpus, "avgdl"), "avg_idf")
 
 
-_KEPT: dict[tuple[str, str], str] = {}
+_KEPT: dict[tuple[str, str, str], str] = {}
 
 
-def kept_index(spark: SparkSession, sf: str) -> bm25.Index:
-    """The index of the documents, saved once for a session and read from then on."""
-    key = (spark.sparkContext.applicationId, sf)
+def kept(spark: SparkSession, sf: str, kind: str, save: Callable[[str], object]) -> str:
+    """The folder that save(folder) fills, once for a session; it is deleted when the driver ends."""
+    key = (spark.sparkContext.applicationId, sf, kind)
     if key not in _KEPT:
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not root:
             if not spark.sparkContext.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             root = f"file://{tempfile.gettempdir()}/quarry"
-        folder = f"{root.rstrip('/')}/bm25-{uuid.uuid4().hex}"
+        folder = f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-        bm25.build(docs(spark, sf)).save(folder)
+        save(folder)
         _KEPT[key] = folder
-    return bm25.Index.load(spark, _KEPT[key])
+    return _KEPT[key]
+
+
+def kept_index(spark: SparkSession, sf: str) -> bm25.Index:
+    """The index of the documents, saved once for a session and read from then on."""
+    return bm25.Index.load(spark, kept(spark, sf, "bm25", lambda folder: bm25.build(docs(spark, sf)).save(folder)))
 
 
 @query(f"WITH {scores_sql(ASKED)}, t AS ({top('s', 20)}) SELECT rank, id, round(score, 6) AS score FROM t")
@@ -166,6 +171,39 @@ def vector_batch(spark, sf):
     return rounded(vector.search_many(e, q))
 
 
+def kept_cells(spark: SparkSession, sf: str) -> ann.Cells:
+    """The cells of the embeddings, built once for a session."""
+    return ann.Cells.open(spark, kept(spark, sf, "ann", lambda folder: ann.Cells.build(read(spark, sf, "embeddings"), folder, attributes=["label"])))
+
+
+def _every_hundredth(spark, sf):
+    return read(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@query()
+def vector_cells(spark, sf):
+    """Every hundredth vector against all, from the cells that each probes; approximate, so there is no SQL."""
+    return rounded(kept_cells(spark, sf).search_many(_every_hundredth(spark, sf)))
+
+
+@query(f"WITH q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q.query_id, e.vec_id AS id, {COS} AS score FROM embeddings e, q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s) SELECT count(DISTINCT query_id) AS n_queries, count(*) AS n_neighbours, true AS found_nine_tenths FROM r WHERE rank <= 10")
+def vector_cells_recall(spark, sf):
+    """Whether the cells give nine tenths of the exact neighbours."""
+    asked = _every_hundredth(spark, sf)
+    exact = vector.search_many(read(spark, sf, "embeddings"), asked).select("query_id", "id")
+    near = kept_cells(spark, sf).search_many(asked).select("query_id", "id", F.lit(1).alias("hit"))
+    x = exact.join(near, ["query_id", "id"], "left")
+    return x.agg(F.count_distinct("query_id").alias("n_queries"), F.count("*").alias("n_neighbours"), (F.count("hit") >= 0.9 * F.count("*")).alias("found_nine_tenths"))
+
+
+@query(f"WITH s AS (SELECT e.vec_id AS id, {COS} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.label = 3 AND e.vec_id % 2 = 1), t AS ({top('s', 10)}) SELECT rank, id, round(score, 6) AS score FROM t")
+def vector_cells_filtered(spark, sf):
+    """With a filter that few rows pass, all cells are searched, so the result is exact."""
+    cells = kept_cells(spark, sf)
+    q = vector.stored(read(spark, sf, "embeddings"), 0)
+    return rounded(cells.search(q, where=(F.col("label") == 3) & (F.col("id") % 2 == 1), probe=cells.figures.cells, rerank=1_000))
+
+
 def _combined(expression: str, where: str = "true") -> str:
     """Search with a vector of stored vectors v0, v1, ... combined per dimension."""
     return f"WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id < 4), w AS (SELECT i, {expression} AS x FROM v GROUP BY i), q AS (SELECT list(x ORDER BY i) AS embedding FROM w), s AS (SELECT e.vec_id AS id, {COS} AS score FROM embeddings e, q WHERE {where}), t AS ({top('s', 10)}) SELECT rank, id, round(score, 6) AS score FROM t"
