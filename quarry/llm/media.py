@@ -299,9 +299,10 @@ def media_columns(docs: DataFrame) -> DataFrame:
     single = _write(items.mapInArrow(lambda b: _shard(_encoded(_items(b), png, lambda d: not may_repeat(d, bits.value))), "piece binary"))
     dealt = store(items.mapInArrow(lambda b: _batched(_encoded(_items(b), png, lambda d: may_repeat(d, bits.value))), "digest string, media binary"), repeated.agg(F.sum("payload_bytes")).first()[0] or 0)
     members = described(spark, picture_features, "payload_sha256 string, tail_crc32 long, media_sha256 string, feature string", single, dealt)
-    members = materialize(members.withColumn("digest", F.unhex("digest")).withColumn("payload_sha256", F.unhex("payload_sha256")).withColumn("media_sha256", F.unhex("media_sha256")))
-    digests = {c: F.lower(F.hex(c)) for c in ("digest", "payload_sha256", "media_sha256")}
-    return rows.join(members, "digest").withColumns(digests)
+    # a payload that is read back as it was has its digest for SHA-256, which then need not travel twice
+    members = members.withColumns({"digest": F.unhex("digest"), "payload_sha256": F.unhex(F.nullif("payload_sha256", "digest")), "media_sha256": F.unhex("media_sha256")})
+    back = {"payload_sha256": F.lower(F.hex(F.coalesce("payload_sha256", "digest")))} | {c: F.lower(F.hex(c)) for c in ("digest", "media_sha256")}
+    return rows.join(members, "digest").withColumns(back)
 
 
 def op12_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
