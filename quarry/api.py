@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions import query_parser
 from .functions.text import NAMESPACE_NAME
-from .operators import ann, bm25, catalog, hybrid, rag, vector
+from .operators import ann, bm25, catalog, hybrid, rag, segments, vector
 from .operators.index import Store, Summary, chunk_files, index_files
 from .sources import files as file_sources
 from .streaming import watch as streaming
@@ -118,20 +118,34 @@ class Engine:
             self.store.put(f"{name}/STATE", json.dumps(state))
         return cells
 
-    def keyword_index(self, namespace: str | None = None) -> bm25.Index:
-        """The namespace's BM25 index as kept for the store's version; made from the last one kept where it is missing."""
+    def keyword_index(self, namespace: str | None = None) -> segments.Kept:
+        """The namespace's BM25 index, brought to the store's version by a commit of what differs.
+
+        Texts are read from the store's parts that have changed since; of the others the ids alone.
+        """
         ns, now = namespace or self.namespace, self.store.version()
-        root = f"bm25/{ns}"
-        done = [v for v in self.store.list_numbers(root) if self.store.has(f"{root}/{v}/corpus/_SUCCESS")]
-        if now not in done:
-            chunks = self.store.read(ns)
-            with self._lock:
-                old = bm25.Index.load(self.spark, f"{self.root}/{root}/{max(done)}") if done else None
-                made = bm25.refresh(old, chunks, "point_id", "chunk_text") if old else bm25.build(chunks, "point_id", "chunk_text")
-                made.save(f"{self.root}/{root}/{now}")
-                for v in sorted(done)[:-1]:  # the one before stays for searches that still read it
-                    self.store.remove(f"{root}/{v}")
-        return bm25.Index.load(self.spark, f"{self.root}/{root}/{now}")
+        name = f"bm25/{ns}"
+        state = json.loads(self.store.text(f"{name}/STATE")) if self.store.has(f"{name}/STATE") else None
+        index = segments.Kept.open(self.spark, f"{self.root}/{name}")
+        if state and index and state["version"] == now:
+            return index
+        with self._lock:
+            parts = {f"{b}": folder for (n, b), folder in self.store.parts().items() if n == ns}
+            if not state or index is None:
+                index = segments.Kept.create(self.store.read(ns), f"{self.root}/{name}", "point_id", "chunk_text")
+            else:
+                same = {(ns, int(b)) for b, folder in parts.items() if state["parts"].get(b) == folder}
+                stays = self.store.read(ns, same).select(F.col("point_id").alias("id"))
+                moved = bm25.stamped(self.store.read(ns, set(self.store.parts()) - same), "point_id", "chunk_text").persist()
+                old = index.docs().select("id", "stamp").join(stays, "id", "left_anti").persist()
+                gone = old.join(moved.select("id", "stamp"), ["id", "stamp"], "left_anti").select("id").persist()
+                fresh = moved.join(old, ["id", "stamp"], "left_anti").persist()
+                if not (gone.isEmpty() and fresh.isEmpty()):
+                    index.commit(fresh, gone, "id", "text")
+                for x in (moved, old, gone, fresh):
+                    x.unpersist()
+            self.store.put(f"{name}/STATE", json.dumps({"version": now, "parts": parts}))
+        return index
 
     def refine_search(self, query: str, add: Sequence[str] = (), subtract: Sequence[str] = (), top_k: int = 10, namespace: str | None = None, **filters: str | None) -> DataFrame:
         """Semantic hits of the query's vector, moved towards what is added and away from what is subtracted."""
@@ -186,6 +200,7 @@ class Engine:
                 self.store.commit(self.store.read().limit(0), {part for part in self.store.parts() if part[0] == name})
             self.store.set_names(self.store.names() - {name})
             self.store.remove(f"bm25/{name}")
+            self.store.remove(f"ann/{name}")
         self.audit("delete namespace", name)
         return n
 

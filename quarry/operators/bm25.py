@@ -1,7 +1,7 @@
 """BM25 (Okapi) as an inverted index of DataFrames.
 
 The index is derived data: postings(id, term, tf), lengths(id, dl), terms(term, df, idf) and one row of corpus figures.
-Saved, postings and terms are ordered by term, so that a search reads only row groups that can hold its query's terms.
+It is made for one search, as where a key sees a part of a namespace; segments.Kept is the form that is kept and changed.
 Inverse document frequency is ln((n - df + 0.5) / (df + 0.5)); negative values become EPSILON times the mean over all
 terms. A query's repeated terms count again. Only positive scores are hits; ties go to the smaller id.
 """
@@ -11,12 +11,17 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import dataclass
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.query_parser import Query
 from ..functions.text import TERM, terms
 
+if TYPE_CHECKING:
+    from . import segments
+
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
@@ -27,16 +32,6 @@ class Index:
     terms: DataFrame
     corpus: DataFrame
 
-    def save(self, path: str) -> None:
-        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        self.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
-        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-        self.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
-
-    @classmethod
-    def load(cls, spark: SparkSession, path: str) -> Index:
-        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "terms", "corpus")))
-
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, term, tf. Counting terms needs the term's rows of one document only, so partial counts do most of it."""
@@ -83,18 +78,6 @@ def _of(posts: DataFrame, sizes: DataFrame, dfs: DataFrame) -> Index:
     return Index(posts, sizes, idf(dfs, corpus), corpus)
 
 
-def refresh(old: Index, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
-    """The index of docs from an older one: only texts that are new or changed are tokenized, frequencies change by what did."""
-    docs = stamped(docs, id_col, text_col)
-    now = docs.select("id", "stamp")
-    fresh = docs.join(old.lengths.select("id", "stamp"), ["id", "stamp"], "left_anti")
-    gone = old.lengths.join(now, ["id", "stamp"], "left_anti").select("id")
-    new_posts = postings(fresh, "id", "text")
-    posts = old.postings.join(gone, "id", "left_anti").unionByName(new_posts)
-    sizes = old.lengths.join(now, ["id", "stamp"], "left_semi").select("id", "dl", "stamp").unionByName(fresh.select("id", F.size(terms(F.col("text"))).cast("long").alias("dl"), "stamp"))
-    return _of(posts, sizes, update_frequencies(old.terms.select("term", "df"), old.postings.join(gone, "id", "left_semi"), new_posts))
-
-
 def query_terms(query: str | Query) -> Counter:
     import re
 
@@ -102,8 +85,10 @@ def query_terms(query: str | Query) -> Counter:
     return Counter(re.findall(r"\w+", text.lower()))
 
 
-def score(index: Index, query: str | Query) -> DataFrame:
+def score(index: Index | segments.Kept, query: str | Query) -> DataFrame:
     """id, score of every document with a positive score."""
+    if not isinstance(index, Index):
+        return index.score(query)
     wanted = query_terms(query)
     spark = index.postings.sparkSession
     q = F.broadcast(spark.createDataFrame(sorted(wanted.items()), "term string, times long"))  # a query's terms
@@ -116,9 +101,12 @@ def score(index: Index, query: str | Query) -> DataFrame:
     return x.groupBy("id").agg(F.sum(part).alias("score")).where("score > 0")
 
 
-def search(index: Index, query: str | Query, top_k: int = 10) -> DataFrame:
-    """rank, id, score of the best top_k."""
-    return ranked(score(index, query), top_k)
+def search(index: Index | segments.Kept, query: str | Query, top_k: int = 10, within: DataFrame | None = None) -> DataFrame:
+    """rank, id, score of the best top_k, of the ids within (column id) if given."""
+    if not isinstance(index, Index):
+        return index.search(query, top_k, within)
+    scores = score(index, query)
+    return ranked(scores if within is None else scores.join(within, "id", "left_semi"), top_k)
 
 
 def by_score():

@@ -59,7 +59,7 @@ def keyword_search(index: bm25.Index, chunks: DataFrame, query: str, top_k: int
     ids = chunks.where(where).select(F.col(id_col).alias("id"))
     if compat:
         return bm25.search(index, query, top_k).join(ids, "id", "left_semi").select("rank", "id", "score")
-    return bm25.ranked(bm25.score(index, query).join(ids, "id", "left_semi"), top_k)
+    return bm25.search(index, query, top_k, ids)
 
 
 def with_payload(hits: DataFrame, chunks: DataFrame, id_col: str = "id") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chunking, extract, query_parser, recursive, text
-from ..operators import ann, bm25, catalog, hybrid, rag, vector
+from ..operators import ann, bm25, catalog, hybrid, rag, segments, vector
 from ..sources.corpus import AUDIT_SQL, CHUNKS_SQL, audit_log, chunks, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,14 +102,25 @@ def kept(spark: SparkSession, sf: str, kind: str, save: Callable[[str], object])
     return _KEPT[key]
 
 
-def kept_index(spark: SparkSession, sf: str) -> bm25.Index:
-    """The index of the documents, saved once for a session and read from then on."""
-    return bm25.Index.load(spark, kept(spark, sf, "bm25", lambda folder: bm25.build(docs(spark, sf)).save(folder)))
+def kept_index(spark: SparkSession, sf: str) -> segments.Kept:
+    """The index of the documents, made once for a session and read from then on."""
+    return segments.Kept.open(spark, kept(spark, sf, "bm25", lambda folder: segments.Kept.create(docs(spark, sf), folder)))
+
+
+def changed_index(spark: SparkSession, sf: str) -> segments.Kept:
+    """The index of two thirds of the documents, after a commit by which one of them leaves and the last third comes."""
+
+    def save(folder: str) -> None:
+        d = docs(spark, sf)
+        index = segments.Kept.create(d.where("doc_id % 3 <> 2"), folder)
+        index.commit(d.where("doc_id % 3 = 2"), d.where("doc_id % 3 = 1").select("doc_id"))
+
+    return segments.Kept.open(spark, kept(spark, sf, "bm25_changed", save))
 
 
 @query(f"WITH {scores_sql(ASKED)}, t AS ({top('s', 20)}) SELECT rank, id, round(score, 6) AS score FROM t")
 def bm25_kept(spark, sf):
-    """As bm25_topk, on a saved index: only row groups that can hold the query's terms are read."""
+    """As bm25_topk, on a kept index: of its terms' blocks, those that can hold one of the best are read."""
     return rounded(bm25.search(kept_index(spark, sf), ASKED, 20))
 
 
@@ -120,7 +131,21 @@ def bm25_topk(spark, sf):
 
 @query(rf"WITH {STATS}, q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS term FROM benchmark) GROUP BY 1, 2), s AS (SELECT item_id AS query_id, id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN idf USING (term) JOIN p USING (term) JOIN dl USING (id), n WHERE idf <> 0 GROUP BY 1, 2 HAVING score > 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank FROM s) SELECT query_id, rank, id, round(score, 6) AS score FROM r WHERE rank <= 10")
 def bm25_batch(spark, sf):
-    return rounded(bm25.search_many(bm25.build(docs(spark, sf)), read(spark, sf, "benchmark")))
+    return rounded(kept_index(spark, sf).search_many(read(spark, sf, "benchmark")))
+
+
+@query(f"WITH {scores_sql(ASKED).replace('FROM documents', 'FROM documents WHERE doc_id % 3 <> 1')}, t AS ({top('s', 20)}) SELECT rank, id, round(score, 6) AS score FROM t")
+def bm25_changed(spark, sf):
+    """A search after a commit that took documents out and others in."""
+    return rounded(changed_index(spark, sf).search(ASKED, 20))
+
+
+@query(f"WITH {STATS.replace('FROM documents', 'FROM documents WHERE doc_id % 3 <> 1')} SELECT n, round(avgdl, 6) AS avgdl, n_terms, round(avg_idf, 6) AS avg_idf FROM n, a")
+def bm25_changed_stats(spark, sf):
+    """The corpus figures that commits keep as sums of changes."""
+    index = changed_index(spark, sf)
+    known = index.frequencies().agg(F.count("*").alias("n_terms"))
+    return known.select(F.lit(index.manifest.n).cast("long").alias("n"), F.round(F.lit(index.manifest.avgdl), 6).alias("avgdl"), "n_terms", F.round(F.lit(index.mean_idf()), 6).alias("avg_idf"))
 
 
 @query(f"WITH {POSTINGS.replace('FROM documents', 'FROM documents WHERE doc_id % 3 <> 1')} SELECT term, count(*) AS df FROM p GROUP BY 1")
