@@ -277,12 +277,11 @@ class Engine:
         """Keep the namespace in step with a folder; the running query. One query runs for each folder."""
         if folder in self._watches:
             return self._watches[folder]
-        events = file_sources.watch(self.spark, folder, file_sources.SUPPORTED)
+        events = file_sources.watch(self.spark, folder, f"{checkpoint.rstrip('/')}-snapshots", file_sources.SUPPORTED)
 
         def changed(paths: DataFrame) -> None:
             if not paths.isEmpty():
-                files = file_sources.scan(self.spark, folder, file_sources.SUPPORTED).join(F.broadcast(paths) if paths.count() < 10_000 else paths, "path", "left_semi")
-                self.index(files=files, force=True)
+                self.index(files=file_sources.read_paths(paths), force=True)
 
         def deleted(paths: DataFrame) -> None:
             if not paths.isEmpty():

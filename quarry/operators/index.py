@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,12 +62,18 @@ def chunk_files(files: DataFrame, namespace: str = "default", size: int = chunki
     )
 
 
+class Conflict(RuntimeError):
+    """Another writer has changed what a commit was made from."""
+
+
 class Store:
     """The chunk table under root as parts: the files of a namespace, dealt to BUCKETS by a hash of their paths.
 
-    A version is a list of the folders of its parts. A commit writes the parts that change into new folders, lists them
-    with the untouched ones, and replaces the pointer file, so readers see one version or the other. What a commit costs
-    is the parts that it touches. The last two versions stay.
+    A version is a list of the folders of its parts; the highest number is the current one. A commit writes the parts that
+    change into new folders and puts the list, with the untouched parts, under the next number, which only one writer can
+    take. One that finds it taken looks at what the other changed: with other parts it takes the number after that, with
+    one of its own it begins anew from the other's version. A writer that fails before that leaves the old version. What a
+    commit costs is the parts that it touches. The last two versions stay.
     """
 
     BUCKETS = 64
@@ -122,7 +130,7 @@ class Store:
     # ---- versions ----
 
     def version(self) -> int:
-        return int(self.text("CURRENT")) if self.has("CURRENT") else 0
+        return max(self.list_numbers("versions"), default=0)
 
     def parts(self, version: int | None = None) -> dict[tuple[str, int], str]:
         """(namespace, bucket) -> folder of every part of a version, the current one unless another is given."""
@@ -133,46 +141,78 @@ class Store:
     def bucket(cls, path: Column) -> Column:
         return F.pmod(F.xxhash64(path), F.lit(cls.BUCKETS)).cast("int")
 
-    def read(self, namespace: str | None = None, only: set[tuple[str, int]] | None = None) -> DataFrame:
-        """The chunks of a namespace, or all; only: of these parts alone."""
-        folders = [f"{self.root}/{folder}" for part, folder in self.parts().items() if namespace in (None, part[0]) and (only is None or part in only)]
+    def read(self, namespace: str | None = None, only: set[tuple[str, int]] | None = None, version: int | None = None) -> DataFrame:
+        """The chunks of a namespace, or all; only: of these parts alone; of the current version unless another is given."""
+        folders = [f"{self.root}/{folder}" for part, folder in self.parts(version).items() if namespace in (None, part[0]) and (only is None or part in only)]
         return self.spark.read.schema(CHUNKS).parquet(*folders) if folders else self.spark.createDataFrame([], CHUNKS)
 
-    def commit(self, chunks: DataFrame, touched: set[tuple[str, int]] | None = None) -> int:
-        """Make chunks the content of the touched parts (of the whole table, if None); the new version."""
-        old = self.parts()
-        v = self.version() + 1
+    def commit(self, chunks: DataFrame, touched: set[tuple[str, int]] | None = None, base: int | None = None) -> int:
+        """Make chunks the content of the touched parts (of the whole table, if None); the new version.
+
+        base: the version that chunks were made from, the current one unless given. Conflict is raised if another writer
+        has changed one of the touched parts since.
+        """
+        base = self.version() if base is None else base
+        before = self.parts(base)
+        folder = f"data/{base + 1}-{uuid.uuid4().hex[:8]}"
         rows = chunks.select(*CHUNKS.fieldNames(), F.col("namespace").alias("part_namespace"), self.bucket(F.col("file_path")).alias("part_bucket"))
         ordered = rows.repartition("part_namespace", "part_bucket").sortWithinPartitions("part_namespace", "part_bucket", "file_path", "chunk_index")
-        ordered.write.mode("overwrite").partitionBy("part_namespace", "part_bucket").parquet(f"{self.root}/data/{v}")
-        found = self._fs.globStatus(self._path(f"data/{v}/part_namespace=*/part_bucket=*")) or []
+        ordered.write.mode("overwrite").partitionBy("part_namespace", "part_bucket").parquet(f"{self.root}/{folder}")
+        found = self._fs.globStatus(self._path(f"{folder}/part_namespace=*/part_bucket=*")) or []
         new = {}
         for status in found:
             bucket, name = status.getPath().getName(), status.getPath().getParent().getName()
-            new[name.partition("=")[2], int(bucket.partition("=")[2])] = f"data/{v}/{name}/{bucket}"
-        kept = {} if touched is None else {part: folder for part, folder in old.items() if part not in touched}
-        self.put(f"versions/{v}", json.dumps([[*part, folder] for part, folder in sorted((kept | new).items())]))
-        self.put("CURRENT.next", str(v))
+            new[name.partition("=")[2], int(bucket.partition("=")[2])] = f"{folder}/{name}/{bucket}"
+        while True:
+            v = self.version()
+            old = self.parts(v)
+            mine = set(old) | set(before) if touched is None else touched
+            if any(old.get(part) != before.get(part) for part in mine):
+                self.remove(folder)
+                raise Conflict(f"version {v} changed parts that were read from version {base}")
+            kept = {part: f for part, f in old.items() if part not in mine}
+            if self._publish(v + 1, kept | new):
+                break
+        for f in set(self.parts(v - 1).values()) - set(old.values()) - set((kept | new).values()):
+            self.remove(f)
+        self.remove(f"versions/{v - 1}")
+        return v + 1
+
+    def _publish(self, v: int, parts: dict[tuple[str, int], str]) -> bool:
+        """Put a version under its number unless another writer has; it is seen whole or not at all."""
+        name = f"versions/.writing-{uuid.uuid4().hex}"
+        self.put(name, json.dumps([[*part, folder] for part, folder in sorted(parts.items())]))
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri())
-        rename = self._jvm.org.apache.hadoop.fs.Options.Rename
-        options = self.spark.sparkContext._gateway.new_array(rename, 1)
-        options[0] = rename.OVERWRITE
-        context.rename(self._path("CURRENT.next"), self._path("CURRENT"), options)
-        for folder in set(self.parts(v - 2).values()) - set(old.values()) - set((kept | new).values()):
-            self.remove(folder)
-        self.remove(f"versions/{v - 2}")
-        return v
-
-    def change(self, gone: DataFrame, fresh: DataFrame | None = None) -> int:
-        """Take all chunks of files (namespace, file_path) out and put fresh ones in; only the parts of these files are rewritten."""
+        options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(self._path(name), self._path(f"versions/{v}"), options)  # refuses a name that is taken
+        except Py4JJavaError as e:
+            self.remove(name)
+            if "FileAlreadyExists" in str(e.java_exception):
+                return False
+            raise
+        return True
+
+    def change(self, gone: DataFrame, fresh: DataFrame | None = None, attempts: int = 10) -> int:
+        """Take all chunks of files (namespace, file_path) out and put fresh ones in; only the parts of these files are rewritten.
+
+        After a conflict the same change is made to the other writer's version.
+        """
         files = gone.select("namespace", "file_path")
         if fresh is not None:
             files = files.union(fresh.select("namespace", "file_path"))
         touched = {(r[0], r[1]) for r in files.select("namespace", self.bucket(F.col("file_path"))).distinct().collect()}  # BUCKETS rows a namespace at most
         if not touched:
             return self.version()
-        kept = self.read(only=touched).join(gone.select("namespace", "file_path").distinct(), ["namespace", "file_path"], "left_anti").select(*CHUNKS.fieldNames())
-        return self.commit(kept if fresh is None else kept.unionByName(fresh.select(*CHUNKS.fieldNames())), touched)
+        for attempt in range(attempts):
+            base = self.version()
+            kept = self.read(only=touched, version=base).join(gone.select("namespace", "file_path").distinct(), ["namespace", "file_path"], "left_anti").select(*CHUNKS.fieldNames())
+            try:
+                return self.commit(kept if fresh is None else kept.unionByName(fresh.select(*CHUNKS.fieldNames())), touched, base)
+            except Conflict:
+                if attempt + 1 == attempts:
+                    raise
+        raise AssertionError("attempts must be at least 1")
 
     def compact(self) -> int:
         """Rewrite the whole table."""

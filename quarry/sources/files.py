@@ -12,20 +12,25 @@ import hashlib
 import json
 import os
 import time
+import uuid
+import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "path string, file_name string, file_type string, size long, modified_at timestamp, sha256 string, content binary"
+ARROW = pa.schema([("path", pa.string()), ("file_name", pa.string()), ("file_type", pa.string()), ("size", pa.int64()), ("modified_at", pa.timestamp("us", "UTC")), ("sha256", pa.string()), ("content", pa.binary())])
 EVENTS = "event_type string, path string, timestamp timestamp"
 
 # File types that are indexed, names that the git-aware scan passes over, and how bulk reading decodes types.
-SUPPORTED = ".txt .md .pdf .docx .pptx .xlsx .xls .csv .tsv .html .py .js .ts .go .rs .java .c .cpp .rb .eml .msg .epub".split()
-SKIPPED = "node_modules .venv __pycache__ .git dist build .egg-info .tox .mypy_cache .pytest_cache .ruff_cache target .DS_Store".split()
-TEXT_TYPES = "txt md rst csv tsv json toml yaml yml env cfg ini conf".split()
-BINARY_TYPES = "pdf docx xlsx pptx epub eml msg".split()
+SUPPORTED = [".txt", ".md", ".pdf", ".docx", ".pptx", ".xlsx", ".xls", ".csv", ".tsv", ".html", ".py", ".js", ".ts", ".go", ".rs", ".java", ".c", ".cpp", ".rb", ".eml", ".msg", ".epub"]
+SKIPPED = ["node_modules", ".venv", "__pycache__", ".git", "dist", "build", ".egg-info", ".tox", ".mypy_cache", ".pytest_cache", ".ruff_cache", "target", ".DS_Store"]
+TEXT_TYPES = ["txt", "md", "rst", "csv", "tsv", "json", "toml", "yaml", "yml", "env", "cfg", "ini", "conf"]
+BINARY_TYPES = ["pdf", "docx", "xlsx", "pptx", "epub", "eml", "msg"]
 
 
 def hash_file(path: str) -> str:
@@ -98,6 +103,18 @@ def walk(root: str, extensions: list[str] | None = None, max_bytes: int | None =
     return sorted(out)
 
 
+def read_file(path: str) -> tuple | None:
+    """A file's row of SCHEMA; None if it can't be read."""
+    try:
+        with open(path, "rb") as f:
+            content = f.read()
+        at = datetime.fromtimestamp(os.path.getmtime(path), UTC)
+    except OSError:
+        return None
+    name = os.path.basename(path)
+    return path, name, os.path.splitext(name)[1].lower(), len(content), at, hashlib.sha256(content).hexdigest(), content
+
+
 class _Paths(InputPartition):
     def __init__(self, paths: list[str]) -> None:
         self.paths = paths
@@ -118,14 +135,8 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: _Paths) -> Iterator[tuple]:
         for path in partition.paths:
-            try:
-                with open(path, "rb") as f:
-                    content = f.read()
-                at = datetime.fromtimestamp(os.path.getmtime(path), UTC)
-            except OSError:  # unreadable files are passed over
-                continue
-            name = os.path.basename(path)
-            yield (path, name, os.path.splitext(name)[1].lower(), len(content), at, hashlib.sha256(content).hexdigest(), content)
+            if row := read_file(path):
+                yield row
 
 
 def snapshot(root: str, extensions: list[str] | None, skip_hidden: bool = True) -> dict[str, list]:
@@ -145,26 +156,85 @@ def changes(before: dict[str, list], after: dict[str, list]) -> list[tuple[str,
     return sorted(events + [("deleted", p) for p in before if p not in after], key=lambda e: e[1])
 
 
-class _Watch(SimpleDataSourceStreamReader):
-    """The offset is the snapshot itself, so a restarted stream goes on from what it saw last."""
+class _Shard(InputPartition):
+    def __init__(self, start: int, end: int, shard: int) -> None:
+        self.start, self.end, self.shard = start, end, shard
+
+
+class _Watch(DataSourceStreamReader):
+    """The offset is the number of a snapshot, so its size is the same for any folder.
+
+    A snapshot is a listing, dealt to SHARDS files by a hash of the paths, under the state folder, which the executors
+    must see. Each shard of two snapshots gives its changes in a task of its own, and a replay reads the same files. A
+    listing that equals the last one makes no new snapshot; commits drop the snapshots before them.
+    """
+
+    SHARDS = 16
 
     def __init__(self, options: dict[str, str]) -> None:
         self.root = options["path"]
         self.exts = options["extensions"].split(",") if options.get("extensions") else None
         self.first = options.get("includeexisting", "true").lower() == "true"
+        self.state = options["state"]
+
+    def _store(self) -> tuple[pafs.FileSystem, str]:
+        uri = self.state
+        store, folder = pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{os.path.abspath(uri.removeprefix('file:'))}")
+        return store, folder
+
+    def _numbers(self) -> list[int]:
+        store, folder = self._store()
+        found = store.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
+        return sorted(int(f.base_name) for f in found if f.base_name.isdigit())
+
+    def _load(self, number: int, shard: int) -> dict[str, list]:
+        if number < 0:
+            return {}
+        store, folder = self._store()
+        with store.open_input_stream(f"{folder}/{number}/{shard}") as f:
+            return json.loads(f.read())
+
+    def _save(self, number: int, listing: dict[str, list]) -> None:
+        store, folder = self._store()
+        parts: list[dict[str, list]] = [{} for _ in range(self.SHARDS)]
+        for path, s in listing.items():
+            parts[zlib.crc32(path.encode("utf-8", "surrogateescape")) % self.SHARDS][path] = s
+        new = f"{folder}/writing-{uuid.uuid4().hex}"
+        store.create_dir(new)
+        for i, part in enumerate(parts):
+            with store.open_output_stream(f"{new}/{i}") as f:
+                f.write(json.dumps(part, sort_keys=True).encode())
+        store.move(new, f"{folder}/{number}")  # whole, or not at all
 
     def initialOffset(self) -> dict:
-        return {"files": json.dumps({} if self.first else snapshot(self.root, self.exts), sort_keys=True)}
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        after = snapshot(self.root, self.exts)
+        if self.first:
+            return {"snapshot": -1}
+        if not self._numbers():
+            self._save(0, snapshot(self.root, self.exts))
+        return {"snapshot": self._numbers()[0]}
+
+    def latestOffset(self) -> dict:
+        last = (self._numbers() or [-1])[-1]
+        now = snapshot(self.root, self.exts)
+        before = {p: x for i in range(self.SHARDS) for p, x in self._load(last, i).items()}
+        if now != before or last < 0:
+            last += 1
+            self._save(last, now)
+        return {"snapshot": last}
+
+    def partitions(self, start: dict, end: dict) -> list[_Shard]:
+        return [_Shard(start["snapshot"], end["snapshot"], i) for i in range(self.SHARDS)] if start != end else []
+
+    def read(self, partition: _Shard) -> Iterator[tuple]:
         now = datetime.fromtimestamp(time.time(), UTC)
-        rows = [(e, p, now) for e, p in changes(json.loads(start["files"]), after)]
-        return iter(rows), {"files": json.dumps(after, sort_keys=True)}
+        for event, path in changes(self._load(partition.start, partition.shard), self._load(partition.end, partition.shard)):
+            yield event, path, now
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        now = datetime.fromtimestamp(time.time(), UTC)
-        return iter([(e, p, now) for e, p in changes(json.loads(start["files"]), json.loads(end["files"]))])
+    def commit(self, end: dict) -> None:
+        store, folder = self._store()
+        for n in self._numbers():
+            if n < end["snapshot"]:
+                store.delete_dir(f"{folder}/{n}")
 
 
 class FileScan(DataSource):
@@ -191,7 +261,7 @@ class FileWatch(DataSource):
     def schema(self) -> str:
         return EVENTS
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema) -> DataSourceStreamReader:
         return _Watch({k.lower(): v for k, v in self.options.items()})
 
 
@@ -206,10 +276,26 @@ def scan(spark: SparkSession, root: str, extensions: list[str] | None = None, ma
     return reader.load(root)
 
 
-def watch(spark: SparkSession, root: str, extensions: list[str] | None = None, include_existing: bool = True) -> DataFrame:
-    """A stream of EVENTS below root."""
+def read_paths(paths: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """SCHEMA for the files that paths (column path) names, each opened once in the task that has its row; others are not touched."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                try:
+                    fits = max_bytes is None or os.path.getsize(path) <= max_bytes
+                except OSError:
+                    continue
+                if fits and (row := read_file(path)):
+                    yield pa.RecordBatch.from_pylist([dict(zip(ARROW.names, row, strict=True))], ARROW)
+
+    return paths.select("path").mapInArrow(run, SCHEMA)
+
+
+def watch(spark: SparkSession, root: str, state: str, extensions: list[str] | None = None, include_existing: bool = True) -> DataFrame:
+    """A stream of EVENTS below root. state: a folder of this stream alone, for its snapshots, that the executors see."""
     spark.dataSource.register(FileWatch)
-    reader = spark.readStream.format("quarry_watch").option("includeExisting", str(include_existing).lower())
+    reader = spark.readStream.format("quarry_watch").option("includeExisting", str(include_existing).lower()).option("state", state)
     if extensions is not None:
         reader = reader.option("extensions", ",".join(extensions))
     return reader.load(root)
