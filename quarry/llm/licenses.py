@@ -1,6 +1,6 @@
 """Operator 4: license scans by canonical digest lookup.
 
-A text is lower-cased, copyright lines go, all but letters and digits becomes single spaces, and equivalent spellings
+A text is lower-cased, copyright lines and lines that name the license by its identifier go, all but letters and digits becomes single spaces, and equivalent spellings
 become one; its SHA-256 is joined with the digests of known license texts. Entire texts are matched: the whole document
 against license texts, and each line as a text of its own against the notices by which licenses are invoked. How a text
 is wrapped, indented, decorated or capitalised makes no difference.
@@ -18,8 +18,15 @@ from .common import table
 
 # Spellings that count as equal, in the order of replacement (both sides lower case, in words parted by spaces).
 SPELLINGS = [("licence", "license"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("acknowledgement", "acknowledgment"), ("authorisation", "authorization"), ("organisation", "organization"), ("favour", "favor"), ("behaviour", "behavior"), ("judgement", "judgment"), ("whilst", "while"), ("wilful", "willful"), ("fulfil ", "fulfill "), ("per cent", "percent"), ("centre", "center"), ("programme", "program"), ("copyright owner", "copyright holder"), (" http ", " https ")]
-#: Lines that name a copyright; a line of running text that happens to begin with the word stays.
-COPYRIGHT_LINE = r"^[^a-z0-9\n]*(?:copyright[^a-z0-9\n]*(?:\(c\)|©|[0-9<\[{]|by )|\(c\)[^a-z0-9\n]*(?:copyright|[0-9<\[{])|©|all rights reserved)[^\n]*"
+# Words with which running text of licenses goes on after "copyright" at the beginning of a line.
+RUNNING = ["act", "and", "applicable", "as", "at", "attribution", "disclaimer", "for", "from", "holder", "if", "in", "infringement", "interest", "is", "law", "license", "licensor", "line", "notice", "of", "on", "or", "owner", "page", "permission", "protection", "statement", "status", "that", "to", "treaties", "treaty", "under", "which", "with"]
+#: A line of running text that happens to begin with "copyright": the word is put aside as MASK before copyright lines go.
+RUNNING_LINE = rf"^([^a-z0-9\n]*)copyright([ \t]+(?:{'|'.join(RUNNING)})s?(?:[^a-z]|$))"
+MASK = "\ue000"
+#: Lines that name a copyright, with or without a year, mark or name of a part, and lines right below that go on with a year.
+COPYRIGHT_LINE = r"^[^a-z0-9\n]*(?:(?:portions|parts)[^a-z0-9\n]+)?(?:copyright(?:[^a-z\n\x22\x27”»]|$)|\(c\)[^a-z0-9\n]*(?:copyright|[0-9<\[{])|©|all rights reserved)[^\n]*(?:\n[^a-z0-9\n]*[ \t](?:19|20)[0-9][0-9][^0-9\n][^\n]*)*"
+#: The line that names a license by its identifier; it is a notice, and no part of a license's text.
+SPDX_LINE = r"^ *spdx license identifier [^\n]*"
 _PARTING = r"[^\p{L}\p{M}\p{N}\n]+"
 
 # Texts of short licenses.
@@ -51,6 +58,8 @@ NOTICES = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the MIT License."],
     "MPL-2.0": ["Licensed under the Mozilla Public License, version 2.0."],
 }
+for _name in ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-3.0-only", "MIT", "MPL-2.0", "Zlib", "0BSD"]:
+    NOTICES.setdefault(_name.removesuffix("-only").removesuffix("-or-later"), []).append(f"SPDX-License-Identifier: {_name}")
 # Lengths and digests of the canonical forms of the long licenses' published texts.
 DIGESTS = {
     "Apache-2.0": (9889, "45c5565dedc03ff2a570c67c5af611f8a3d0a0227c6e81d9fb11fbf0c004b959"),
@@ -73,8 +82,11 @@ def canonical_text(text: str) -> str:
     """What canonical() makes of a text in Spark."""
     import regex
 
-    text = re.sub("(?m)" + COPYRIGHT_LINE, "", text.lower())
-    text = f" {' '.join(regex.sub(_PARTING, ' ', text).replace(chr(10), ' ').split(' '))} "
+    text = re.sub("(?m)" + RUNNING_LINE, rf"\1{MASK}\2", text.lower().replace(MASK, " "))
+    text = re.sub("(?m)" + COPYRIGHT_LINE, "", text).replace(MASK, "copyright")
+    text = regex.sub(_PARTING, " ", text)
+    whole = re.sub("(?m)" + SPDX_LINE, "", text) if "\n" in text.strip() else text
+    text = f" {' '.join(whole.replace(chr(10), ' ').split(' '))} "
     text = re.sub(" +", " ", text)
     for a, b in SPELLINGS:
         text = text.replace(a, b)
@@ -88,7 +100,9 @@ def canonical_digest(text: str) -> str:
 
 def _folded(text: Column) -> Column:
     """Lower case, no copyright lines, words parted by spaces and newlines."""
-    return F.regexp_replace(F.regexp_replace(F.lower(text), "(?dm)" + COPYRIGHT_LINE, ""), _PARTING, " ")
+    text = F.regexp_replace(F.replace(F.lower(text), F.lit(MASK), F.lit(" ")), "(?dm)" + RUNNING_LINE, f"$1{MASK}$2")
+    text = F.replace(F.regexp_replace(text, "(?dm)" + COPYRIGHT_LINE, ""), F.lit(MASK), F.lit("copyright"))
+    return F.regexp_replace(text, _PARTING, " ")
 
 
 def _spelled(folded: Column) -> Column:
@@ -101,7 +115,12 @@ def _spelled(folded: Column) -> Column:
 
 
 def canonical(text: Column) -> Column:
-    return _spelled(F.regexp_replace(_folded(text), "[ \\n]+", " "))
+    return _spelled(_joined(_folded(text)))
+
+
+def _joined(folded: Column) -> Column:
+    """The lines of a folded text as one, without one that only names the license."""
+    return F.regexp_replace(F.when(F.trim(folded, F.lit(" \n")).contains("\n"), F.regexp_replace(folded, "(?dm)" + SPDX_LINE, "")).otherwise(folded), "[ \\n]+", " ")
 
 
 def known() -> list[tuple[str, str, str, int]]:
@@ -133,7 +152,7 @@ def scan(docs: DataFrame, extra: DataFrame | None = None) -> DataFrame:
         return F.when(F.char_length(canon).isin(sorted({n for _, _, k, n in rows if k == kind})), F.sha2(canon, 256))
 
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array(_folded(F.coalesce(F.col("text").cast("string"), F.lit(""))))).alias("_folded"))  # the generator keeps the form from being made twice
-    x = x.select("doc_id", "_folded", F.explode(F.array(_spelled(F.regexp_replace("_folded", "[ \\n]+", " ")))).alias("_canon"))
+    x = x.select("doc_id", "_folded", F.explode(F.array(_spelled(_joined(F.col("_folded"))))).alias("_canon"))
     lines = F.transform(F.split("_folded", "\n", -1), lambda l: F.element_at(F.transform(F.array(_spelled(F.trim(l))), lambda c: digest(c, "notice")), 1))
     x = x.select("doc_id", digest(F.col("_canon"), "text").alias("digest"), lines.alias("_lines"))
     if extra is None:
@@ -163,8 +182,9 @@ def _sql_spelled(x: str) -> str:
 
 def _sql() -> str:
     values = ", ".join(f"('{d}', '{name}', '{kind}')" for d, name, kind, _ in known())
-    folded = rf"regexp_replace(regexp_replace(lower(coalesce(text, '')), '(?m){COPYRIGHT_LINE}', '', 'g'), '{_PARTING}', ' ', 'g')"
-    whole = _sql_spelled(r"regexp_replace(d.folded, '[ \n]+', ' ', 'g')")
+    masked = rf"regexp_replace(replace(lower(coalesce(text, '')), '{MASK}', ' '), '(?m){RUNNING_LINE}', '\1{MASK}\2', 'g')"
+    folded = rf"regexp_replace(replace(regexp_replace({masked}, '(?m){COPYRIGHT_LINE}', '', 'g'), '{MASK}', 'copyright'), '{_PARTING}', ' ', 'g')"
+    whole = _sql_spelled(rf"regexp_replace(CASE WHEN contains(trim(d.folded, ' ' || chr(10)), chr(10)) THEN regexp_replace(d.folded, '(?m){SPDX_LINE}', '', 'g') ELSE d.folded END, '[ \n]+', ' ', 'g')")
     return f"""
 WITH k(digest, license, kind) AS (VALUES {values}),
 d AS (SELECT row_number() OVER () AS r, doc_id, {folded} AS folded FROM documents),

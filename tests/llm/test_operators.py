@@ -279,6 +279,24 @@ def test_licenses_of_any_layout(spark):
     assert {r.doc_id: (r.license, r.notices) for r in licenses.scan(own, more).collect()} == {1: ("FR", ""), 2: (None, "PD"), 3: ("CN", ""), 4: (None, "")}
 
 
+def test_copyright_lines_of_every_form(spark):
+    """Before a known text at any width: names without a year, parts, blocks of several lines, identifiers; running text stays."""
+    heads = [
+        "Copyright Jane Doe and contributors", "Copyright: 2019, Jane Doe", "Copyright 2020-2024 Jane Doe <j@example.org>", "Portions Copyright (c) 1999 X", "(c) 2001 Y", "© Z", "# Copyright (C) 2020 A\n#           2021 B",
+        "Copyright (c) 2020 A\n              2021 B\nAll rights reserved.", "SPDX-License-Identifier: MIT", "// SPDX-License-Identifier: MIT\n// Copyright The Authors", "COPYRIGHT JANE DOE\n", "Copyright",
+    ]
+    import textwrap
+
+    docs = [(name, f"{head}\n\n{textwrap.fill(texts[0], width)}") for name, texts in licenses.TEXTS.items() for head in heads for width in (40, 57, 72, 96, 120)]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(docs)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.license for r in licenses.scan(df).collect()}
+    assert [(docs[i][1][:60], got[i]) for i in range(len(docs)) if got[i] != docs[i][0]] == []
+    assert all(licenses.canonical_digest(t) == licenses.canonical_digest(licenses.TEXTS[n][0]) for n, t in docs)
+    one = spark.createDataFrame([(1, "SPDX-License-Identifier: MIT"), (2, "x = 1  \n# SPDX-License-Identifier: GPL-2.0-only\n"), (3, "copyright law is a field of law\nof its own")], "doc_id long, text string")
+    assert {r.doc_id: (r.license, r.notices) for r in licenses.scan(one).collect()} == {1: (None, "MIT"), 2: (None, "GPL-2.0"), 3: (None, "")}
+    assert licenses.canonical_text("copyright law is a field of law\nof its own\ue000") == "copyright law is a field of law of its own"
+
+
 def test_license_digests_of_published_texts(spark):
     """The digests of long licenses are those of their texts, where the system has them."""
     import pathlib
