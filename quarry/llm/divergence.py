@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import drop_tables, materialize, span_hashes, table, text_blocks, word_spans
 
-#: Word ids of the reference counts, and the commonest of a language that make the word histogram (the rest is one class).
-WORD_IDS, COMMON = 1 << 16, 64
+#: The commonest words of a language that make the word histogram (the rest is one class). Words are known by 64-bit hashes.
+COMMON = 64
+#: Tasks that a language's words are dealt to for their first ranking.
+DEALS = 256
 #: A language's reference has, besides its own counts, the shares of all languages together at the weight of this many words.
 PRIOR_WORDS = 5_000
 #: Minimum words and limits of the two tests: the limit of a text of n words is limit + chance / sqrt(n). A distance over
@@ -100,13 +102,12 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
 
 
 def _word_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed ids of all words of the texts, lower-cased and without ASCII punctuation, and each word's text number."""
+    """64-bit hashes of all words of the texts, lower-cased and without ASCII punctuation, and each word's text number."""
     blob = (b" " + b" ".join(texts) + b" ").lower().translate(_PLAIN)
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
     starts = np.cumsum(lens + 1) - lens
     begin, end = word_spans(np.frombuffer(blob, np.uint8))
-    ids = (span_hashes(np.frombuffer(blob, np.uint8), begin, end) & np.uint64(WORD_IDS - 1)).astype(np.int64)
-    return ids, np.searchsorted(starts, begin, "right") - 1
+    return span_hashes(np.frombuffer(blob, np.uint8), begin, end).view(np.int64), np.searchsorted(starts, begin, "right") - 1
 
 
 def _char_hist(text: bytes) -> np.ndarray:
@@ -126,16 +127,15 @@ def _groups(batches, limit: int = 1 << 20) -> Iterator[tuple[list, list, list[st
 
 
 def references(docs: DataFrame) -> dict:
-    """Histograms per language: {lang: (char histogram, common ids, their counts and the rest)}.
+    """Histograms per language: {lang: (char histogram, common words' hashes, their counts and the rest)}.
 
     Counts are summed over every document that passes the base rules; to them come the shares of all languages together,
     times PRIOR_WORDS (for characters, as many as that many words have), so that a language of few words leans on the
-    others, the less the more it has. The result has a fixed number of figures for each value of lang.
+    others, the less the more it has. Every word is counted under its own hash, partially in the tasks; what is gathered
+    is a fixed number of figures for each value of lang.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chars: dict[str, np.ndarray] = {}
-        words: dict[str, np.ndarray] = {}
         for (langs,), texts in _groups(batches):
             good = [i for i, t in enumerate(texts) if not _fails(t)]
             if not good:
@@ -144,42 +144,41 @@ def references(docs: DataFrame) -> dict:
             names = ["" if langs[i] is None else "l" + langs[i] for i in good]
             order = {name: k for k, name in enumerate(dict.fromkeys(names))}
             lang = np.array([order[name] for name in names])[of] if len(of) else of
-            for name, k in order.items():
-                words[name] = words.get(name, 0) + np.bincount(ids[lang == k], minlength=WORD_IDS)
+            chars = {name: np.zeros(len(_CLASSES), np.int64) for name in order}
             for i, name in zip(good, names, strict=True):
-                chars[name] = chars.get(name, 0) + _char_hist(texts[i])
-        for name in chars:
-            at = np.flatnonzero(words[name])
-            cells = np.concatenate([at, WORD_IDS + np.arange(len(_CLASSES))])
-            n = np.concatenate([words[name][at], chars[name]])
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(cells)), pa.array(cells.astype(np.int32)), pa.array(n.astype(np.int64))], names=["lang", "cell", "n"])
-
-    cells = docs.select("lang", F.col("text").cast("binary")).mapInArrow(count, "lang string, cell int, n long")
-    cells = materialize(cells.groupBy("lang", "cell").agg(F.sum("n").alias("n")))
-    pooled = materialize(cells.groupBy("cell").agg(F.sum("n").alias("n")))
-    is_word = F.col("cell") < WORD_IDS
-    by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "cell")
-    own_top = cells.where(is_word).withColumn("_r", F.row_number().over(by_count)).where(F.col("_r") <= COMMON).drop("_r")
-    all_top = pooled.where(is_word).orderBy(F.desc("n"), "cell").limit(COMMON)
-    shared = cells.join(F.broadcast(all_top.select("cell")), "cell", "left_semi")  # COMMON rows are broadcast
-    totals = cells.where(is_word).groupBy("lang").agg(F.sum("n").alias("n")).select("lang", F.lit(-1).alias("cell"), "n")
-    rows = own_top.union(shared.select("lang", "cell", "n")).union(cells.where(~is_word)).union(totals).distinct().collect()  # 2 * COMMON + classes + 1 numbers for a language
-    wanted = docs.sparkSession.createDataFrame(sorted({(c,) for _, c, _ in rows if 0 <= c < WORD_IDS}), "cell int")
-    every = dict(pooled.join(F.broadcast(wanted), "cell", "left_semi").union(pooled.where(~is_word)).collect())  # WORD_IDS numbers at most
-    total = pooled.where(is_word).agg(F.sum("n")).first()[0] or 0
-    drop_tables(docs.sparkSession, cells, pooled)
+                chars[name] += _char_hist(texts[i])
+            for name, k in order.items():
+                words, n = np.unique(ids[lang == k], return_counts=True)
+                cells = np.concatenate([words, np.arange(len(_CLASSES))])
+                is_word = np.arange(len(cells)) < len(words)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(cells)), pa.array(is_word), pa.array(cells), pa.array(np.concatenate([n, chars[name]]))], names=["lang", "is_word", "cell", "n"])
+
+    cells = docs.select("lang", F.col("text").cast("binary")).mapInArrow(count, "lang string, is_word boolean, cell long, n long")
+    cells = materialize(cells.groupBy("lang", "is_word", "cell").agg(F.sum("n").alias("n")))
+    words = cells.where("is_word").select("lang", "cell", "n")
+    first = words.withColumn("_deal", F.pmod("cell", F.lit(DEALS)))
+    for keys in (["lang", "_deal"], ["lang"]):  # the best of each deal, then of those
+        first = first.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "cell"))).where(F.col("_r") <= COMMON).drop("_r")
+    own_top = first.select("lang", "cell", "n")
+    all_top = words.groupBy("cell").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cell").limit(COMMON)
+    shared = words.join(F.broadcast(all_top.select("cell")), "cell", "left_semi")  # COMMON rows are broadcast
+    rows = own_top.union(shared.select("lang", "cell", "n")).distinct().collect()  # 2 * COMMON rows of a language
+    totals = dict(words.groupBy("lang").agg(F.sum("n")).collect())  # one number of a language
+    letters = cells.where("NOT is_word").select("lang", F.col("cell").cast("int"), "n").collect()  # a number for each class
+    wanted = docs.sparkSession.createDataFrame(sorted({(c,) for _, c, _ in rows}), "cell long")
+    every = dict(words.join(F.broadcast(wanted), "cell").groupBy("cell").agg(F.sum("n")).collect())  # as many as rows
+    drop_tables(docs.sparkSession, cells)
+    total = sum(totals.values())
     prior = PRIOR_WORDS / total if total else 0.0
-    shares = np.array([every.get(WORD_IDS + i, 0) for i in range(len(_CLASSES))]) * prior
+    pooled = np.zeros(len(_CLASSES))
     out: dict[str, tuple] = {"*": (np.zeros(len(_CLASSES)), {}, [0])}
-    for lang, cell, n in rows:
-        chars, words, size = out.setdefault(lang, (np.zeros(len(_CLASSES)), {}, [0]))
-        if cell >= WORD_IDS:
-            chars[cell - WORD_IDS] = n
-        elif cell >= 0:
-            words[cell] = n
-        else:
-            size[0] = n
-    common = {c: n for c, n in every.items() if c < WORD_IDS}
+    for lang, c, n in letters:
+        pooled[c] += n
+        out.setdefault(lang, (np.zeros(len(_CLASSES)), {}, [totals.get(lang, 0)]))[0][c] = n
+    for lang, c, n in rows:
+        out[lang][1][c] = n
+    shares = pooled * prior
+    common = every
     top = sorted(common, key=lambda c: (-common[c], c))[:COMMON]
     done = {}
     for lang, (chars, words, size) in out.items():
@@ -196,10 +195,11 @@ def verdict(n_words: int, text: bytes, ids: np.ndarray, ref) -> tuple[float, flo
     hist = _char_hist(text)
     char_d = js_distance(hist, chars) if n_words >= CHAR_GUARD else 0.0
     word_d = 0.0
-    if n_words >= WORD_GUARD and len(ids):
-        place = np.full(WORD_IDS, len(common), np.int64)
-        place[common] = np.arange(len(common))
-        word_d = js_distance(np.bincount(place[ids], minlength=len(common) + 1), counts)
+    if n_words >= WORD_GUARD and len(ids) and len(common):
+        order = np.argsort(common)
+        at = np.minimum(np.searchsorted(common[order], ids), len(common) - 1)
+        place = np.where(common[order][at] == ids, order[at], len(common))
+        word_d = js_distance(np.bincount(place, minlength=len(common) + 1), counts)
     char_share = char_d / (CHAR_LIMIT + CHAR_CHANCE / max(1, n_words) ** 0.5)
     word_share = word_d / (WORD_LIMIT + WORD_CHANCE / max(1, len(ids)) ** 0.5)
     return char_d, word_d, max(char_share, word_share) <= 1 and char_share + word_share <= TOGETHER
