@@ -259,13 +259,23 @@ class Engine:
     # ---- copies of the store ----
 
     def push(self, other: str, full: bool = False) -> int:
-        """Copy this store's rows to another root: all of them, or only new and changed ones. The number copied."""
+        """Bring another root's rows to this store's: all of them, or only new and changed ones. The number copied.
+
+        The checksums of both stores' parts are compared first, and parts that are equal are neither read nor written.
+        Without full, rows that only the other store has stay there; with it, the other store holds this one's rows alone.
+        """
         target = Store(self.spark, other)
-        mine, theirs = self.store.read(), target.read()
-        rows = mine if full else catalog.sync_delta(mine, theirs)
+        version = target.version()
+        mine, theirs = self.store.manifest(), target.manifest(version)
+        differ = {part for part in (mine.keys() | theirs.keys() if full else mine.keys()) if mine.get(part, ("", ""))[1] != theirs.get(part, ("", ""))[1]}
+        if not differ:
+            return 0
+        own, old = self.store.read(only=differ), target.read(only=differ, version=version)
+        rows = (own if full else catalog.sync_delta(own, old)).persist()
         n = rows.count()
         if n or full:
-            target.commit(mine if full else catalog.upsert(theirs, rows.select(*theirs.columns)))
+            target.commit(rows if full else catalog.upsert(old, rows.select(*old.columns)), differ, version)
+        rows.unpersist()
         return n
 
     def pull(self, other: str, full: bool = False) -> int:

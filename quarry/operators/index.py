@@ -31,18 +31,52 @@ class Summary:
     chunks: int = 0
 
 
-def embedded(rows: DataFrame, embed: Callable[[str], Sequence[float]]) -> DataFrame:
-    """point_id, embedding: the vectors that a model gives the rows' chunk_text, batch by batch on the executors."""
+class BatchModel:
+    """A model for embed= that gets lists of texts: load() makes it, once in each Python worker; its result maps a list of texts to vectors.
+
+    Called with one text, as for a query, it loads the model where it stands.
+    """
+
+    def __init__(self, load: Callable[[], Callable[[list[str]], Sequence[Sequence[float]]]], batch: int = 64) -> None:
+        self.load, self.batch, self.name = load, batch, uuid.uuid4().hex
+
+    def __call__(self, text: str) -> Sequence[float]:
+        return _loaded(self)([text])[0]
+
+
+_MODELS: dict[str, Callable] = {}
+
+
+def _loaded(model: BatchModel) -> Callable[[list[str]], Sequence[Sequence[float]]]:
+    """The model as this process holds it."""
+    if model.name not in _MODELS:
+        _MODELS[model.name] = model.load()
+    return _MODELS[model.name]
+
+
+def embedded(rows: DataFrame, embed: Callable[[str], Sequence[float]] | BatchModel) -> DataFrame:
+    """point_id, embedding: the vectors that a model gives the rows' chunk_text. A BatchModel gets lists of texts of like length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from quarry.operators.index import BatchModel, _loaded  # the worker's own module, which holds the model
+
         for batch in batches:
-            vectors = [[float(x) for x in embed(t or "")] for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            if isinstance(embed, BatchModel):
+                model, vectors = _loaded(embed), [None] * len(texts)
+                order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+                for at in range(0, len(order), embed.batch):
+                    some = order[at : at + embed.batch]
+                    for i, v in zip(some, model([texts[i] for i in some]), strict=True):
+                        vectors[i] = [float(x) for x in v]
+            else:
+                vectors = [[float(x) for x in embed(t)] for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.list_(pa.float32()))], names=["point_id", "embedding"])
 
     return rows.select("point_id", "chunk_text").mapInArrow(run, "point_id string, embedding array<float>")
 
 
-def chunk_files(files: DataFrame, namespace: str = "default", size: int = chunking.SIZE, overlap: int = chunking.OVERLAP, dims: int = 64, embed: Callable[[str], Sequence[float]] | None = None) -> DataFrame:
+def chunk_files(files: DataFrame, namespace: str = "default", size: int = chunking.SIZE, overlap: int = chunking.OVERLAP, dims: int = 64, embed: Callable[[str], Sequence[float]] | BatchModel | None = None) -> DataFrame:
     """Rows of the chunk table (schema CHUNKS) for files (path, file_name, file_type, modified_at, sha256, content).
 
     Only extraction and chunking run in Python, and `embed` if it is given; ids, pages and hashed embeddings are JVM
@@ -134,8 +168,20 @@ class Store:
 
     def parts(self, version: int | None = None) -> dict[tuple[str, int], str]:
         """(namespace, bucket) -> folder of every part of a version, the current one unless another is given."""
+        return {part: folder for part, (folder, _) in self.manifest(version).items()}
+
+    def manifest(self, version: int | None = None) -> dict[tuple[str, int], tuple[str, str]]:
+        """(namespace, bucket) -> folder and checksum of every part; equal checksums mean equal rows, whatever their order."""
         v = self.version() if version is None else version
-        return {(ns, b): folder for ns, b, folder in json.loads(self.text(f"versions/{v}"))} if v > 0 and self.has(f"versions/{v}") else {}
+        return {(ns, b): (folder, check) for ns, b, folder, check in json.loads(self.text(f"versions/{v}"))} if v > 0 and self.has(f"versions/{v}") else {}
+
+    def _checksums(self, folder: str) -> dict[tuple[str, int], str]:
+        """Of the parts that a commit has written: the number of rows, and two sums over hashes of what makes a row."""
+        row = [F.col(c).cast("string") for c in CHUNKS.fieldNames() if c != "indexed_at"]
+        x = self.spark.read.parquet(f"{self.root}/{folder}").withColumn("part_namespace", F.col("part_namespace").cast("string"))
+        low = lambda h: F.sum(h.cast("decimal(38,0)")).cast("string")
+        found = x.groupBy("part_namespace", "part_bucket").agg(F.concat_ws(":", F.count("*"), low(F.xxhash64(*row)), low(F.xxhash64(F.lit("second"), *row))).alias("check")).collect()  # a row a part
+        return {(ns, b): check for ns, b, check in found}
 
     @classmethod
     def bucket(cls, path: Column) -> Column:
@@ -159,29 +205,32 @@ class Store:
         ordered = rows.repartition("part_namespace", "part_bucket").sortWithinPartitions("part_namespace", "part_bucket", "file_path", "chunk_index")
         ordered.write.mode("overwrite").partitionBy("part_namespace", "part_bucket").parquet(f"{self.root}/{folder}")
         found = self._fs.globStatus(self._path(f"{folder}/part_namespace=*/part_bucket=*")) or []
-        new = {}
+        checks = self._checksums(folder) if found else {}
+        new: dict[tuple[str, int], tuple[str, str]] = {}
         for status in found:
             bucket, name = status.getPath().getName(), status.getPath().getParent().getName()
-            new[name.partition("=")[2], int(bucket.partition("=")[2])] = f"{folder}/{name}/{bucket}"
+            part = name.partition("=")[2], int(bucket.partition("=")[2])
+            new[part] = f"{folder}/{name}/{bucket}", checks[part]
         while True:
             v = self.version()
-            old = self.parts(v)
+            known = self.manifest(v)
+            old = {part: f for part, (f, _) in known.items()}
             mine = set(old) | set(before) if touched is None else touched
             if any(old.get(part) != before.get(part) for part in mine):
                 self.remove(folder)
                 raise Conflict(f"version {v} changed parts that were read from version {base}")
-            kept = {part: f for part, f in old.items() if part not in mine}
+            kept = {part: x for part, x in known.items() if part not in mine}
             if self._publish(v + 1, kept | new):
                 break
-        for f in set(self.parts(v - 1).values()) - set(old.values()) - set((kept | new).values()):
+        for f in set(self.parts(v - 1).values()) - set(old.values()) - {f for f, _ in (kept | new).values()}:
             self.remove(f)
         self.remove(f"versions/{v - 1}")
         return v + 1
 
-    def _publish(self, v: int, parts: dict[tuple[str, int], str]) -> bool:
+    def _publish(self, v: int, parts: dict[tuple[str, int], tuple[str, str]]) -> bool:
         """Put a version under its number unless another writer has; it is seen whole or not at all."""
         name = f"versions/.writing-{uuid.uuid4().hex}"
-        self.put(name, json.dumps([[*part, folder] for part, folder in sorted(parts.items())]))
+        self.put(name, json.dumps([[*part, *x] for part, x in sorted(parts.items())]))
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri())
         options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
         try:

@@ -72,7 +72,7 @@ def doc_lengths(spark, sf):
     return bm25.lengths(docs(spark, sf))
 
 
-@query(f"WITH {STATS} SELECT term, df, round(idf, 6) AS idf FROM idf")
+@query(f"WITH {STATS} SELECT term, df, round(idf, 6) AS idf FROM idf".replace(" p AS (", " p AS MATERIALIZED (").replace(" df AS (", " df AS MATERIALIZED (").replace(" a AS (", " a AS MATERIALIZED ("))
 def term_stats(spark, sf):
     return rounded(bm25.build(docs(spark, sf)).terms, "idf")
 

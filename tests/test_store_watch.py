@@ -14,7 +14,7 @@ from quarry.sources import files
 
 def chunk(path, text, n=1):
     base = dict.fromkeys(CHUNKS.fieldNames())
-    return [tuple((base | {"namespace": "default", "point_id": f"{path}-{i}", "file_path": path, "file_name": path, "file_type": ".txt", "chunk_index": i, "chunk_text": text})[c] for c in CHUNKS.fieldNames()) for i in range(n)]
+    return [tuple((base | {"namespace": "default", "point_id": f"{path}-{i}", "file_path": path, "file_name": path, "file_type": ".txt", "chunk_index": i, "chunk_text": text, "file_hash": text})[c] for c in CHUNKS.fieldNames()) for i in range(n)]
 
 
 def frame(spark, *rows):
@@ -163,3 +163,56 @@ def test_a_watched_change_reads_no_folder(spark, tmp_path, monkeypatch):
     q.processAllAvailable()
     e.unwatch(str(d))
     assert seen[-1] == {"f2.txt"} and e.files().count() == 5 and e.search("lakes", "keyword").first().file_name == "f2.txt"
+
+
+def test_push_compares_manifests(spark, tmp_path, paths, monkeypatch):
+    """Equal stores move nothing and read no chunk; a changed file moves its part alone; rows of the target stay unless full."""
+    a, b, c = paths
+    mine, other = Engine(spark, f"file://{tmp_path}/one"), f"file://{tmp_path}/two"
+    mine.store.change(named(spark, a, c), frame(spark, chunk(a, "old", 2), chunk(c, "other")))
+    assert mine.push(other) == 3 and content(Store(spark, other)) == content(mine.store)
+    with monkeypatch.context() as m:
+        m.setattr(Store, "read", lambda *_, **__: (_ for _ in ()).throw(AssertionError("read")))
+        assert mine.push(other) == 0 and mine.push(other, full=True) == 0 and mine.pull(other) == 0
+    before = Store(spark, other).parts()
+    mine.store.change(named(spark, a), frame(spark, chunk(a, "new", 1)))
+    assert mine.push(other) == 1
+    after = Store(spark, other).parts()
+    assert {p for p in after if after[p] != before[p]} == {("default", bucket_of(spark, a))}
+    Store(spark, other).change(named(spark, b), frame(spark, chunk(b, "theirs")))
+    assert mine.push(other) == 0 and (b, "theirs") in content(Store(spark, other))
+    assert mine.push(other, full=True) == 1 and content(Store(spark, other)) == content(mine.store)
+    assert mine.store.manifest()[("default", bucket_of(spark, a))][1] == Store(spark, other).manifest()[("default", bucket_of(spark, a))][1]
+
+
+def test_models_get_lists(spark, tmp_path):
+    """A model is made once in a worker and called with lists; the vectors are those of single calls."""
+    from quarry.operators.index import BatchModel, embedded
+
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def load():
+        import os as _os
+
+        def log(kind, n):
+            with open(f"{calls}/{_os.getpid()}", "a") as f:
+                f.write(f"{kind} {n}\n")
+
+        log("load", 0)
+
+        def encode(texts):
+            log("call", len(texts))
+            return [[len(t), t.count("a")] for t in texts]
+
+        return encode
+
+    rows = spark.createDataFrame([(str(i), "a" * (i % 7) + "b" * i) for i in range(300)], "point_id string, chunk_text string").repartition(2)
+    model = BatchModel(load, batch=50)
+    got = {r.point_id: list(r.embedding) for _ in range(2) for r in embedded(rows, model).collect()}
+    assert got == {str(i): [i % 7 + i, i % 7] for i in range(300)}
+    logs = [f.read_text().split("\n")[:-1] for f in calls.iterdir()]
+    assert all(sum(x == "load 0" for x in one) == 1 for one in logs)
+    sizes = [int(x.split()[1]) for one in logs for x in one if x.startswith("call")]
+    assert sum(sizes) == 600 and len(sizes) <= 20 and max(sizes) == 50
+    assert list(model("abc")) == [3, 1]
