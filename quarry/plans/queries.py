@@ -588,17 +588,21 @@ def _sectioned(spark, sf, begin: str, gap: str = "\n"):
     return docs(spark, sf).withColumn("text", F.concat(F.lit(begin), F.replace("text", F.lit(". "), F.lit(f".{gap}{begin}"))))
 
 
+_SPACE = "' ' || chr(9) || chr(10) || chr(13)"
+_CUT = (
+    "w AS (SELECT doc_id, n, text, 0 AS s, " + _END.format(s="0") + " AS e FROM b WHERE length(text) > 500 UNION ALL "
+    "SELECT doc_id, n, text, greatest(s + 1, e - 50) AS s, " + _END.format(s="greatest(s + 1, e - 50)") + " AS e FROM w WHERE greatest(s + 1, e - 50) < length(text)), "
+    f"c AS (SELECT doc_id, n, s, trim(substr(text, s + 1, e - s), {_SPACE}) AS chunk_text FROM w UNION ALL SELECT doc_id, n, 0, text FROM b WHERE length(text) <= 500) "
+    "SELECT doc_id AS id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n, s) - 1 AS INTEGER) AS chunk_index, chunk_text FROM c WHERE length(chunk_text) >= 100"
+)
+
+
 def _sections_sql(mark: str) -> str:
     """Documents as in _sectioned(), cut at the marks; sections that are too long are cut into windows."""
-    space = "' ' || chr(9) || chr(10) || chr(13)"
     return (
         f"WITH RECURSIVE m AS (SELECT doc_id, '{mark}' || replace(text, '. ', '.' || chr(10) || '{mark}') AS text FROM documents WHERE text IS NOT NULL), "
-        f"p AS (SELECT doc_id, unnest(list_transform(string_split(chr(10) || text, chr(10) || '{mark}')[2:], lambda x, i: {{'n': i, 't': trim('{mark}' || x, {space})}})) AS p FROM m), "
-        "b AS (SELECT doc_id, p.n AS n, p.t AS text FROM p), "
-        "w AS (SELECT doc_id, n, text, 0 AS s, " + _END.format(s="0") + " AS e FROM b WHERE length(text) > 500 UNION ALL "
-        "SELECT doc_id, n, text, greatest(s + 1, e - 50) AS s, " + _END.format(s="greatest(s + 1, e - 50)") + " AS e FROM w WHERE greatest(s + 1, e - 50) < length(text)), "
-        f"c AS (SELECT doc_id, n, s, trim(substr(text, s + 1, e - s), {space}) AS chunk_text FROM w UNION ALL SELECT doc_id, n, 0, text FROM b WHERE length(text) <= 500) "
-        "SELECT doc_id AS id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n, s) - 1 AS INTEGER) AS chunk_index, chunk_text FROM c WHERE length(chunk_text) >= 100"
+        f"p AS (SELECT doc_id, unnest(list_transform(string_split(chr(10) || text, chr(10) || '{mark}')[2:], lambda x, i: {{'n': i, 't': trim('{mark}' || x, {_SPACE})}})) AS p FROM m), "
+        "b AS (SELECT doc_id, p.n AS n, p.t AS text FROM p), " + _CUT
     )
 
 
@@ -612,12 +616,28 @@ def chunk_code(spark, sf):
     return chunking.chunk_rows(_sectioned(spark, sf, "def "), kind="code")
 
 
-@query()
+_JOIN = "list_append(acc[:-2], acc[-1] || {glue} || x)"
+
+
+@query(
+    "WITH RECURSIVE m AS (SELECT doc_id, replace(text, '. ', '.' || chr(10) || chr(10)) AS text FROM documents WHERE text IS NOT NULL), "
+    rf"q AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: trim(x, {_SPACE})), lambda x: x <> '') AS parts FROM m), "
+    f"r AS (SELECT doc_id, list_reduce(parts, lambda acc, x: CASE WHEN len(acc) > 0 AND length(acc[-1]) + 2 + length(x) <= 500 THEN {_JOIN.format(glue='chr(10) || chr(10)')} ELSE list_append(acc, x) END, []::VARCHAR[]) AS runs FROM q), "
+    f"o AS (SELECT doc_id, list_reduce(runs, lambda acc, x: CASE WHEN length(x) >= 100 THEN list_append(acc, x) WHEN len(acc) > 0 THEN {_JOIN.format(glue='chr(10) || chr(10)')} ELSE acc END, []::VARCHAR[]) AS chunks FROM r), "
+    "b AS (SELECT doc_id, unnest(chunks) AS text, generate_subscripts(chunks, 1) AS n FROM o), " + _CUT
+)
 def chunk_paragraphs(spark, sf):
     return chunking.chunk_rows(_sectioned(spark, sf, "", "\n\n"), kind="paragraphs")
 
 
-@query()
+@query(
+    "WITH m AS (SELECT doc_id, 'Sheet: ' || replace(text, '. ', '.' || chr(10) || 'Sheet: ') AS text FROM documents WHERE text IS NOT NULL), "
+    f"p AS (SELECT doc_id, unnest(list_transform(string_split(chr(10) || text, chr(10) || 'Sheet: ')[2:], lambda x, i: {{'n': i, 't': trim('Sheet: ' || x, {_SPACE})}})) AS p FROM m), "
+    f"r AS (SELECT doc_id, p.n AS n, CASE WHEN length(p.t) <= 500 THEN [p.t] ELSE list_reduce(string_split(p.t, chr(10)), lambda acc, x: CASE WHEN len(acc) > 0 AND acc[-1] <> '' AND length(acc[-1]) + 1 + length(x) <= 500 THEN {_JOIN.format(glue='chr(10)')} "
+    "WHEN len(acc) > 0 AND acc[-1] = '' THEN list_append(acc[:-2], x) ELSE list_append(acc, x) END, []::VARCHAR[]) END AS runs FROM p), "
+    "c AS (SELECT doc_id, n, unnest(runs) AS chunk_text, generate_subscripts(runs, 1) AS s FROM r) "
+    "SELECT doc_id AS id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n, s) - 1 AS INTEGER) AS chunk_index, chunk_text FROM c WHERE length(chunk_text) >= 100"
+)
 def chunk_sheets(spark, sf):
     return chunking.chunk_rows(_sectioned(spark, sf, "Sheet: "), kind="sheets")
 
