@@ -9,6 +9,7 @@ import threading
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -205,12 +206,49 @@ class Engine:
         return n
 
     def scroll(self, after: str | None = None, limit: int = 100, namespace: str | None = None) -> tuple[DataFrame, str | None]:
-        """The next chunks in order of point_id after a cursor, and the cursor behind them; None at the end."""
+        """The next chunks in order of point_id after a cursor, and the cursor behind them; None at the end. Each page looks at all ids."""
         x = self.chunks(namespace)
         page = (x if after is None else x.where(F.col("point_id") > after)).orderBy("point_id").limit(limit)
         last = page.agg(F.max("point_id"), F.count("*")).first()
         return page, last[0] if last[1] == limit else None
 
+    def scroll_parts(self, after: str | None = None, limit: int = 100, namespace: str | None = None) -> tuple[DataFrame, str | None]:
+        """As scroll(), for going through a whole namespace: the next chunks in order of (part, file_path, chunk_index) after a cursor, and the cursor behind them; None at the end.
+
+        A cursor names the version, the part and the place in it. A page reads the parts that it comes from, which are
+        sorted, from that place on; it stays with its version as long as the store keeps it, and goes on in the current one
+        after that.
+        """
+        ns = namespace or self.namespace
+        version, bucket, path, number = json.loads(after) if after else (self.store.version(), -1, "", -1)
+        if not self.store.has(f"versions/{version}"):
+            version = self.store.version()
+        pages, left, last = [], limit, None
+        for b in sorted(b for n, b in self.store.parts(version) if n == ns and b >= bucket):
+            x = self.store.read(only={(ns, b)}, version=version)
+            x = x if self.grants is None else catalog.allowed(x, self.grants, None)
+            if b == bucket:
+                x = x.where(F.col("file_path") >= path).where((F.col("file_path") > path) | (F.col("chunk_index") > number))
+            page = x.orderBy("file_path", "chunk_index").limit(left)
+            n, end = page.agg(F.count("*"), F.max(F.struct("file_path", "chunk_index"))).first()
+            if n:
+                pages.append(page)
+                left, last = left - n, json.dumps([version, b, *end])
+            if not left:
+                break
+        out = reduce(DataFrame.unionByName, pages) if pages else self.store.read().limit(0)
+        return out, last if not left else None
+
+    def collection_info(self, namespace: str | None = None) -> DataFrame:
+        """One row: points_count, segments_count (the store's parts), indexed_vectors_count, status, payload_schema (columns that any chunk fills)."""
+        ns = namespace or self.namespace
+        chunks = self.chunks(ns)
+        payload = [c for c in chunks.columns if c not in ("point_id", "embedding")]
+        filled = F.array_compact(F.array(*[F.when(F.count(c) > 0, F.lit(c)) for c in payload]))
+        segments_count = sum(n == ns for n, _ in self.store.parts())
+        status = F.lit("green" if self.store.version() else "empty")
+        return chunks.agg(F.count("*").alias("points_count"), F.lit(segments_count).alias("segments_count"), F.count("embedding").alias("indexed_vectors_count"), status.alias("status"), filled.alias("payload_schema"))
+
     def _note(self, query: str, mode: str) -> None:
         self._recent = [{"query": query, "mode": mode, "at": datetime.now(UTC)}, *self._recent][:20]
         self.audit("search", query)

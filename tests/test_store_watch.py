@@ -216,3 +216,44 @@ def test_models_get_lists(spark, tmp_path):
     sizes = [int(x.split()[1]) for one in logs for x in one if x.startswith("call")]
     assert sum(sizes) == 600 and len(sizes) <= 20 and max(sizes) == 50
     assert list(model("abc")) == [3, 1]
+
+
+def test_scroll_reads_parts_in_turn(spark, tmp_path, monkeypatch):
+    """Every chunk once, whatever the page; a page reads no part that it does not come from, and commits between pages do no harm."""
+    e = Engine(spark, f"file://{tmp_path}/s")
+    names = [f"p{i}" for i in range(40)]
+    e.store.change(named(spark, *names), frame(spark, *(chunk(p, "text " + p, 3) for p in names)))
+    want = {f"{p}-{i}" for p in names for i in range(3)}
+    for limit in (7, 50, 120, 500):
+        seen, cursor = [], None
+        while True:
+            page, cursor = e.scroll_parts(cursor, limit)
+            got = page.collect()
+            assert len(got) == limit or cursor is None
+            seen += [r.point_id for r in got]
+            if cursor is None:
+                break
+        assert len(seen) == len(want) and set(seen) == want
+    page, cursor = e.scroll_parts(limit=10)
+    first = {r.point_id for r in page.collect()}
+    e.store.change(named(spark, "p39"))
+    reads, read = [], Store.read
+    monkeypatch.setattr(Store, "read", lambda self, *a, **k: (reads.append(k.get("only")), read(self, *a, **k))[1])
+    page, after = e.scroll_parts(cursor, 10)
+    assert not first & {r.point_id for r in page.collect()} and len(reads) <= 5 and all(len(r) == 1 for r in reads)
+    rest, end = e.scroll_parts(after, 500)
+    assert rest.count() == 100 and end is None  # the version of the first page
+    e.store.change(named(spark, "p38"))
+    e.store.change(named(spark, "p37"))
+    rest, end = e.scroll_parts(after, 500)
+    assert 91 <= rest.count() < 100 and end is None
+
+
+def test_collection_info(spark, tmp_path, paths):
+    a, _, c = paths
+    e = Engine(spark, f"file://{tmp_path}/s")
+    assert e.collection_info().first().asDict() == {"points_count": 0, "segments_count": 0, "indexed_vectors_count": 0, "status": "empty", "payload_schema": []}
+    e.store.change(named(spark, a, c), frame(spark, chunk(a, "x", 2), chunk(c, "y")))
+    info = e.collection_info().first()
+    assert (info.points_count, info.segments_count, info.indexed_vectors_count, info.status) == (3, 2, 0, "green")
+    assert info.payload_schema == ["namespace", "file_path", "file_name", "file_type", "chunk_index", "chunk_text", "file_hash"]
