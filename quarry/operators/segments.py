@@ -1,7 +1,7 @@
 """The kept BM25 index: immutable segments of packed postings, changed by commits that cost what they change.
 
 A segment holds blocks of at most BLOCK postings of one term (ids, counts and document lengths side by side, so a search
-needs no table of lengths), by term and falling impact; its documents with their terms; and signed changes of document
+needs no table of lengths), by term and falling impact; its documents with their terms and counts; and signed changes of document
 frequencies. A commit writes one segment with the fresh documents, the ids that left as tombstones for older segments, and
 the changes of the figures, then replaces the manifest. Segments of like size merge, so that there are few; a merge also
 is one new segment and a new manifest, so one that fails is as if it had not begun.
@@ -157,14 +157,12 @@ class Kept:
         at = f"{self.path}/{folder}"
         docs, tokens, changes = 0, 0, []
         if fresh is not None:
-            # dealt by id once: counting a document's terms needs no other shuffle
-            texts = fresh.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("stamp"), terms(F.col(text_col)).alias("terms"))
-            texts.select("id", "stamp", F.size("terms").cast("long").alias("dl"), F.array_distinct("terms").alias("terms")).sortWithinPartitions("id").write.parquet(f"{at}/docs")
-            made = self.spark.read.parquet(f"{at}/docs")
-            docs, tokens = made.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
-            words = texts.repartition("id").select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-            words.groupBy("id", "dl", "term").agg(F.count("*").cast("int").alias("tf")).write.parquet(f"{at}/postings")
-            changes.append(self.spark.read.parquet(f"{at}/postings").groupBy("term").agg(F.count("*").alias("d")))
+            # texts are cut into terms once and dealt by id once; both counts keep that dealing
+            texts = fresh.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("stamp"), terms(F.col(text_col)).alias("terms")).repartition("id")
+            words = texts.select("id", "stamp", F.size("terms").cast("long").alias("dl"), F.explode_outer("terms").alias("term")).groupBy("id", "stamp", "dl", "term").agg(F.count("term").cast("int").alias("tf"))
+            listed = words.groupBy("id", "stamp", "dl").agg(F.collect_list(F.when(F.col("tf") > 0, F.struct("term", "tf"))).alias("terms"))  # one document's terms
+            listed.sortWithinPartitions("id").write.parquet(f"{at}/docs")
+            docs, tokens = self.spark.read.parquet(f"{at}/docs").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         left = leaving = 0
         if gone is not None and old.segments:
             gone.select(F.col(gone.columns[0]).alias("id"), F.lit(number).alias("upto")).distinct().write.parquet(f"{at}/gone")
@@ -172,26 +170,28 @@ class Kept:
             few = [r.id for r in ids.limit(LISTED + 1).collect()]
             dead = self.docs(F.col("id").isin(*few) if len(few) <= LISTED else None).join(ids, "id", "left_semi").persist()
             left, leaving = dead.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
-            changes.append(dead.select(F.explode("terms").alias("term")).groupBy("term").agg((-F.count("*")).alias("d")))
+            changes.append(dead.select(F.explode("terms.term").alias("term")).groupBy("term").agg((-F.count("*")).alias("d")))
+        manifest = Manifest(number, old.n + docs - left, old.tokens + tokens - leaving, [*old.segments, Segment(number, folder, docs, 0.0)])
+        manifest.segments[-1].avgdl = manifest.avgdl
+        if docs:
+            self._write_blocks(at, manifest.avgdl)
+            changes.append(self.spark.read.parquet(f"{at}/blocks").groupBy("term").agg(F.sum("size").alias("d")))
         if changes:
-            reduce(DataFrame.unionByName, changes).groupBy("term").agg(F.sum("d").alias("d")).where("d <> 0").repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{at}/terms")
+            summed = changes[0] if len(changes) == 1 else reduce(DataFrame.unionByName, changes).groupBy("term").agg(F.sum("d").alias("d"))
+            summed.where("d <> 0").repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{at}/terms")
             delta = self.spark.read.parquet(f"{at}/terms")
             few = [r.term for r in delta.select("term").limit(LISTED + 1).collect()] if old.segments else []
             before = self.frequencies(F.col("term").isin(*few) if len(few) <= LISTED else None) if old.segments else self._none("term string, df long")
             steps = delta.join(before, "term", "left").select(F.explode(F.array(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.lit(-1).alias("d")), F.struct((F.coalesce("df", F.lit(0)) + F.col("d")).alias("df"), F.lit(1).alias("d")))).alias("x"))
             steps.select("x.*").where("df > 0").groupBy("df").agg(F.sum("d").alias("d")).coalesce(1).write.parquet(f"{at}/histogram")
-        manifest = Manifest(number, old.n + docs - left, old.tokens + tokens - leaving, [*old.segments, Segment(number, folder, docs, 0.0)])
-        manifest.segments[-1].avgdl = manifest.avgdl
-        if docs:
-            self._write_blocks(self.spark.read.parquet(f"{at}/postings"), at, manifest.avgdl)
-        fs, spare = self._fs(f"{folder}/postings")
-        fs.delete(spare, True)
         self._swap(manifest)
         while run := self._mergeable():
             self._merge(run)
 
-    def _write_blocks(self, postings: DataFrame, at: str, avgdl: float) -> None:
-        _packed(postings, avgdl).write.option("parquet.block.size", 4 << 20).option("parquet.page.row.count.limit", 200).parquet(f"{at}/blocks")
+    def _write_blocks(self, at: str, avgdl: float) -> None:
+        """The blocks of a segment from its documents' terms."""
+        listed = self.spark.read.parquet(f"{at}/docs").select("id", "dl", F.explode("terms").alias("t"))
+        _packed(listed.select("id", "t.term", "t.tf", "dl"), avgdl).write.option("parquet.block.size", 4 << 20).option("parquet.page.row.count.limit", 200).parquet(f"{at}/blocks")
 
     def _mergeable(self) -> list[Segment]:
         """The trailing segments to merge: the longest run of FAN or more that are no larger than some tier, or none."""
@@ -219,7 +219,7 @@ class Kept:
         if len(run) < len(self.manifest.segments):
             part._read("gone", self._gone_schema()).select("id", "upto").write.parquet(f"{at}/gone")
         if docs:
-            self._write_blocks(part.postings().drop("segment"), at, self.manifest.avgdl)
+            self._write_blocks(at, self.manifest.avgdl)
         kept = [s for s in self.manifest.segments if s not in run]
         self._swap(Manifest(self.manifest.version, self.manifest.n, self.manifest.tokens, [*kept, Segment(number, folder, docs, self.manifest.avgdl)]))
 
@@ -256,7 +256,7 @@ class Kept:
 
     def docs(self, where: Column | None = None) -> DataFrame:
         """id, stamp, dl, terms of the documents; where reaches the scans, which are sorted by id."""
-        x = self._read("docs", f"id {self._id_type()}, stamp long, dl long, terms array<string>")
+        x = self._read("docs", f"id {self._id_type()}, stamp long, dl long, terms array<struct<term: string, tf: int>>")
         return self._living(x if where is None else x.where(where)).drop("segment")
 
     def frequencies(self, where: Column | None = None, positive: bool = True) -> DataFrame:
