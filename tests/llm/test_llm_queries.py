@@ -30,7 +30,7 @@ def test_matches_sql(spark, sf, name):
 def bare(spark, sf, tmp_path_factory):
     """Empty tables with two columns more, whose names the operators use."""
     folder = tmp_path_factory.mktemp("bare")
-    for name in ("documents", "labels", "pages"):
+    for name in ("documents", "labels", "pages", "embeddings"):
         spark.read.parquet(f"{sf}/{name}.parquet").limit(0).selectExpr("*", "1 as _key", "'x' as size").write.parquet(f"{folder}/{name}.parquet")
     return str(folder)
 
