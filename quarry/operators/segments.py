@@ -32,6 +32,8 @@ from .bm25 import EPSILON, K1, B
 
 #: Postings of a block; blocks of a term in a file that the first pass of a search reads.
 BLOCK, FIRST = 128, 2
+#: Bytes of a row group of documents and their terms, before compression.
+DOCS_GROUP = 8 << 20
 #: So many trailing segments of at most one tier merge; a tier has FAN times the documents of the one below.
 FAN = 8
 #: Terms that are looked up by a condition in the scan; beyond it by a join.
@@ -71,11 +73,23 @@ def _part(tf: Column, dl: Column, avgdl: float | Column) -> Column:
     return tf / (tf + K1 * _norm(dl, avgdl))
 
 
+def _counted(texts: DataFrame) -> DataFrame:
+    """id, stamp, text -> id, stamp, dl, terms with their counts. A text is counted in its own row: its words are sorted, and a term reaches from one start to the next."""
+    x = texts.select("id", "stamp", F.sort_array(terms(F.col("text"))).alias("words"))
+    begins = F.transform("words", lambda w, i: F.when((i == 0) | (w != F.get("words", i - 1)), i))
+    x = x.select("id", "stamp", "words", F.filter(begins, lambda i: i.isNotNull()).alias("starts"))
+    count = lambda at, k: F.coalesce(F.get("starts", k + 1), F.size("words")) - at
+    listed = F.transform("starts", lambda at, k: F.struct(F.get("words", at).alias("term"), count(at, k).alias("tf")))
+    return x.select("id", "stamp", F.size("words").cast("long").alias("dl"), listed.alias("terms"))
+
+
 def _packed(rows: DataFrame, avgdl: float) -> DataFrame:
     """Postings (id, term, tf, dl) -> blocks, by term and falling impact. A term of any length is spread over the ranges of the sort."""
     kind = dict(rows.dtypes)["id"]
-    ordered = rows.withColumn("impact", _part(F.col("tf"), F.col("dl"), avgdl)).select("term", "impact", "id", F.col("tf").cast("int"), F.col("dl").cast("int"))
-    ordered = ordered.repartitionByRange("term", F.desc("impact"), "id").sortWithinPartitions("term", F.desc("impact"), "id")
+    impact = _part(F.col("tf"), F.col("dl"), avgdl)  # made anew after the shuffle, of which it would be a quarter
+    order = (F.col("term"), F.desc(impact), F.col("id"))
+    ordered = rows.select("term", "id", F.col("tf").cast("int"), F.col("dl").cast("int")).repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = ordered.select("term", impact.alias("impact"), "id", "tf", "dl")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, nth = None, 0
@@ -99,6 +113,11 @@ def _packed(rows: DataFrame, avgdl: float) -> DataFrame:
     return ordered.mapInArrow(run, f"term string, impact double, nth int, size int, ids array<{kind}>, tfs array<int>, dls array<int>")
 
 
+def _write_docs(docs: DataFrame, at: str) -> None:
+    """Row groups are small, as a reader's batch of nested values ends with its group."""
+    docs.write.option("parquet.block.size", DOCS_GROUP).option("compression", "zstd").parquet(at)
+
+
 class Kept:
     """A BM25 index under one folder of a store; see create() and open()."""
 
@@ -157,20 +176,19 @@ class Kept:
         at = f"{self.path}/{folder}"
         docs, tokens, changes = 0, 0, []
         if fresh is not None:
-            # texts are cut into terms once and dealt by id once; both counts keep that dealing
-            texts = fresh.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("stamp"), terms(F.col(text_col)).alias("terms")).repartition("id")
-            words = texts.select("id", "stamp", F.size("terms").cast("long").alias("dl"), F.explode_outer("terms").alias("term")).groupBy("id", "stamp", "dl", "term").agg(F.count("term").cast("int").alias("tf"))
-            listed = words.groupBy("id", "stamp", "dl").agg(F.collect_list(F.when(F.col("tf") > 0, F.struct("term", "tf"))).alias("terms"))  # one document's terms
-            listed.sortWithinPartitions("id").write.parquet(f"{at}/docs")
+            texts = fresh.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("stamp"))
+            _write_docs(_counted(texts.sortWithinPartitions("id")), f"{at}/docs")  # the texts are sorted, as their terms take more room
             docs, tokens = self.spark.read.parquet(f"{at}/docs").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         left = leaving = 0
         if gone is not None and old.segments:
             gone.select(F.col(gone.columns[0]).alias("id"), F.lit(number).alias("upto")).distinct().write.parquet(f"{at}/gone")
             ids = self.spark.read.parquet(f"{at}/gone").select("id")
             few = [r.id for r in ids.limit(LISTED + 1).collect()]
-            dead = self.docs(F.col("id").isin(*few) if len(few) <= LISTED else None).join(ids, "id", "left_semi").persist()
-            left, leaving = dead.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
-            changes.append(dead.select(F.explode("terms.term").alias("term")).groupBy("term").agg((-F.count("*")).alias("d")))
+            # read twice, first without the terms: kept in memory, the terms of ten thousand documents would be one batch
+            held = self.docs(F.col("id").isin(*few) if len(few) <= LISTED else None)
+            left, leaving = held.select("id", "dl").join(ids, "id", "left_semi").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+            dead = held.select("id", F.col("terms.term").alias("terms")).join(ids, "id", "left_semi")
+            changes.append(dead.select(F.explode("terms").alias("term")).groupBy("term").agg((-F.count("*")).alias("d")))
         manifest = Manifest(number, old.n + docs - left, old.tokens + tokens - leaving, [*old.segments, Segment(number, folder, docs, 0.0)])
         manifest.segments[-1].avgdl = manifest.avgdl
         if docs:
@@ -191,7 +209,7 @@ class Kept:
     def _write_blocks(self, at: str, avgdl: float) -> None:
         """The blocks of a segment from its documents' terms."""
         listed = self.spark.read.parquet(f"{at}/docs").select("id", "dl", F.explode("terms").alias("t"))
-        _packed(listed.select("id", "t.term", "t.tf", "dl"), avgdl).write.option("parquet.block.size", 4 << 20).option("parquet.page.row.count.limit", 200).parquet(f"{at}/blocks")
+        _packed(listed.select("id", "t.term", "t.tf", "dl"), avgdl).write.option("parquet.block.size", 4 << 20).option("parquet.page.row.count.limit", 200).option("compression", "zstd").parquet(f"{at}/blocks")
 
     def _mergeable(self) -> list[Segment]:
         """The trailing segments to merge: the longest run of FAN or more that are no larger than some tier, or none."""
@@ -212,7 +230,7 @@ class Kept:
         number, folder = run[-1].number, f"m{run[-1].number}-{uuid.uuid4().hex[:8]}"
         at = f"{self.path}/{folder}"
         part = Kept(self.spark, self.path, Manifest(segments=run))
-        part.docs().sortWithinPartitions("id").write.parquet(f"{at}/docs")
+        _write_docs(part.docs().sortWithinPartitions("id"), f"{at}/docs")
         docs = self.spark.read.parquet(f"{at}/docs").count()
         part.frequencies(positive=False).withColumnRenamed("df", "d").where("d <> 0").repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{at}/terms")
         part._read("histogram", "df long, d long").groupBy("df").agg(F.sum("d").alias("d")).coalesce(1).write.parquet(f"{at}/histogram")

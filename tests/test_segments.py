@@ -3,6 +3,7 @@
 import os
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +96,22 @@ def test_a_commit_writes_what_it_changes(spark, tmp_path):
     assert written[1] < 1.2 * written[0] and written[1] < whole / 5
 
 
+def test_a_commit_keeps_no_terms_in_memory(spark, tmp_path, monkeypatch):
+    """Documents that leave are not cached, texts are counted without a shuffle, and a file of documents has row groups of a few."""
+    monkeypatch.setattr(segments, "DOCS_GROUP", 64 << 10, raising=False)
+    cached = spark.sparkContext._jsc.getPersistentRDDs().size()
+    docs = dict(texts(5, [f"d{i}" for i in range(3000)], n=80)) | {"none": None, "same": "w1 w0 W1 w1", "blank": " .,"}
+    index = segments.Kept.create(frame(spark, list(docs.items())).coalesce(1), str(tmp_path), "id")
+    fresh = dict(texts(6, ["d1", "x"])) | {"same": "w2 w2"}
+    index.commit(frame(spark, list(fresh.items())), frame(spark, [(i, "") for i in (*list(docs)[:1500], "same", "blank")]).select("id"), "id")
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= cached
+    left = {i: t for i, t in docs.items() if i not in (*list(docs)[:1500], "same", "blank")} | fresh
+    assert state(index) == built(frame(spark, list(left.items())))
+    sizes = [f.metadata.row_group(k).num_rows for p in (tmp_path / index.manifest.segments[0].folder / "docs").glob("*.parquet") for f in [pq.ParquetFile(p)] for k in range(f.num_row_groups)]
+    assert sum(sizes) == 3003 and max(sizes) < 1500
+    assert "Exchange" not in segments._counted(bm25.stamped(frame(spark, []), "id"))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_commit_that_fails_leaves_the_old_version(spark, tmp_path, monkeypatch):
     docs = frame(spark, texts(4, [f"d{i}" for i in range(50)]))
     index = segments.Kept.create(docs, str(tmp_path), "id")
