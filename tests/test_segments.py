@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import bm25, segments
+from quarry.plans import queries
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -164,3 +165,13 @@ def test_batches_equal_single_searches(spark, tmp_path, monkeypatch):
     got = index.search_many(spark.createDataFrame(asked, "item_id long, text string"), top_k=7).collect()
     for i, q in asked:
         assert [(r.rank, r.id, round(r.score, 8)) for r in sorted(got, key=lambda r: r.rank) if r.query_id == i] == hits(index.search(q or "", 7))
+
+
+def test_a_search_after_a_change_finds_no_terms_in_memory(spark, sf, monkeypatch):
+    """What bm25_changed and bm25_changed_stats read was written by the commit; nothing of it stays cached."""
+    monkeypatch.setattr(queries, "_KEPT", {})
+    before = {*spark.sparkContext._jsc.getPersistentRDDs()}
+    got = hits(queries.QUERIES["bm25_changed"](spark, sf))
+    assert {*spark.sparkContext._jsc.getPersistentRDDs()} <= before
+    left = queries.docs(spark, sf).where("doc_id % 3 <> 1")
+    assert got == hits(queries.rounded(bm25.search(bm25.build(left), queries.ASKED, 20)))
