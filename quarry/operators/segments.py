@@ -34,6 +34,9 @@ from .bm25 import EPSILON, K1, B
 BLOCK, FIRST = 128, 2
 #: Bytes of a row group of documents and their terms, before compression.
 DOCS_GROUP = 8 << 20
+#: Words whose postings one task sorts at most, about. One pass over the documents deals to at most RANGES tasks: up to 200
+#: (spark.shuffle.sort.bypassMergeThreshold) Spark writes rows to their range as they come; beyond it holds and sorts them first.
+TASK_WORDS, RANGES = 2_000_000, 200
 #: So many trailing segments of at most one tier merge; a tier has FAN times the documents of the one below.
 FAN = 8
 #: Terms that are looked up by a condition in the scan; beyond it by a join.
@@ -83,12 +86,12 @@ def _counted(texts: DataFrame) -> DataFrame:
     return x.select("id", "stamp", F.size("words").cast("long").alias("dl"), listed.alias("terms"))
 
 
-def _packed(rows: DataFrame, avgdl: float) -> DataFrame:
-    """Postings (id, term, tf, dl) -> blocks, by term and falling impact. A term of any length is spread over the ranges of the sort."""
+def _packed(rows: DataFrame, avgdl: float, tasks: int) -> DataFrame:
+    """Postings (id, term, tf, dl) -> blocks, by term and falling impact. A term of any length is spread over the ranges of the sort, one for each task."""
     kind = dict(rows.dtypes)["id"]
     impact = _part(F.col("tf"), F.col("dl"), avgdl)  # made anew after the shuffle, of which it would be a quarter
     order = (F.col("term"), F.desc(impact), F.col("id"))
-    ordered = rows.select("term", "id", F.col("tf").cast("int"), F.col("dl").cast("int")).repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = rows.select("term", "id", F.col("tf").cast("int"), F.col("dl").cast("int")).repartitionByRange(tasks, *order).sortWithinPartitions(*order)
     ordered = ordered.select("term", impact.alias("impact"), "id", "tf", "dl")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +195,7 @@ class Kept:
         manifest = Manifest(number, old.n + docs - left, old.tokens + tokens - leaving, [*old.segments, Segment(number, folder, docs, 0.0)])
         manifest.segments[-1].avgdl = manifest.avgdl
         if docs:
-            self._write_blocks(at, manifest.avgdl)
+            self._write_blocks(at, manifest.avgdl, tokens)
             changes.append(self.spark.read.parquet(f"{at}/blocks").groupBy("term").agg(F.sum("size").alias("d")))
         if changes:
             summed = changes[0] if len(changes) == 1 else reduce(DataFrame.unionByName, changes).groupBy("term").agg(F.sum("d").alias("d"))
@@ -206,10 +209,14 @@ class Kept:
         while run := self._mergeable():
             self._merge(run)
 
-    def _write_blocks(self, at: str, avgdl: float) -> None:
-        """The blocks of a segment from its documents' terms."""
-        listed = self.spark.read.parquet(f"{at}/docs").select("id", "dl", F.explode("terms").alias("t"))
-        _packed(listed.select("id", "t.term", "t.tf", "dl"), avgdl).write.option("parquet.block.size", 4 << 20).option("parquet.page.row.count.limit", 200).option("compression", "zstd").parquet(f"{at}/blocks")
+    def _write_blocks(self, at: str, avgdl: float, tokens: int) -> None:
+        """The blocks of a segment from its documents' terms. What a task holds does not grow with the documents: more words make more tasks, then more passes, each over a share of the terms."""
+        tasks = max(self.spark.sparkContext.defaultParallelism, math.ceil(tokens / TASK_WORDS))
+        passes = math.ceil(tasks / RANGES)
+        listed = self.spark.read.parquet(f"{at}/docs").select("id", "dl", F.explode("terms").alias("t")).select("id", "t.term", "t.tf", "dl")
+        for k in range(passes):
+            mine = listed if passes == 1 else listed.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == k)
+            _packed(mine, avgdl, math.ceil(tasks / passes)).write.mode("append").option("parquet.block.size", 4 << 20).option("parquet.page.row.count.limit", 200).option("compression", "zstd").parquet(f"{at}/blocks")
 
     def _mergeable(self) -> list[Segment]:
         """The trailing segments to merge: the longest run of FAN or more that are no larger than some tier, or none."""
@@ -231,13 +238,13 @@ class Kept:
         at = f"{self.path}/{folder}"
         part = Kept(self.spark, self.path, Manifest(segments=run))
         _write_docs(part.docs().sortWithinPartitions("id"), f"{at}/docs")
-        docs = self.spark.read.parquet(f"{at}/docs").count()
+        docs, tokens = self.spark.read.parquet(f"{at}/docs").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         part.frequencies(positive=False).withColumnRenamed("df", "d").where("d <> 0").repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{at}/terms")
         part._read("histogram", "df long, d long").groupBy("df").agg(F.sum("d").alias("d")).coalesce(1).write.parquet(f"{at}/histogram")
         if len(run) < len(self.manifest.segments):
             part._read("gone", self._gone_schema()).select("id", "upto").write.parquet(f"{at}/gone")
         if docs:
-            self._write_blocks(at, self.manifest.avgdl)
+            self._write_blocks(at, self.manifest.avgdl, tokens)
         kept = [s for s in self.manifest.segments if s not in run]
         self._swap(Manifest(self.manifest.version, self.manifest.n, self.manifest.tokens, [*kept, Segment(number, folder, docs, self.manifest.avgdl)]))
 

@@ -1,5 +1,6 @@
 """The kept BM25 index: commits, merges and pruned searches against an index that is built anew."""
 
+import math
 import os
 import random
 
@@ -113,6 +114,26 @@ def test_a_commit_keeps_no_terms_in_memory(spark, tmp_path, monkeypatch):
     assert "Exchange" not in segments._counted(bm25.stamped(frame(spark, []), "id"))._jdf.queryExecution().executedPlan().toString()
 
 
+def test_what_a_task_sorts_does_not_grow_with_the_documents(spark, tmp_path, monkeypatch):
+    """More words make more tasks, whatever the number of shuffle partitions, and a pass has few enough of them that rows are not held before the shuffle."""
+    monkeypatch.setattr(segments, "TASK_WORDS", 4_000, raising=False)
+    monkeypatch.setattr(segments, "RANGES", 4, raising=False)
+    docs = frame(spark, texts(7, [f"d{i}" for i in range(3000)]))
+    index = segments.Kept.create(docs, str(tmp_path), "id")
+    tasks = math.ceil(index.manifest.tokens / 4_000)
+    jobs = {}
+    for p in (tmp_path / index.manifest.segments[0].folder / "blocks").glob("part-*.parquet"):
+        jobs.setdefault(p.name[11:47], []).append(sum(pq.read_table(p, columns=["size"])["size"].to_pylist()))
+    assert tasks > 8 and len(jobs) == math.ceil(tasks / 4) and all(len(sizes) <= 4 for sizes in jobs.values())
+    assert max(max(sizes) for sizes in jobs.values()) <= 2 * 4_000
+    assert state(index) == built(docs)
+    same(index, docs, "w0", "w0 w1 w7", "w3 w3 w250")
+    index.commit(frame(spark, texts(8, [f"d{i}" for i in range(400)], n=90)), frame(spark, [(f"d{i}", "") for i in range(900)]).select("id"), "id")
+    now = docs.where("int(substr(id, 2)) >= 900").unionByName(frame(spark, texts(8, [f"d{i}" for i in range(400)], n=90)))
+    assert state(index) == built(now)
+    same(index, now, "w0 w1 w7")
+
+
 def test_a_commit_that_fails_leaves_the_old_version(spark, tmp_path, monkeypatch):
     docs = frame(spark, texts(4, [f"d{i}" for i in range(50)]))
     index = segments.Kept.create(docs, str(tmp_path), "id")
